@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guilloche.llm import decontaminate, near_dup, packing, quality_rules
+from guilloche.llm import decontaminate, line_dedup, near_dup, packing, quality_rules
 from guilloche.llm.common import stage, table
 from guilloche.llm.tokenize import vocabulary
 
@@ -27,6 +27,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _only(docs, quality_rules.judge(docs, table(spark, sf_dir, "labels")).where("kept"))
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of lines that an earlier document has go; a document of which no word is left goes as well."""
+    cut = line_dedup.deduplicate(docs.select(*COLUMNS), min_words=10)
+    changed = F.col("n_removed") > 0
+    left = cut.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
     return _only(docs, near_dup.components(docs, shingle=5, percent=80).where("kept"))
@@ -42,7 +50,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), size=2048, end_id=1)
 
 
-STAGES = [("quality_rules", quality), ("near_dup", near_duplicates), ("decontamination", decontamination), ("packing", pack)]
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dup", near_duplicates), ("decontamination", decontamination), ("packing", pack)]
 
 #: Tokenizer ids and the risk-controlled cutoffs have no SQL form; tests compare each stage with a brute-force version.
 ORACLE_SQL = None

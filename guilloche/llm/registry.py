@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dup, packing, quality_rules, token_files
+from . import decontaminate, html_text, line_dedup, near_dup, packing, quality_model, quality_rules, token_files, url_filter, warc
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_quality_model": quality_model.op2_quality_model,
+    "op3_url_filter": url_filter.op3_url_filter,
     "op4_packing": packing.op4_packing,
+    "op5_html_text": html_text.op5_html_text,
+    "op6_warc": warc.op6_warc,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_token_files": token_files.op8_token_files,
     "op9_decontamination": decontaminate.op9_decontamination,
@@ -13,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_url_filter": url_filter.SQL,
+    "op6_warc": warc.SQL,
     "op9_decontamination": decontaminate.SQL,
     "op10_minhash": near_dup.SQL,
 }
