@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import shape_queries, token_queries, verdict_queries
+from . import pixel_queries, shape_queries, token_queries, verdict_queries
 
-_MODULES = (verdict_queries, token_queries, shape_queries)
+_MODULES = (verdict_queries, token_queries, shape_queries, pixel_queries)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
