@@ -55,8 +55,9 @@ def _unpack_set(b: bytes) -> np.ndarray:
     return full.view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, shingle: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, key (equal for equal sets only), signature and set of each whole text."""
+def fingerprints(docs: DataFrame, shingle: int, *, with_set: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, key (equal for equal sets only), signature and, if asked for, the packed set of each whole text."""
+    names = ["doc_id", "n_shingles", "key", "signature", "set"][: 4 + with_set]
 
     def run(batches):
         for batch in batches:
@@ -67,15 +68,14 @@ def fingerprints(docs: DataFrame, shingle: int, *, id_col: str = "doc_id", text_
                 sigs = dict(zip(full, signatures([sets[i] for i in full])))
                 own = ids[k : k + len(part)]
                 k += len(part)
-                packed = [_pack_set(s) if len(s) else None for s in sets]
                 keys = [xxhash.xxh3_128_digest(s) if len(s) else f"empty {i}".encode() for s, i in zip(sets, own)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([sigs.get(i) for i in range(len(part))], pa.list_(pa.int32())), pa.array(packed, pa.binary())],
-                    ["doc_id", "n_shingles", "key", "signature", "set"],
-                )
+                columns = [pa.array(own, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([sigs.get(i) for i in range(len(part))], pa.list_(pa.int32()))]
+                if with_set:
+                    columns.append(pa.array([_pack_set(s) if len(s) else None for s in sets], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, key binary, signature array<int>, set binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, key binary, signature array<int>" + ", set binary" * with_set)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
@@ -128,13 +128,16 @@ def components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, matches:
     """
     prints = stage(fingerprints(docs, shingle, id_col=id_col, text_col=text_col), "fingerprints")
     named = prints.where(F.col("doc_id").isNotNull())
-    reps = named.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = stage(reps, "classes")
-    # A doc_id that stands for several texts would name several classes: the first key in order takes the name in links.
-    sets = stage(named.where("n_shingles > 0").join(reps, "key").where("doc_id = rep").dropDuplicates(["rep", "key"]).select("rep", "key", "n_shingles", "signature", "set"), "sets")
-    posted = _postings(sets.select("rep", "signature"), matches)
+    reps = stage(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = named.where("n_shingles > 0").join(reps, "key").where("doc_id = rep").select("rep", "key", "signature").dropDuplicates(["rep", "key"])
+    posted = _postings(classes.select("rep", "signature"), matches)
     lists = posted.groupBy("token").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("top"), F.count("*").alias("n")).where("n > 1")
-    stars = posted.join(lists.select("token", (-F.col("top.r")).alias("a")), "token").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
+    lists = stage(lists.select("token", (-F.col("top.r")).alias("a")), "lists")
+    # Full sets are made again, for the classes alone that a list brings together with others.
+    met = stage(posted.join(lists, "token", "left_semi").select("rep").distinct(), "met")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(met.hint("merge"), "rep", "left_semi")
+    sets = stage(fingerprints(texts, shingle, with_set=True, id_col="rep").withColumnRenamed("doc_id", "rep").where("n_shingles > 0").dropDuplicates(["rep", "key"]), "sets")
+    stars = posted.join(lists, "token").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
     links = stage(confirm(stars, sets, percent, matches), "star-links")
     found = connected_components(links, "a", "b")
     rest = _between(posted, sets, found, percent)
