@@ -153,7 +153,8 @@ def deduplicate(docs: DataFrame, *, min_words: int = 10) -> DataFrame:
     keyed = docs.withColumn("_text", F.col("text").cast("string")).withColumn("_key", F.xxhash64("_text"))
     spans = duplicate_spans(keyed.where("doc_id is not null and _text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "_key", "_text"), min_words=min_words)
     spans = stage(spans.select(F.col("id").alias("_id"), F.col("text_key").alias("_k"), "spans"), "line-spans")
-    joined = keyed.join(spans, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
+    # Merged at any size: a broadcast on small inputs alone would hide what the texts cost to shuffle.
+    joined = keyed.join(spans.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
     gone = F.transform(F.split("_text", "\n", -1), lambda x, i: F.struct(x.alias("x"), F.exists("spans", lambda s: (s["a"] <= i) & (i < s["b"])).alias("gone")))
     kept = F.array_join(F.transform(F.filter(gone, lambda v: ~v["gone"]), lambda v: v["x"]), "\n")
     text = F.when(F.col("spans").isNull(), F.col("_text")).otherwise(kept)
