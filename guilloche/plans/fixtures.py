@@ -55,8 +55,8 @@ SELECT note_id, y, x, 140 AS w, 64 AS h,
  CASE v WHEN 2 THEN CASE WHEN x BETWEEN 69 AND 71 THEN 20 ELSE 180 + (x * y) % 7 END WHEN 3 THEN (x * 3 + y * 5 + p * 17) % 256 WHEN 4 THEN CASE WHEN y >= 32 THEN 0 ELSE (x * 3 + y * 5 + p * 17) % 256 END WHEN 5 THEN 128 ELSE (x * 3 + y * 5 + p * 17) % 256 END AS b,
  CASE v WHEN 2 THEN CASE WHEN x BETWEEN 69 AND 71 THEN 20 ELSE 200 + (x + y) % 5 END WHEN 3 THEN (x * 3 + y * 5 + p * 17) % 256 WHEN 4 THEN CASE WHEN y >= 32 THEN 0 ELSE (x * 7 + y * 2 + p * 29) % 256 END WHEN 5 THEN 128 ELSE (x * 7 + y * 2 + p * 29) % 256 END AS g,
  CASE v WHEN 2 THEN CASE WHEN x BETWEEN 69 AND 71 THEN 20 ELSE 210 + (x * y) % 11 END WHEN 3 THEN (x * 3 + y * 5 + p * 17) % 256 WHEN 4 THEN CASE WHEN y >= 32 THEN 0 ELSE (x * 2 + y * 11 + p * 41) % 256 END WHEN 5 THEN 128 ELSE (x * 2 + y * 11 + p * 41) % 256 END AS r
-FROM (SELECT p_partkey AS note_id, CAST(p_partkey AS INT) AS p, CAST(p_partkey % 6 AS INT) AS v, CAST(floor(i / 140) AS INT) AS y, CAST(i % 140 AS INT) AS x
- FROM part CROSS JOIN {nums8960} n WHERE p_partkey < 24) t
+FROM (SELECT s_suppkey AS note_id, CAST(s_suppkey AS INT) AS p, CAST(s_suppkey % 6 AS INT) AS v, CAST(floor(i / 140) AS INT) AS y, CAST(i % 140 AS INT) AS x
+ FROM supplier CROSS JOIN {nums8960} n) t
 """,
     "fx_scores": """
 SELECT note_id, label, CAST(CASE WHEN label = 'real' THEN 250 + (note_id * 7919) % 750 ELSE (note_id * 7919) % 700 END AS DOUBLE) / CAST(1000 AS DOUBLE) AS raw FROM fx_notes
@@ -77,7 +77,7 @@ SELECT note_id, CAST(k AS INT) AS face_id, CAST(20 + (note_id * 3 + k * 19) % 60
 SELECT event_id AS sample_id, CASE WHEN user_id % 2 = 0 THEN 'real' ELSE 'fake' END AS label, CASE WHEN event_type IN ('error', 'signup') THEN concat('fake/', event_type) ELSE event_type END AS bucket, value AS signal FROM events
 """,
 }
-BASE = {"orders", "lineitem", "customer", "part", "events", "documents", "labels", "embeddings"}
+BASE = {"orders", "lineitem", "customer", "part", "supplier", "events", "documents", "labels", "embeddings"}
 
 
 def _needs(name: str) -> list[str]:
