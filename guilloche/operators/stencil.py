@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 
 from guilloche.staging import stage
 
-ALONG = Window.partitionBy("note_id", "y").orderBy("x")
-DOWN = Window.partitionBy("note_id", "x").orderBy("y")
+
+def along_row():
+    return Window.partitionBy("note_id", "y").orderBy("x")
+
+
+def down_column():
+    return Window.partitionBy("note_id", "x").orderBy("y")
 
 
 def gaussian_kernel(size: int) -> list[float]:
@@ -55,16 +60,16 @@ def _around(c: str, w) -> tuple[Column, Column]:
 
 def sobel_x(values: DataFrame, value: str) -> DataFrame:
     """Horizontal gradient: difference along the row, smoothed 1-2-1 down the column."""
-    a, b = _around(value, ALONG)
+    a, b = _around(value, along_row())
     d = values.withColumn("_d", b - a)
-    p, q = _around("_d", DOWN)
+    p, q = _around("_d", down_column())
     return d.withColumn("gx", p + 2 * F.col("_d") + q).drop("_d")
 
 
 def sobel_y(values: DataFrame, value: str) -> DataFrame:
-    a, b = _around(value, DOWN)
+    a, b = _around(value, down_column())
     d = values.withColumn("_d", b - a)
-    p, q = _around("_d", ALONG)
+    p, q = _around("_d", along_row())
     return d.withColumn("gy", p + 2 * F.col("_d") + q).drop("_d")
 
 
@@ -74,7 +79,7 @@ def edge_strength(values: DataFrame, value: str) -> DataFrame:
 
 
 def _frame(k: int):
-    return DOWN.rowsBetween(-(k // 2), k - 1 - k // 2)
+    return down_column().rowsBetween(-(k // 2), k - 1 - k // 2)
 
 
 def close_down(mask: DataFrame, c: str, k: int) -> DataFrame:
@@ -93,7 +98,7 @@ def components(mask: DataFrame, c: str, *, max_rounds: int = 100) -> DataFrame:
     Columns are cut into runs; runs of neighbouring columns that touch share the smallest
     label, round by round, until nothing changes. Each round is written.
     """
-    island = F.col("y") - F.row_number().over(DOWN)
+    island = F.col("y") - F.row_number().over(down_column())
     runs = mask.where(F.col(c) > 0).withColumn("_i", island).groupBy("note_id", "x", "_i").agg(F.min("y").alias("y0"), F.max("y").alias("y1"))
     runs = stage(runs.select("note_id", "x", "y0", "y1", F.struct("x", "y0").alias("label")), "runs")
     a, b = runs.alias("a"), runs.alias("b")
@@ -121,8 +126,8 @@ def edges(gray: DataFrame, *, low: int = 80, high: int = 200, rounds: int = 2) -
     """
     g = sobel_y(sobel_x(gray, "gray"), "gray").withColumn("m", F.abs("gx") + F.abs("gy"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    g = g.withColumns({"_l": zero(F.lag("m").over(ALONG)), "_r": zero(F.lead("m").over(ALONG))})
-    g = g.withColumns({"_u": zero(F.lag("m").over(DOWN)), "_d": zero(F.lead("m").over(DOWN)), "_ul": zero(F.lag("_l").over(DOWN)), "_ur": zero(F.lag("_r").over(DOWN)), "_dl": zero(F.lead("_l").over(DOWN)), "_dr": zero(F.lead("_r").over(DOWN))})
+    g = g.withColumns({"_l": zero(F.lag("m").over(along_row())), "_r": zero(F.lead("m").over(along_row()))})
+    g = g.withColumns({"_u": zero(F.lag("m").over(down_column())), "_d": zero(F.lead("m").over(down_column())), "_ul": zero(F.lag("_l").over(down_column())), "_ur": zero(F.lag("_r").over(down_column())), "_dl": zero(F.lead("_l").over(down_column())), "_dr": zero(F.lead("_r").over(down_column()))})
     ax, ay, m = F.abs("gx"), F.abs("gy"), F.col("m")
     flat = (m > F.col("_l")) & (m >= F.col("_r"))
     steep = (m > F.col("_u")) & (m >= F.col("_d"))
@@ -131,19 +136,19 @@ def edges(gray: DataFrame, *, low: int = 80, high: int = 200, rounds: int = 2) -
     peak = F.when(ay < 0.4142 * ax, flat).when(ay > 2.4142 * ax, steep).otherwise(slant)
     e = g.withColumns({"_weak": (peak & (m > low)).cast("int"), "edge": (peak & (m > high)).cast("int")}).drop("_l", "_r", "_u", "_d", "_ul", "_ur", "_dl", "_dr", "gx", "gy", "m")
     for _ in range(rounds):
-        e = e.withColumn("_n", F.max("edge").over(ALONG.rowsBetween(-1, 1))).withColumn("_n", F.max("_n").over(DOWN.rowsBetween(-1, 1))).withColumn("edge", F.greatest("edge", F.col("_weak") * F.col("_n")))
+        e = e.withColumn("_n", F.max("edge").over(along_row().rowsBetween(-1, 1))).withColumn("_n", F.max("_n").over(down_column().rowsBetween(-1, 1))).withColumn("edge", F.greatest("edge", F.col("_weak") * F.col("_n")))
     return e.drop("_weak", "_n")
 
 
 def motion_blur(pixels: DataFrame, *, taps: int = 9) -> DataFrame:
     """Mean along the row; fewer taps at the border."""
-    frame = ALONG.rowsBetween(-(taps // 2), taps // 2)
+    frame = along_row().rowsBetween(-(taps // 2), taps // 2)
     return pixels.withColumns({c: F.floor(F.avg(c).over(frame) + 0.5).cast("int") for c in "bgr"})
 
 
 def vertical_lines(mask: DataFrame, c: str, height: str, *, share: float = 0.4, gap: int = 15) -> DataFrame:
     """Vertical segments of a mask: islands of set pixels in a column with gaps up to ``gap``, ``share`` of the height or longer."""
-    s = mask.where(F.col(c) > 0).withColumn("_new", F.when(F.col("y") - F.lag("y").over(DOWN) > gap, 1).otherwise(0))
-    s = s.withColumn("island", F.sum("_new").over(DOWN.rowsBetween(Window.unboundedPreceding, 0)))
+    s = mask.where(F.col(c) > 0).withColumn("_new", F.when(F.col("y") - F.lag("y").over(down_column()) > gap, 1).otherwise(0))
+    s = s.withColumn("island", F.sum("_new").over(down_column().rowsBetween(Window.unboundedPreceding, 0)))
     seg = s.groupBy("note_id", "x", "island").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.first(height).alias("_h"))
     return seg.where(F.col("y1") - F.col("y0") + 1 >= share * F.col("_h")).select("note_id", "x", "y0", "y1")
