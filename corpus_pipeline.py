@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose id is in ``ids``."""
-    return docs.select(*COLUMNS).join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(ids.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
