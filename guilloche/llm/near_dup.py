@@ -9,8 +9,9 @@ full shingle sets.
 
 A list with thousands of classes is not paired off. First its classes meet only the most
 central class of the list; that joins most of a group of copies. The classes of a list that
-then lie in different components meet, if two exact bounds let them: shingles that no other
-component has cannot be shared with one, and sizes must fit the similarity that is left.
+then lie in different components are compared exactly: they meet on the rarest of their
+shingles that another component has as well (prefix), if their sizes and the number of such
+shingles allow the similarity at all.
 """
 
 from __future__ import annotations
@@ -149,7 +150,7 @@ def components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, matches:
 
 
 def _between(posted: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a prefix posting and pass both bounds."""
+    """Pairs (a, b) of different components, among the classes of lists that hold several, that can still be similar enough."""
     here = posted.select("token", "rep").join(found, F.col("rep") == F.col("node"), "left").select("token", "rep", F.coalesce("component", "rep").alias("comp"))
     here = stage(here, "list-components")
     mixed = here.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
@@ -165,15 +166,18 @@ def _between(posted: DataFrame, sets: DataFrame, found: DataFrame, percent: int)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep)), pa.array(np.full(n, comp)), pa.array(s)], ["rep", "comp", "s"])
 
     one = full.select("rep", "comp", "set").mapInArrow(explode, "rep long, comp long, s long")
-    # Shingles of one component alone cannot be shared with another: what is left bounds every overlap.
-    met = one.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("s")
-    bound = stage(one.join(met, "s").groupBy("rep").agg(F.count("*").alias("c")).join(sets.select("rep", F.col("n_shingles").alias("n")), "rep").where(100 * F.col("c") >= percent * F.col("n")), "bounds")
-    side = open_.join(bound, "rep")
-    a = side.select("token", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("c").alias("xa"), F.col("n").alias("na"))
-    b = side.select("token", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("c").alias("xb"), F.col("n").alias("nb"))
-    most = F.least("xa", "xb")
-    fits = (F.col("ca") < F.col("cb")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most))
-    return a.join(b, "token").where(fits).select("a", "b").distinct()
+    # Shingles of one component alone cannot be shared with another. They stand first in the order of rarity.
+    met = one.groupBy("s").agg(F.count("*").alias("df"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("s", "df")
+    mine = one.join(met, "s").groupBy("rep", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("t")).join(sets.select("rep", F.col("n_shingles").alias("n")), "rep")
+    # Sets as similar as that share one of the rarest n - percent * n + 1 shingles of each; unshared ones fill that prefix first.
+    length = F.size("t") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
+    prefix = mine.where(length > 0).select("rep", "comp", "n", F.size("t").alias("c"), F.posexplode(F.slice("t", F.lit(1), length)).alias("i", "p"))
+    prefix = stage(prefix.select("rep", "comp", "n", (F.col("c") - F.col("i")).alias("left"), "p.s"), "rest-postings")
+    side = lambda k: prefix.select("s", *[F.col(c).alias(c + k) for c in ("rep", "comp", "n", "left")])
+    # At its first common shingle a pair has no other behind it: it and what is left of both bound the overlap.
+    most = F.least("lefta", "leftb")
+    fits = (F.col("compa") < F.col("compb")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most))
+    return side("a").join(side("b"), "s").where(fits).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
