@@ -3,12 +3,14 @@
 Documents meet through shared line hashes, and hashes of two lines in a row. A hash that
 several documents share belongs to the first of them; the others are aligned with that owner
 alone, so a line in a million documents makes a million pairs, not their square. Patience diff
-aligns a pair on the lines that occur once in both, the rarest ones; common blocks of enough
-words are deleted from the later document.
+aligns a pair on the lines that occur once in both, the rarest ones; what it leaves is looked
+up in the whole earlier document, so that repeated and swapped blocks are found as well.
+Common blocks of enough words are deleted from the later document.
 """
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections import Counter
 
@@ -78,17 +80,56 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def shortest_runs(words: list[int], min_words: int) -> set[tuple[int, int]]:
+    """(first line, line after the last) of the shortest runs of ``min_words`` words that start, or end, at each line with words.
+
+    Whatever longer run two documents share, each of its lines with words lies in one of these.
+    """
+    out, least = set(), max(1, min_words)
+    total = end = 0
+    for first, n in enumerate(words):
+        while end < len(words) and total < least:
+            total, end = total + words[end], end + 1
+        if total < least:
+            break
+        if n:
+            out.add((first, end))
+        total -= n
+    total = first = 0
+    for end, n in enumerate(words, 1):
+        total += n
+        while total - words[first] >= least:
+            total, first = total - words[first], first + 1
+        if n and total >= least:
+            out.add((first, end))
+    return out
+
+
 def common_blocks(earlier: list[int], later: list[int], words: list[int], min_words: int) -> list[tuple[int, int]]:
-    """Runs (first line, line after the last) of the later document that are aligned without a gap and have enough words."""
-    out, run = [], None
+    """Ranges (first line, line after the last) of the later document that the earlier one holds in runs of enough words.
+
+    One alignment finds the blocks that stand in the same order. Where it leaves lines with
+    words, repeated passages and passages in another order are looked up in the whole
+    earlier document.
+    """
+    gone, run = bytearray(len(later)), None
     for i, j in [*patience(earlier, later), (-9, -9)]:
         if run and i == run[2] + 1 and j == run[1]:
             run = (run[0], j + 1, i)
             continue
         if run and sum(words[run[0] : run[1]]) >= min_words:
-            out.append(run[:2])
+            gone[run[0] : run[1]] = b"\1" * (run[1] - run[0])
         run = (j, j + 1, i)
-    return out
+    if any(n and not g for n, g in zip(words, gone)):
+        count = dict(zip(later, words))  # a line that the later document has not is in no common run
+        known = array("q", earlier).tobytes()
+        runs = {known[8 * a : 8 * b] for a, b in shortest_runs([count.get(x, 0) for x in earlier], min_words)}
+        own = array("q", later).tobytes() if runs else b""
+        for a, b in shortest_runs(words, min_words) if runs else ():
+            if own[8 * a : 8 * b] in runs:
+                gone[a:b] = b"\1" * (b - a)
+    edges = [j for j in range(len(gone) + 1) if (j > 0 and gone[j - 1]) != (j < len(gone) and gone[j])]
+    return list(zip(edges[::2], edges[1::2]))
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
@@ -141,11 +182,11 @@ def duplicate_spans(docs: DataFrame, *, min_words: int = 10) -> DataFrame:
 def deduplicate(docs: DataFrame, *, min_words: int = 10) -> DataFrame:
     """``docs`` with its own columns, ``text`` without the duplicate blocks and three counts more: n_lines, n_removed, removed_chars.
 
-    Lines are equal if their words are. A block is a run of lines that the alignment with an
+    Lines are equal if their words are. A block is a run of lines that an
     earlier document, the one with the smallest doc_id that has one of its lines or two of
-    them in a row, matches without a gap; it goes if it has ``min_words`` words or more, so
-    short lines that many documents happen to share stay. Deletions refer to the texts as
-    they came, and the first holder of a block keeps it. Null and empty texts stay as they
+    them in a row, holds without a gap; it goes if it has ``min_words`` words or more, so
+    short lines that many documents happen to share stay. Its order and number in either
+    document do not matter. Deletions refer to the texts as they came, and the first holder of a block keeps it. Null and empty texts stay as they
     are; rows that repeat a doc_id are not compared with each other; a row without doc_id is
     neither compared nor changed. Empty tables give no rows. Columns named like an added one
     are replaced.

@@ -119,6 +119,22 @@ def test_line_blocks_go_from_later_documents(spark):
     assert line_dedup.deduplicate(make(spark, [])).count() == 0
 
 
+def test_repeated_and_swapped_blocks_are_found():
+    x, p, q, y, u, v, w = range(1, 8)
+    find = lambda a, b: line_dedup.common_blocks(a, b, [12] * len(b), 10)
+    assert find([x, p, y], [u, p, v, p, w]) == [(1, 2), (3, 4)]
+    assert find([p, x, p, y], [u, p, v]) == [(1, 2)]
+    assert find([p, q], [q, u, p]) == [(0, 1), (2, 3)]
+    r = random.Random(4)
+    for _ in range(400):
+        size = [r.randrange(0, 8) for _ in range(6)]
+        a, b = ([r.randrange(6) for _ in range(r.randrange(1, 14))] for _ in range(2))
+        runs = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+        want = {k for i in range(len(b)) for j in range(i + 1, len(b) + 1) if tuple(b[i:j]) in runs and sum(size[z] for z in b[i:j]) >= 10 for k in range(i, j)}
+        got = {k for i, j in line_dedup.common_blocks(a, b, [size[z] for z in b], 10) for k in range(i, j)}
+        assert got <= want and all(size[b[k]] == 0 for k in want - got)
+
+
 def test_quality_model_holds_out(spark, data):
     docs, labels = (spark.read.parquet(f"{data.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     scored = quality_model.score(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1").select("doc_id", F.col("quality").alias("truth")), "doc_id").collect()
