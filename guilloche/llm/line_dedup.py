@@ -1,8 +1,10 @@
 """Line deduplication by pairwise alignment.
 
-Documents meet through shared line hashes, and hashes of two lines in a row. A hash that
-several documents share belongs to the first of them; the others are aligned with that owner
-alone, so a line in a million documents makes a million pairs, not their square. Patience diff
+Documents meet through hashes of the shortest runs of lines that have enough words to go: the
+one from each line on and the one up to each line, so that every line of a block lies in a
+run that is looked up. A hash that several documents share belongs to the first of them; the
+others are aligned with that owner alone, so a line in a million documents makes a million
+pairs, not their square. Patience diff
 aligns a pair on the lines that occur once in both, the rarest ones; what it leaves is looked
 up in the whole earlier document, so that repeated and swapped blocks are found as well.
 Common blocks of enough words are deleted from the later document.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-_LINES = "id long, text_key long, lines array<long>, words array<int>"
+_LINES = "id long, text_key long, lines array<long>, words array<int>, runs array<long>"
 
 
 def _key(line: str) -> int:
@@ -132,36 +134,34 @@ def common_blocks(earlier: list[int], later: list[int], words: list[int], min_wo
     return list(zip(edges[::2], edges[1::2]))
 
 
-def document_lines(docs: DataFrame) -> DataFrame:
-    """Line hashes and words of each line, for each row of ``docs`` with an id."""
+def document_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """Line hashes, words of each line and hashes of the shortest runs of ``min_words`` words, for each row of ``docs`` with an id."""
 
     def run(batches):
         for batch in batches:
-            ids, keys, lines, words = batch.column(0).to_pylist(), batch.column(1), [], []
+            ids, keys, lines, words, runs = batch.column(0).to_pylist(), batch.column(1), [], [], []
             for t in batch.column(2):
                 rows = (t.as_py() or "").split("\n")
                 lines.append([_key(x) for x in rows])
                 words.append([len(x.split()) for x in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), keys, pa.array(lines, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], ["id", "text_key", "lines", "words"])
+                packed = array("q", lines[-1]).tobytes()
+                runs.append(list({xxhash.xxh3_64_intdigest(packed[8 * a : 8 * b]) - (1 << 63) for a, b in shortest_runs(words[-1], min_words)}))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), keys, pa.array(lines, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int64()))], ["id", "text_key", "lines", "words", "runs"])
 
     return docs.mapInArrow(run, _LINES)
 
 
-def pairs_of(lines: DataFrame, min_words: int) -> DataFrame:
-    """(owner, id) of documents that share lines, or pairs of lines in a row, of ``min_words`` words or more in all."""
-    single = F.transform("lines", lambda x, i: F.struct(x.alias("h"), F.get("words", i).alias("n")))
-    double = F.transform("lines", lambda x, i: F.struct(F.xxhash64(x, F.get("lines", i + 1)).alias("h"), (F.get("words", i) + F.get("words", i + 1)).alias("n")))
-    seeds = lines.select("id", F.explode(F.array_distinct(F.concat(single, F.slice(double, F.lit(1), F.greatest(F.size("lines") - 1, F.lit(0)))))).alias("s")).select("id", "s.h", "s.n").where("n > 0")
-    seeds = stage(seeds, "line-seeds")
+def pairs_of(lines: DataFrame) -> DataFrame:
+    """(owner, id) of documents that share a run, where the owner is the first document that holds it."""
+    seeds = stage(lines.select("id", F.explode("runs").alias("h")), "line-seeds")
     owners = seeds.groupBy("h").agg(F.min("id").alias("owner"), F.max("id").alias("_last")).where("owner < _last").select("h", "owner")
-    shared = seeds.join(owners, "h").where("owner < id")
-    return shared.groupBy("owner", "id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_words).select("owner", "id")
+    return seeds.join(owners, "h").where("owner < id").select("owner", "id").distinct()
 
 
 def duplicate_spans(docs: DataFrame, *, min_words: int = 10) -> DataFrame:
     """(id, text_key, spans): line ranges of each document that an aligned earlier document has as well."""
-    lines = stage(document_lines(docs), "lines")
-    pairs = stage(pairs_of(lines, min_words), "line-pairs")
+    lines = stage(document_lines(docs, min_words), "lines")
+    pairs = stage(pairs_of(lines), "line-pairs")
     both = pairs.join(lines.select(F.col("id").alias("owner"), F.col("lines").alias("earlier")), "owner").join(lines, "id")
 
     def align(batches):
@@ -182,11 +182,11 @@ def duplicate_spans(docs: DataFrame, *, min_words: int = 10) -> DataFrame:
 def deduplicate(docs: DataFrame, *, min_words: int = 10) -> DataFrame:
     """``docs`` with its own columns, ``text`` without the duplicate blocks and three counts more: n_lines, n_removed, removed_chars.
 
-    Lines are equal if their words are. A block is a run of lines that an
-    earlier document, the one with the smallest doc_id that has one of its lines or two of
-    them in a row, holds without a gap; it goes if it has ``min_words`` words or more, so
+    Lines are equal if their words are. A block is a run of lines that any
+    earlier document, one with a smaller doc_id, holds without a gap; it goes if it has ``min_words`` words or more, so
     short lines that many documents happen to share stay. Its order and number in either
-    document do not matter. Deletions refer to the texts as they came, and the first holder of a block keeps it. Null and empty texts stay as they
+    document do not matter. A blank line beside a block
+    goes if the documents that it is compared with have it there. Deletions refer to the texts as they came, and the first holder of a block keeps it. Null and empty texts stay as they
     are; rows that repeat a doc_id are not compared with each other; a row without doc_id is
     neither compared nor changed. Empty tables give no rows. Columns named like an added one
     are replaced.

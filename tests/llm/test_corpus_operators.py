@@ -135,6 +135,14 @@ def test_repeated_and_swapped_blocks_are_found():
         assert got <= want and all(size[b[k]] == 0 for k in want - got)
 
 
+def test_blocks_of_short_lines_go_whoever_held_their_lines_first(spark):
+    one, two, three = (" ".join(f"l{k}{j}" for j in range(4)) for k in range(3))
+    head, tail = " ".join(f"h{j}" for j in range(12)), "t1 t2 t3"
+    rows = [(1, f"{one}\n{two}"), (2, f"{two}\n{three}"), (3, f"{one}\n{two}\n{three}"), (4, f"{one}\n{two}\n{three}"), (5, head), (6, f"{head}\n{tail}"), (7, f"x\n{head}\n{tail}")]
+    got = {r.doc_id: r.text for r in line_dedup.deduplicate(make(spark, rows)).collect()}
+    assert got == {**dict(rows), 4: "", 6: tail, 7: "x"}
+
+
 def test_quality_model_holds_out(spark, data):
     docs, labels = (spark.read.parquet(f"{data.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     scored = quality_model.score(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1").select("doc_id", F.col("quality").alias("truth")), "doc_id").collect()
