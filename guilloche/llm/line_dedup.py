@@ -152,17 +152,23 @@ def document_lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def pairs_of(lines: DataFrame) -> DataFrame:
-    """(owner, id) of documents that share a run, where the owner is the first document that holds it."""
-    seeds = stage(lines.select("id", F.explode("runs").alias("h")), "line-seeds")
-    owners = seeds.groupBy("h").agg(F.min("id").alias("owner"), F.max("id").alias("_last")).where("owner < _last").select("h", "owner")
-    return seeds.join(owners, "h").where("owner < id").select("owner", "id").distinct()
+    """(owner, owner_key, id, text_key) of documents that share a run, where the owner is the first document that holds it.
+
+    Documents are in order of id, those of equal id in order of their text's hash.
+    """
+    seeds = stage(lines.select(F.struct("id", "text_key").alias("row"), F.explode("runs").alias("h")), "line-seeds")
+    owners = seeds.groupBy("h").agg(F.min("row").alias("owner"), F.max("row").alias("_last")).where("owner < _last").select("h", "owner")
+    met = seeds.join(owners, "h").where("owner < row").select(F.col("owner.id").alias("owner"), F.col("owner.text_key").alias("owner_key"), "row.id", "row.text_key")
+    return met.distinct()
 
 
 def duplicate_spans(docs: DataFrame, *, min_words: int = 10) -> DataFrame:
     """(id, text_key, spans): line ranges of each document that an aligned earlier document has as well."""
     lines = stage(document_lines(docs, min_words), "lines")
     pairs = stage(pairs_of(lines), "line-pairs")
-    both = pairs.join(lines.select(F.col("id").alias("owner"), F.col("lines").alias("earlier")), "owner").join(lines, "id")
+    # Rows of equal id and text are one document here.
+    once = lines.select("id", "text_key", "lines", "words").dropDuplicates(["id", "text_key"])
+    both = pairs.join(once.select(F.col("id").alias("owner"), F.col("text_key").alias("owner_key"), F.col("lines").alias("earlier")), ["owner", "owner_key"]).join(once, ["id", "text_key"])
 
     def align(batches):
         for b in batches:
@@ -179,23 +185,23 @@ def duplicate_spans(docs: DataFrame, *, min_words: int = 10) -> DataFrame:
     return found.groupBy("id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
-def deduplicate(docs: DataFrame, *, min_words: int = 10) -> DataFrame:
+def deduplicate(docs: DataFrame, *, min_words: int = 10, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with its own columns, ``text`` without the duplicate blocks and three counts more: n_lines, n_removed, removed_chars.
 
     Lines are equal if their words are. A block is a run of lines that any
-    earlier document, one with a smaller doc_id, holds without a gap; it goes if it has ``min_words`` words or more, so
+    earlier document, one with a smaller ``id_col``, holds without a gap; it goes if it has ``min_words`` words or more, so
     short lines that many documents happen to share stay. Its order and number in either
     document do not matter. A blank line beside a block
     goes if the documents that it is compared with have it there. Deletions refer to the texts as they came, and the first holder of a block keeps it. Null and empty texts stay as they
-    are; rows that repeat a doc_id are not compared with each other; a row without doc_id is
-    neither compared nor changed. Empty tables give no rows. Columns named like an added one
+    are; rows of equal id are in order of their text's hash, and equal ones lose the same
+    lines; a row without id is neither compared nor changed. Empty tables give no rows. Columns named like an added one
     are replaced.
     """
     keyed = docs.withColumn("_text", F.col("text").cast("string")).withColumn("_key", F.xxhash64("_text"))
-    spans = duplicate_spans(keyed.where("doc_id is not null and _text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "_key", "_text"), min_words=min_words)
+    spans = duplicate_spans(keyed.where(F.col(id_col).isNotNull() & F.col("_text").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "_key", "_text"), min_words=min_words)
     spans = stage(spans.select(F.col("id").alias("_id"), F.col("text_key").alias("_k"), "spans"), "line-spans")
     # Merged at any size: a broadcast on small inputs alone would hide what the texts cost to shuffle.
-    joined = keyed.join(spans.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
+    joined = keyed.join(spans.hint("merge"), (F.col(id_col) == F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
     gone = F.transform(F.split("_text", "\n", -1), lambda x, i: F.struct(x.alias("x"), F.exists("spans", lambda s: (s["a"] <= i) & (i < s["b"])).alias("gone")))
     kept = F.array_join(F.transform(F.filter(gone, lambda v: ~v["gone"]), lambda v: v["x"]), "\n")
     text = F.when(F.col("spans").isNull(), F.col("_text")).otherwise(kept)

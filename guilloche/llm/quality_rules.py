@@ -104,8 +104,8 @@ def _features(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"symbol_pct": pct(c("n_symbols"), c("n_words")), "dup_line_pct": pct(c("n_dup_lines"), c("n_lines")), "long_word_pct": pct(F.greatest(c("word_chars") - 5 * c("n_words"), F.lit(0)), 20 * c("n_words"))})
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, stratum_col: str = "lang", allowed: float = 0.05, confidence: float = 0.95, min_words: int = 10, max_repeat_pct: int = 20) -> DataFrame:
-    """One row for each row of ``docs`` with its statistics, ``base_failed`` and ``kept``.
+def judge(docs: DataFrame, labels: DataFrame, *, stratum_col: str = "lang", allowed: float = 0.05, confidence: float = 0.95, min_words: int = 10, max_repeat_pct: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``docs`` with its doc_id, ``keep`` columns, statistics, ``base_failed`` and ``kept``.
 
     Base rules: under ``min_words`` words, or more than ``max_repeat_pct`` per cent of them in
     repeated windows. Of the rest a document is kept unless a feature is above the cutoff of
@@ -115,7 +115,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, stratum_col: str = "lang", allo
     cutoffs and keep what passes the base rules. Null texts fail. Repeated rows are judged
     alike; a null doc_id is judged but never a holdout row. Extra columns do not matter.
     """
-    stats = text_statistics(docs.select("doc_id", F.col(stratum_col).cast("string").alias("_stratum"), "text"), keep=("doc_id", "_stratum"))
+    stats = text_statistics(docs.select("doc_id", *keep, F.col(stratum_col).cast("string").alias("_stratum"), "text"), keep=("doc_id", *keep, "_stratum"))
     stats = stage(_features(stats).withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))), "text-statistics")
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q")).where("_q = 1")
     holdout = stats.where(~F.col("base_failed")).join(good, "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -165,3 +165,21 @@ def test_pipeline_stages(spark, data):
     assert clean.where("contaminated").count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, before, data)
     assert packed.select("doc_id").distinct().count() == before.count()
+
+
+def test_stages_with_null_and_repeated_ids(spark, data):
+    text = lambda k, n=60: " ".join(f"{'abcdefghij'[(i * i + k) % 10]}{k}x{i}" for i in range(n))
+    block = "\n".join(text(90 + k, 12) for k in range(2))
+    item = spark.read.parquet(f"{data}/benchmark.parquet").where("size(split(text, ' ')) > 15").orderBy("item_id").first().text
+    first = lambda name, rows: sorted(((r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)[name](spark, make(spark, rows).drop("rep"), data).collect()), key=str)
+    order = lambda rows: sorted(rows, key=str)
+    far = 10**9
+    good, other = text(1), text(2)
+    assert first("quality_rules", [(None, good), (None, "short"), (far, other), (far, "short")]) == order([(None, good), (far, other)])
+    assert first("decontamination", [(None, good), (None, item), (far, other), (far, item)]) == order([(None, good), (far, other)])
+    near = [(7, good), (7, good), (7, other), (None, good), (None, text(3)), (None, text(3)), (9, other), (None, ""), (None, ""), (7, "")]
+    assert first("near_dup", near) == order([(7, good), (7, other), (None, text(3)), (None, ""), (7, "")])
+    got = first("line_dedup", [(3, f"{good}\n{block}"), (None, f"{other}\n{block}"), (4, f"{block}\n{text(5)}"), (4, f"{block}\n{text(6)}")])
+    assert got == order([(3, f"{good}\n{block}"), (None, other), (4, text(5)), (4, text(6))])
+    within = first("line_dedup", [(4, f"{block}\n{text(5)}"), (4, f"{block}\n{text(6)}")])
+    assert sum(block in t for _, t in within) == 1 and len(within) == 2
