@@ -4,7 +4,10 @@ Every rule compares one feature with a cutoff of its stratum. Candidate cutoffs
 grids. A labelled holdout of good documents tells how many of them each cutoff rejects; an
 exact binomial test decides whether the true share of falsely rejected good documents is
 below the allowed one, at a level divided by the number of tests (Bonferroni), so that all
-chosen cutoffs hold at once with the stated confidence.
+chosen cutoffs hold at once with the stated confidence. A document goes if any rule fires, so
+the rules of a stratum share what is allowed: each takes its upper bound from it, those that
+catch most bad documents first. A safe cutoff is raised as far as it rejects the same bad
+documents of the holdout, and a rule that catches none goes unused.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -77,27 +80,65 @@ def binomial_at_most(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
-def choose_cutoffs(counts: dict[tuple, int], *, allowed: float, confidence: float) -> dict[tuple, int]:
+def upper_bound(k: int, n: int, level: float) -> float:
+    """The share above which seeing at most ``k`` of ``n`` has a chance of ``level`` or less (exact, rounded up)."""
+    low, high = 0.0, 1.0
+    for _ in range(40):
+        p = (low + high) / 2
+        low, high = (low, p) if binomial_at_most(k, n, p) <= level else (p, high)
+    return high
+
+
+def _level(counts: dict[tuple, int], confidence: float) -> float:
+    """Chance of error of a single test, of one for each cutoff of each rule."""
+    return (1 - confidence) / max(1, len({k[:2] for k in counts}) * GRID)
+
+
+def _lowest_safe(values: list[int], allowed: float, level: float) -> int | None:
+    n, above, chosen = sum(values), 0, None
+    for cutoff in range(GRID - 1, -1, -1):
+        above += values[cutoff + 1]
+        if allowed <= 0 or binomial_at_most(above, n, allowed) > level:
+            break
+        chosen = cutoff
+    return chosen
+
+
+def choose_cutoffs(counts: dict[tuple, int], *, allowed: float | dict, confidence: float) -> dict[tuple, int]:
     """Lowest safe cutoff by (stratum, feature).
 
     ``counts``: good holdout documents by (stratum, feature, value from 0 to ``GRID``). A cutoff
     is safe if seeing so few good documents above it would have at most the corrected chance,
-    were the true share above ``allowed``. Without a safe cutoff a rule is not used.
+    were the true share above ``allowed`` (one share, or one by stratum). Without a safe cutoff
+    a rule is not used.
     """
-    strata = sorted({k[:2] for k in counts}, key=str)
-    level = (1 - confidence) / max(1, len(strata) * GRID)
-    chosen = {}
-    for key in strata:
-        values = [counts.get((*key, v), 0) for v in range(GRID + 1)]
-        n, above = sum(values), 0
-        for cutoff in range(GRID - 1, -1, -1):
-            above += values[cutoff + 1]
-            if binomial_at_most(above, n, allowed) > level:
-                break
+    level, chosen = _level(counts, confidence), {}
+    for key in sorted({k[:2] for k in counts}, key=str):
+        cutoff = _lowest_safe([counts.get((*key, v), 0) for v in range(GRID + 1)], allowed[key[0]] if isinstance(allowed, dict) else allowed, level)
+        if cutoff is not None:
             chosen[key] = cutoff
     return chosen
 
 
+def raise_cutoffs(cutoffs: dict[tuple, int], bad: dict[tuple, int]) -> dict[tuple, int]:
+    """The highest cutoffs that reject the same bad documents, without those that reject none.
+
+    ``bad``: bad holdout documents by (stratum, feature, value).
+    """
+    out = {}
+    for key, cutoff in cutoffs.items():
+        if caught := [v for v in range(cutoff + 1, GRID + 1) if bad.get((*key, v), 0)]:
+            out[key] = caught[0] - 1
+    return out
+
+
+def _rejects(cutoffs: dict[tuple, int]) -> Column:
+    bad = F.lit(False)
+    for (stratum, feature), cutoff in cutoffs.items():
+        bad = bad | (F.col("_stratum").eqNullSafe(F.lit(stratum)) & (F.col(feature) > cutoff))
+    return bad
+
+
 def _features(stats: DataFrame) -> DataFrame:
     pct = lambda part, of: F.least(F.lit(GRID), F.coalesce(F.floor(F.lit(GRID) * part / F.when(of > 0, of)), F.lit(0))).cast("int")
     c = F.col
@@ -109,22 +150,36 @@ def judge(docs: DataFrame, labels: DataFrame, *, stratum_col: str = "lang", allo
 
     Base rules: under ``min_words`` words, or more than ``max_repeat_pct`` per cent of them in
     repeated windows. Of the rest a document is kept unless a feature is above the cutoff of
-    its stratum. Good holdout documents are the labelled ones of quality 1 that pass the base
-    rules; a document labelled more than once counts as good only if all labels say so. A
+    its stratum; the rules of a stratum together reject at most ``allowed`` of its good
+    documents. Good holdout documents are the labelled ones of quality 1 that pass the base
+    rules; a document labelled more than once counts as good only if all labels say so, and as
+    bad if any label says 0. Each further rule counts for the bad documents that the ones
+    before it leave. A
     null stratum is a stratum of its own; strata without labels, and empty labels, have no
     cutoffs and keep what passes the base rules. Null texts fail. Repeated rows are judged
     alike; a null doc_id is judged but never a holdout row. Extra columns do not matter.
     """
     stats = text_statistics(docs.select("doc_id", *keep, F.col(stratum_col).cast("string").alias("_stratum"), "text"), keep=("doc_id", *keep, "_stratum"))
     stats = stage(_features(stats).withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))), "text-statistics")
-    good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q")).where("_q = 1")
-    holdout = stats.where(~F.col("base_failed")).join(good, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    long = holdout.select("_stratum", F.explode(F.create_map(*[x for f in FEATURES for x in (F.lit(f), F.col(f))])).alias("feature", "value"))
-    rows = long.groupBy("_stratum", "feature", "value").count().collect()  # strata x features x grid
-    cutoffs = choose_cutoffs({(r["_stratum"], r["feature"], r["value"]): r["count"] for r in rows}, allowed=allowed, confidence=confidence)
-    bad = F.lit(False)
-    for (stratum, feature), cutoff in cutoffs.items():
-        bad = bad | (F.col("_stratum").eqNullSafe(F.lit(stratum)) & (F.col(feature) > cutoff))
+    said = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q"))
+    holdout = stage(stats.where(~F.col("base_failed")).join(said.where("_q in (0, 1)"), "doc_id").dropDuplicates(["doc_id"]).select("_stratum", "_q", *FEATURES), "holdout")
+
+    def counted(rows: DataFrame, features: tuple[str, ...]) -> dict[tuple, int]:
+        long = rows.select("_stratum", F.explode(F.create_map(*[x for f in features for x in (F.lit(f), F.col(f))])).alias("feature", "value"))
+        return {(r["_stratum"], r["feature"], r["value"]): r["count"] for r in long.groupBy("_stratum", "feature", "value").count().collect()}  # strata x features x grid
+
+    good, cutoffs = counted(holdout.where("_q = 1"), FEATURES), {}
+    left = {k[0]: allowed for k in good}
+    for _ in FEATURES:
+        bad = counted(holdout.where("_q = 0").where(~_rejects(cutoffs)), FEATURES)
+        raised = raise_cutoffs({k: c for k, c in choose_cutoffs(good, allowed=left, confidence=confidence).items() if k not in cutoffs}, bad)
+        for stratum in {k[0] for k in raised}:
+            caught = {k: sum(bad.get((*k, v), 0) for v in range(c + 1, GRID + 1)) for k, c in raised.items() if k[0] == stratum}
+            best = max(sorted(caught, key=str), key=caught.get)
+            values = [good.get((*best, v), 0) for v in range(GRID + 1)]
+            cutoffs[best] = raised[best]
+            left[stratum] -= upper_bound(sum(values[raised[best] + 1 :]), sum(values), _level(good, confidence))
+    bad = _rejects(cutoffs)
     return stats.withColumn("kept", ~F.col("base_failed") & ~bad).drop("_stratum", "n_lines")
 
 

@@ -91,6 +91,22 @@ def test_cutoffs_keep_the_stated_share():
     assert abs(quality_rules.binomial_at_most(1, 3, 0.5) - 0.5) < 1e-12
 
 
+def test_rules_share_the_allowed_share(spark):
+    plain = lambda k: " ".join(f"{'abcde'[i % 5]}{k}{i}" for i in range(20))
+    flaws = {"symbol": lambda t: t + " # # #", "line": lambda t: t + "\nq\nq\nq", "long": lambda t: t + " " + "z" * 80}
+    rows, labels = [], []
+    for k in range(6000):
+        flaw = list(flaws)[k % 3] if k < 180 else None  # 1 per cent of the good documents for each rule
+        rows.append((k, flaws[flaw](plain(k)) if flaw else plain(k)))
+        labels.append((k, 1))
+    # Of the flaws only symbols tell bad documents from good ones.
+    rows += [(10_000 + k, plain(k) + " #" * 12) for k in range(50)]
+    labels += [(10_000 + k, 0) for k in range(50)]
+    got = quality_rules.judge(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert all(r.kept for r in got if r.doc_id < 10_000) and not any(r.kept for r in got if r.doc_id >= 10_000)
+    assert quality_rules.raise_cutoffs({("en", "f"): 3, ("en", "g"): 3}, {("en", "f", 3): 9, ("en", "f", 40): 1, ("en", "g", 2): 5}) == {("en", "f"): 39}
+
+
 def test_main_text_of_pages(spark):
     page = (
         "<html><head><title>T</title><script>var a='</p>';</script></head><body><header>Site</header><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies</div>"
