@@ -23,7 +23,8 @@ _TOKEN = re.compile(
     r"""|<[A-Za-z][^>]*\Z""",
     re.S,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: A whole attribute: name and, if it has one, value.
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _PART = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -46,6 +47,10 @@ STOP_WORDS = frozenset(
 )
 #: Words from which a block counts as long, share of stop words of a text block, share of linked characters of a link block.
 LONG_WORDS, STOP_SHARE, LINK_SHARE = 12, 0.12, 0.5
+#: Share of stop words in the long blocks of a page below which its language has no list here.
+NO_LIST_SHARE = 0.04
+#: Letters of scripts that put no blanks between words; two count as a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 
 
 def _negative(tag: str, attrs: str) -> bool:
@@ -53,19 +58,19 @@ def _negative(tag: str, attrs: str) -> bool:
         return False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if name in ("class", "id") and any(p.lower() in _NEGATIVE for p in _PART.findall(value)):
+            return True
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return True
         if name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and any(p.lower() in _NEGATIVE for p in _PART.findall(value)):
-            return True
     return False
 
 
 def blocks_of(page: str) -> list[list]:
     """Blocks [text, linked characters, in article, excluded, heading] of a page, in order."""
     out: list[list] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, excluded, in article, in link
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, excluded, in article, in link, in an excluded inline element
     text: list[str] = []
     linked, at, n = 0, 0, len(page)
 
@@ -74,14 +79,14 @@ def blocks_of(page: str) -> list[list]:
         if text:
             words = " ".join("".join(text).split())
             if words:
-                top = stack[-1] if stack else ("", False, False, False)
+                top = stack[-1] if stack else ("", False, False, False, False)
                 out.append([words, linked, top[2], top[1], heading])
             text.clear()
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not (stack and stack[-1][4]):
             decoded = html.unescape(raw) if "&" in raw else raw
             text.append(decoded)
             if stack and stack[-1][3]:
@@ -115,16 +120,19 @@ def blocks_of(page: str) -> list[list]:
                     break
                 if stack[k][0] in ("ul", "ol", "table", "article", "section", "div", "dl"):
                     break
-        _, excluded, article, link = stack[-1] if stack else ("", False, False, False)
-        article = article or tag in ("article", "main") or "itemprop" in attrs and "articleBody" in attrs
-        excluded = excluded or tag in _NOT_TEXT or tag == "header" and not article or _negative(tag, attrs)
+        _, excluded, article, link, dropped = stack[-1] if stack else ("", False, False, False, False)
+        article = article or tag in ("article", "main") or "itemprop" in attrs and any(m[1].lower() == "itemprop" and "articleBody" in (m[2] or "") for m in _ATTR.finditer(attrs))
+        if tag in _BLOCK or tag in _NOT_TEXT:
+            excluded, dropped = excluded or dropped or tag in _NOT_TEXT or tag == "header" and not article or _negative(tag, attrs), False
+        else:
+            dropped = dropped or _negative(tag, attrs)
         if attrs.endswith("/"):  # <script/> and the like hold nothing in practice
             continue
         if tag in _RAW:
             found = _RAW[tag].search(page, at)
             at = found.start() if found else n
             continue
-        stack.append((tag, excluded, article, link or tag == "a"))
+        stack.append((tag, excluded, article, link or tag == "a", dropped))
     close_block(any(s[0] in _HEADINGS for s in stack[-4:]))
     return out
 
@@ -134,6 +142,7 @@ def main_text(page: str | None) -> str:
     found = blocks_of(page or "")
     has_article = any(b[2] and not b[3] for b in found)
     labels: list[bool | None] = []
+    long: list[tuple[int, int, int]] = []  # block, stop words, words
     for words, linked, article, excluded, heading in found:
         size = len(words) - words.count(" ")
         tokens = words.split(" ")
@@ -143,10 +152,16 @@ def main_text(page: str | None) -> str:
             labels.append(False)
         elif article:
             labels.append(True)
-        elif len(tokens) >= LONG_WORDS and not heading:
-            labels.append(sum(t.strip(".,;:!?()\"'").lower() in STOP_WORDS for t in tokens) >= STOP_SHARE * len(tokens))
+        elif (n := max(len(tokens), len(_UNSPACED.findall(words)) // 2 if not words.isascii() else 0)) >= LONG_WORDS and not heading:
+            stops = sum(t.strip(".,;:!?()\"'").lower() in STOP_WORDS for t in tokens)
+            labels.append(stops >= STOP_SHARE * n)
+            long.append((len(labels) - 1, stops, n))
         else:
             labels.append(None)
+    # Without a list for its language a page is judged by length and links alone.
+    if long and sum(x[1] for x in long) < NO_LIST_SHARE * sum(x[2] for x in long):
+        for i, _, _ in long:
+            labels[i] = True
     # Open blocks: both nearest decided neighbours, or the only one, must be text; a heading asks the one after it.
     after, following = [None] * len(found), None
     for i in range(len(found) - 1, -1, -1):
@@ -169,7 +184,8 @@ def extract(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] =
     """``keep`` columns, ``text`` and ``n_chars`` for each row of ``pages``, from the whole page.
 
     A null or empty page, or one without text blocks, gives the empty text. A page without an
-    article element is judged by density alone. Cut-off pages are read to their end. Rows are
+    article element is judged by density alone, and by length and links where its long blocks
+    hold next to no stop words. Cut-off pages are read to their end. Rows are
     judged one by one, so ties, repeated rows and empty tables need nothing; other columns
     are left out.
     """

@@ -120,6 +120,19 @@ def test_main_text_of_pages(spark):
     assert got[4] == " ".join(html.unescape(x) for x in re.findall(r"<div>([^<]+)</div>", plain))
 
 
+def test_attributes_inline_adverts_and_other_languages():
+    body = "The quick brown fox jumps over the lazy dog and it is of no use to the cat."
+    for attrs in ('data-state="hidden"', 'title="the hidden truth"', 'itemid="share-1"', "data-id=share", 'title="id=menu"'):
+        assert html_text.main_text(f"<div {attrs}><p>{body}</p></div>") == body, attrs
+    for attrs in ("hidden", 'id="menu"', "class='x ad'", "CLASS=ad", 'data-x="1" hidden', 'aria-hidden="true"', 'style="display: none"'):
+        assert html_text.main_text(f"<div {attrs}><p>{body}</p></div>") == "", attrs
+    assert html_text.main_text(f"<p>{body} <span class=ad>Buy now</span></p><p>{body}<b class=ad>Buy</p>") == f"{body} {body}"
+    finnish = "Nopea ruskea kettu hyppää laiskan koiran yli eikä siitä ole kissalle mitään hyötyä tänään."
+    chinese = "敏捷的棕色狐狸跳过了懒惰的狗然后它慢慢地走回森林里面去寻找它的朋友们一起玩耍。"
+    for text in (finnish, chinese):
+        assert html_text.main_text(f"<div><a>{text}</a></div><div>{text}</div>") == text
+
+
 def test_warc_round_trip_and_damage(spark):
     long = "é" * 600
     rows = spark.createDataFrame([(1, "http://a/", long, 0), (2, "http://b/", long, 0), (3, None, None, 0), (4, "x", "short", 0), (5, "x", "short", 0), (None, "y", long, 0)], "page_id long, url string, html string, payload int")
