@@ -2,12 +2,12 @@
 
 Documents meet through hashes of the shortest runs of lines that have enough words to go: the
 one from each line on and the one up to each line, so that every line of a block lies in a
-run that is looked up. A hash that several documents share belongs to the first of them; the
-others are aligned with that owner alone, so a line in a million documents makes a million
-pairs, not their square. Patience diff
-aligns a pair on the lines that occur once in both, the rarest ones; what it leaves is looked
-up in the whole earlier document, so that repeated and swapped blocks are found as well.
-Common blocks of enough words are deleted from the later document.
+run that is looked up. A run that several documents share belongs to the first of them. A
+document is aligned with the owner of its rarest shared run, and with the owners of those
+runs that the first one lacks; so a notice in a million documents makes a million pairs at
+most, not their square. Patience diff aligns a pair on the lines that occur once in both;
+what it leaves is looked up in the whole earlier document, so that repeated and swapped
+blocks are found as well. Common blocks of enough words are deleted from the later document.
 """
 
 from __future__ import annotations
@@ -146,69 +146,95 @@ def document_lines(docs: DataFrame, min_words: int) -> DataFrame:
                 words.append([len(x.split()) for x in rows])
                 packed = array("q", lines[-1]).tobytes()
                 runs.append(list({xxhash.xxh3_64_intdigest(packed[8 * a : 8 * b]) - (1 << 63) for a, b in shortest_runs(words[-1], min_words)}))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), keys, pa.array(lines, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int64()))], ["id", "text_key", "lines", "words", "runs"])
+            columns = [pa.array(ids, pa.int64()), keys, *(pa.array(c, pa.list_(t)) for c, t in ((lines, pa.int64()), (words, pa.int32()), (runs, pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_key", "lines", "words", "runs"])
 
     return docs.mapInArrow(run, _LINES)
 
 
 def pairs_of(lines: DataFrame) -> DataFrame:
-    """(owner, owner_key, id, text_key) of documents that share a run, where the owner is the first document that holds it.
+    """(owner, owner_key, id, text_key): documents and the earlier ones that they are aligned with.
 
-    Documents are in order of id, those of equal id in order of their text's hash.
+    Documents are in order of id, those of equal id in order of their text's hash. A run
+    belongs to the first document that holds it, its owner. A document meets the owner of its
+    rarest shared run first. A commoner run, such as a notice that every page repeats, makes
+    a pair of its own only if that owner does not hold it too. Whatever run a document shares with
+    an earlier one is thus held by one that it is aligned with.
     """
     seeds = stage(lines.select(F.struct("id", "text_key").alias("row"), F.explode("runs").alias("h")), "line-seeds")
-    owners = seeds.groupBy("h").agg(F.min("row").alias("owner"), F.max("row").alias("_last")).where("owner < _last").select("h", "owner")
-    met = seeds.join(owners, "h").where("owner < row").select(F.col("owner.id").alias("owner"), F.col("owner.text_key").alias("owner_key"), "row.id", "row.text_key")
-    return met.distinct()
+    # The owners are written before they meet the seeds again: a very common run then is a
+    # skewed key of a plain join, which Spark splits, and not of an aggregate.
+    known = seeds.groupBy("h").agg(F.min("row").alias("owner"), F.max("row").alias("last"), F.count("*").alias("df"))
+    owners = stage(known.where("owner < last").select("h", "owner", "df"), "line-owners")
+    met = stage(seeds.join(owners, "h").where("owner < row").select("row", "h", "owner", "df"), "line-met")
+    rarest = stage(met.groupBy("row").agg(F.min_by("owner", F.struct("df", "h")).alias("first")), "line-rarest")
+    others = met.join(rarest, "row").where("owner != first").select("row", "h", "owner", "first")
+    holders = met.select(F.col("row").alias("first"), "h").unionByName(owners.select(F.col("owner").alias("first"), "h"))
+    more = others.join(holders, ["first", "h"], "left_anti").select("row", "owner")
+    pairs = rarest.select("row", F.col("first").alias("owner")).unionByName(more).distinct()
+    return pairs.select(F.col("owner.id").alias("owner"), F.col("owner.text_key").alias("owner_key"), "row.id", "row.text_key")
 
 
 def duplicate_spans(docs: DataFrame, *, min_words: int = 10) -> DataFrame:
-    """(id, text_key, spans): line ranges of each document that an aligned earlier document has as well."""
-    lines = stage(document_lines(docs, min_words), "lines")
+    """(id, text_key, spans): line ranges of each document that an aligned earlier document has as well.
+
+    ``docs``: id, text_key, text, none of them null. Rows of equal id and text are one document.
+    """
+    lines = stage(document_lines(docs, min_words).dropDuplicates(["id", "text_key"]), "lines")
     pairs = stage(pairs_of(lines), "line-pairs")
-    # Rows of equal id and text are one document here.
-    once = lines.select("id", "text_key", "lines", "words").dropDuplicates(["id", "text_key"])
-    both = pairs.join(once.select(F.col("id").alias("owner"), F.col("text_key").alias("owner_key"), F.col("lines").alias("earlier")), ["owner", "owner_key"]).join(once, ["id", "text_key"])
+    once = lines.select("id", "text_key", "lines", "words")
+    owners = once.select(F.col("id").alias("owner"), F.col("text_key").alias("owner_key"), F.col("lines").alias("earlier"))
+    both = pairs.join(owners, ["owner", "owner_key"]).join(once, ["id", "text_key"])
+    schema = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
     def align(batches):
-        for b in batches:
-            ids, keys, spans = [], [], []
-            for i, k, first, later, words in zip(*(b.column(n).to_pylist() for n in range(5))):
+        for batch in batches:
+            rows = []
+            for i, k, first, later, words in zip(*(batch.column(n).to_pylist() for n in range(5))):
                 if found := common_blocks(first, later, words, min_words):
-                    ids.append(i)
-                    keys.append(k)
-                    spans.append([{"a": x, "b": y} for x, y in found])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["id", "text_key", "spans"])
+                    rows.append({"id": i, "text_key": k, "spans": [{"a": x, "b": y} for x, y in found]})
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     found = both.select("id", "text_key", "earlier", "lines", "words").mapInArrow(align, "id long, text_key long, spans array<struct<a:int,b:int>>")
-    # A document has one row for each owner of its lines: at most as many as it has lines.
+    # A document has one row for each document that it is aligned with: at most as many as it has runs.
     return found.groupBy("id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def deduplicate(docs: DataFrame, *, min_words: int = 10, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with its own columns, ``text`` without the duplicate blocks and three counts more: n_lines, n_removed, removed_chars.
 
-    Lines are equal if their words are. A block is a run of lines that any
-    earlier document, one with a smaller ``id_col``, holds without a gap; it goes if it has ``min_words`` words or more, so
-    short lines that many documents happen to share stay. Its order and number in either
-    document do not matter. A blank line beside a block
-    goes if the documents that it is compared with have it there. Deletions refer to the texts as they came, and the first holder of a block keeps it. Null and empty texts stay as they
-    are; rows of equal id are in order of their text's hash, and equal ones lose the same
-    lines; a row without id is neither compared nor changed. Empty tables give no rows. Columns named like an added one
-    are replaced.
+    Lines are equal if their words are. A block is a run of lines that any earlier document,
+    one with a smaller ``id_col``, holds without a gap. It goes if it has ``min_words`` words
+    or more, so short lines that many documents happen to share stay. Its order and number in
+    either document do not matter. A blank line beside a block goes if the documents that it
+    is compared with have it there. Deletions refer to the texts as they came, and the first
+    holder of a block keeps it. Null and empty texts stay as they are. Rows of equal id are in
+    order of their text's hash, and equal ones lose the same lines. A row without id is
+    neither compared nor changed. Empty tables give no rows. Columns of ``docs`` may have any
+    names; those named like an added count are replaced.
     """
-    keyed = docs.withColumn("_text", F.col("text").cast("string")).withColumn("_key", F.xxhash64("_text"))
-    spans = duplicate_spans(keyed.where(F.col(id_col).isNotNull() & F.col("_text").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "_key", "_text"), min_words=min_words)
-    spans = stage(spans.select(F.col("id").alias("_id"), F.col("text_key").alias("_k"), "spans"), "line-spans")
+    added = ("n_lines", "n_removed", "removed_chars")
+    own = [c for c in docs.columns if c not in added]
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("raw"), F.xxhash64(text).alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in own if c != "text"]).alias("own") if own != ["text"] else F.lit(None).alias("own"))
+    spans = duplicate_spans(keyed.where("id is not null and raw is not null").select("id", "text_key", "raw"), min_words=min_words)
+    spans = stage(spans, "line-spans")
     # Merged at any size: a broadcast on small inputs alone would hide what the texts cost to shuffle.
-    joined = keyed.join(spans.hint("merge"), (F.col(id_col) == F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
-    gone = F.transform(F.split("_text", "\n", -1), lambda x, i: F.struct(x.alias("x"), F.exists("spans", lambda s: (s["a"] <= i) & (i < s["b"])).alias("gone")))
-    kept = F.array_join(F.transform(F.filter(gone, lambda v: ~v["gone"]), lambda v: v["x"]), "\n")
-    text = F.when(F.col("spans").isNull(), F.col("_text")).otherwise(kept)
-    removed = F.when(F.col("spans").isNull(), 0).otherwise(F.size(F.filter(gone, lambda v: v["gone"])))
-    counted = joined.withColumns({"text": text, "n_lines": F.coalesce(F.size(F.split("_text", "\n", -1)), F.lit(0)).cast("long"), "n_removed": removed.cast("long")})
-    counted = counted.withColumn("removed_chars", F.coalesce(F.length("_text") - F.length("text"), F.lit(0)).cast("long"))
-    return counted.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed", "removed_chars")], "n_lines", "n_removed", "removed_chars")
+    joined = keyed.join(spans.hint("merge"), ["id", "text_key"], "left")
+    is_gone = lambda i: F.exists("spans", lambda s: (s["a"] <= i) & (i < s["b"]))
+    marked = F.transform(F.split("raw", "\n", -1), lambda x, i: F.struct(x.alias("x"), is_gone(i).alias("gone")))
+    kept = F.array_join(F.transform(F.filter(marked, lambda v: ~v["gone"]), lambda v: v["x"]), "\n")
+    whole = F.col("spans").isNull()
+    counted = joined.select(
+        "own",
+        "raw",
+        F.when(whole, F.col("raw")).otherwise(kept).alias("text"),
+        F.coalesce(F.size(F.split("raw", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(whole, 0).otherwise(F.size(F.filter(marked, lambda v: v["gone"]))).cast("long").alias("n_removed"),
+    )
+    removed = F.coalesce(F.length("raw") - F.length("text"), F.lit(0)).cast("long").alias("removed_chars")
+    back = [F.col("text") if c == "text" else F.col("own").getField(c).alias(c) for c in own]
+    return counted.select(*back, "n_lines", "n_removed", removed)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,6 +143,31 @@ def test_blocks_of_short_lines_go_whoever_held_their_lines_first(spark):
     assert got == {**dict(rows), 4: "", 6: tail, 7: "x"}
 
 
+def test_line_dedup_equals_brute_force(spark):
+    """Random documents over few lines: the lines with words that go are those in runs that an earlier document holds."""
+    r = random.Random(8)
+    lines = [" ".join(f"q{k}n{j}" for j in range(r.choice([1, 3, 4, 6, 11]))) for k in range(14)] + [""]
+    rows = [(k, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 12)))) for k in range(150)]
+    rows += [(150 + k, "\n".join(lines[i] for i in part)) for k, part in enumerate([(1, 2), (2, 3), (1, 2, 3), (1, 2, 3), (3, 2, 1)])]
+    got = {x.doc_id: x.text for x in line_dedup.deduplicate(make(spark, rows), min_words=10).collect()}
+    held: set = set()
+    for i, text in rows:
+        own = text.split("\n")
+        size = [len(x.split()) for x in own]
+        runs = [(a, b) for a in range(len(own)) for b in range(a + 1, len(own) + 1) if sum(size[a:b]) >= 10]
+        gone = {k for a, b in runs if tuple(own[a:b]) in held for k in range(a, b) if size[k]}
+        assert [x for x in got[i].split("\n") if x] == [x for k, x in enumerate(own) if x and k not in gone], i
+        held.update(tuple(own[a:b]) for a, b in runs)
+
+
+def test_line_dedup_with_clashing_names(spark):
+    names = ["spans", "own", "raw", "id", "text_key", "_id", "_k", "_text", "_key", "row", "n_lines"]
+    docs = make(spark, [(1, "a b c d e f g h i j k"), (2, "a b c d e f g h i j k\nmine"), (3, None)])
+    got = line_dedup.deduplicate(docs.withColumns({n: F.lit(n) for n in names})).collect()
+    assert {r.doc_id: r.text for r in got} == {1: "a b c d e f g h i j k", 2: "mine", 3: None}
+    assert all(r[n] == n for r in got for n in names if n != "n_lines") and {r.n_lines for r in got} == {0, 1, 2}
+
+
 def test_quality_model_holds_out(spark, data):
     docs, labels = (spark.read.parquet(f"{data.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     scored = quality_model.score(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1").select("doc_id", F.col("quality").alias("truth")), "doc_id").collect()
