@@ -1,9 +1,10 @@
 """Main-text extraction by two-pass block rules.
 
-Pass one cuts a page into blocks and decides what it can: blocks in menus, adverts, forms and
-the like are boilerplate, as are blocks made of links; blocks of the article element, and long
-blocks with many stop words, are text. Short blocks stay open. Pass two gives an open block
-the label of its nearest decided neighbours.
+A page is cut into blocks. Pass one scores each block: stop-word density and length speak for
+it, link density against it, and the elements and class names around it add their weight
+either way. Blocks with a clear score are decided. Pass two gives an open block, mostly a short
+one, the label of its nearest decided neighbours. A page on which nothing is clearly text is
+decided by its best open block.
 """
 
 from __future__ import annotations
@@ -27,17 +28,37 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _PART = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose text is never main text; ``header`` is one outside the article.
 _NOT_TEXT = frozenset("aside button canvas datalist dialog footer form head iframe menu nav noscript object script select style svg template textarea title".split())
+_BLOCK = _HEADINGS | _NOT_TEXT | frozenset("address article blockquote body br caption center dd details div dl dt fieldset figcaption figure header hgroup hr html legend li main ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements whose content is read up to their end tag, as no markup.
 _RAW = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript")}
-_CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_NEGATIVE = frozenset(
-    "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies dialog disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup privacy promo promotion recommended related reply replies respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
-)
+#: Elements that end where one of them starts, unless a boundary lies between.
+_ENDS_P = _BLOCK - {"br", "option", "body", "html", "head", "button", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
+_CLOSES = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "tbody": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
+#: Boundaries that no implied end and no end tag of another element crosses.
+_SCOPE = frozenset("caption html object table td template th".split())
+_LISTS = frozenset("dl ol ul menu".split())
+_TABLE = frozenset("caption table tbody td tfoot th thead tr".split())
+
+#: Parts of class and id names and what they weigh: notices, adverts, menus and the like; names that only hint at them.
+_STRONG, _WEAK = 6, 1
+_AGAINST = dict.fromkeys(
+    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs captcha comment comments consent cookie cookies disclaimer disqus footer gdpr login menu modal nav navbar navigation newsletter"
+    " notification overlay pager pagination paywall popup promo promotion recommended related sidebar sidenav signup sponsor sponsored subscribe subscription teaser teasers toolbar topbar".split(),
+    _STRONG,
+) | dict.fromkeys("alert banner dialog masthead notice notices privacy replies reply respond search share sharing skip social tags widget widgets".split(), _WEAK)
+#: Weak names that are as clear as strong ones where the name says nothing else.
+_ALONE = frozenset("alert banner dialog masthead notice notices replies respond search share sharing skip social tags".split())
+#: Parts that say where or what kind of box it is, and nothing of its content.
+_NEUTRAL = frozenset("area bar block body bottom box button buttons col column container content footer group header holder icon inner item items left link links list main outer page panel post primary right row section site slot space text title top unit wrap wrapper zone".split())
+#: Parts that turn a name into one that only mentions what follows.
+_MENTIONS = frozenset("has no not with without".split())
+_FOR = frozenset("article articlebody content entry main post story".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-_NEVER_NEGATIVE = frozenset("html body article main".split())
+_NEVER_NEGATIVE = frozenset("html body main".split())
+
 #: The commonest function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "a an and are as at be by for from had has have he in is it not of on or she that the their they this to was were which with you"
@@ -45,133 +66,237 @@ STOP_WORDS = frozenset(
     " au aux avec ce cette dans de des du elle en est et il la le les mais ne ou par pas plus pour que qui sa se son sur un une"
     " al como con del el ella es esta este la las lo los más no o para pero por que se si sin su sus una y".split()
 )
-#: Words from which a block counts as long, share of stop words of a text block, share of linked characters of a link block.
-LONG_WORDS, STOP_SHARE, LINK_SHARE = 12, 0.12, 0.5
+#: Words from which a block counts as long, share of stop words of a text block.
+LONG_WORDS, STOP_SHARE = 12, 0.12
+#: Shares of linked characters of a block that holds links, and of one made of them.
+LINK_SHARE, ALL_LINKS = 0.5, 0.9
 #: Share of stop words in the long blocks of a page below which its language has no list here.
 NO_LIST_SHARE = 0.04
+#: Scores from which a block is text, and up to which it is not.
+TEXT, BOILERPLATE = 2, -1
 #: Letters of scripts that put no blanks between words; two count as a word.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 
 
-def _negative(tag: str, attrs: str) -> bool:
-    if tag in _NEVER_NEGATIVE or not attrs:
-        return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name in ("class", "id") and any(p.lower() in _NEGATIVE for p in _PART.findall(value)):
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-        if name == "role" and value.lower() in _ROLES:
-            return True
-    return False
-
-
-def blocks_of(page: str) -> list[list]:
-    """Blocks [text, linked characters, in article, excluded, heading] of a page, in order."""
-    out: list[list] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, excluded, in article, in link, in an excluded inline element
-    text: list[str] = []
+def name_weight(name: str) -> int:
+    """What one class or id name says against its element: 0, ``_WEAK`` or ``_STRONG``.
+
+    A name counts in full if its last part does, or all its parts but neutral ones; a part
+    elsewhere only hints. ``with-sidebar`` and the like merely mention something.
+    """
+    parts = [p.lower() for p in _PART.findall(name)]
+    found = [_AGAINST[p] for p in parts if p in _AGAINST]
+    if not found or not _MENTIONS.isdisjoint(parts):
+        return 0
+    rest = [p for p in parts if p not in _NEUTRAL or p in _AGAINST]
+    if all(p in _AGAINST for p in rest):
+        return _STRONG if max(found) == _STRONG or all(p in _ALONE for p in rest) else _WEAK
+    return _STRONG if _AGAINST.get(parts[-1]) == _STRONG else _WEAK
+
+
+def evidence(tag: str, attrs: str, in_article: bool) -> tuple[int, int, bool]:
+    """(weight against an element, weight for it, starts an article) from its tag and attributes."""
+    against = _STRONG if tag in _NOT_TEXT or tag == "header" and not in_article else 0
+    names_for, article = 0, tag in ("article", "main")
+    if attrs and tag not in _NEVER_NEGATIVE:
+        for m in _ATTR.finditer(attrs):
+            name, value = m[1].lower(), (m[2] or "").strip("\"'")
+            if name in ("class", "id"):
+                for one in value.split():
+                    against = max(against, name_weight(one))
+                    names_for = max(names_for, int(not _FOR.isdisjoint(p.lower() for p in _PART.findall(one))))
+            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+                against = _STRONG
+            elif name == "role" and value.lower() in _ROLES:
+                against = max(against, _STRONG)
+            elif name == "itemprop" and "articleBody" in value:
+                article = True
+    if against >= _STRONG:
+        return against, 0, False
+    return against, names_for, article
+
+
+class _Reader:
+    """Open elements of a page and what they add up to, each push and pop in constant time."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, int, bool, bool]] = []  # tag, against, for, article, inline
+        self.at: dict[str, list[int]] = {}  # where each tag is open
+        self.scopes: list[int] = []
+        self.blocks: list[int] = []
+        self.against = self.named = self.articles = self.dropped = self.headings = 0
+
+    def _count(self, entry: tuple, by: int) -> None:
+        tag, against, named, article, inline = entry
+        if inline:
+            self.dropped += by * (against >= _STRONG)
+        else:
+            self.against += by * against
+            self.named += by * named
+            self.articles += by * article
+            self.headings += by * (tag in _HEADINGS)
+
+    def push(self, tag: str, against: int, named: int, article: bool) -> None:
+        entry = (tag, against, named, article, tag not in _BLOCK)
+        k = len(self.stack)
+        self.at.setdefault(tag, []).append(k)
+        if tag in _SCOPE:
+            self.scopes.append(k)
+        if not entry[4]:
+            self.blocks.append(k)
+        self.stack.append(entry)
+        self._count(entry, 1)
+
+    def cut(self, k: int) -> None:
+        """Close the element at ``k`` and all within it."""
+        while len(self.stack) > k:
+            entry = self.stack.pop()
+            if not entry[0]:
+                continue
+            self.at[entry[0]].pop()
+            if entry[0] in _SCOPE:
+                self.scopes.pop()
+            if not entry[4]:
+                self.blocks.pop()
+            self._count(entry, -1)
+
+    def last(self, *tags: str) -> int:
+        return max((a[-1] for t in tags if (a := self.at.get(t))), default=-1)
+
+    def imply(self, tags: tuple[str, ...], boundary: int) -> None:
+        if (k := self.last(*tags)) > boundary:
+            self.cut(k)
+
+    def start(self, tag: str) -> None:
+        """Close what the start of ``tag`` ends."""
+        scope = self.scopes[-1] if self.scopes else -1
+        if tag in _ENDS_P:
+            self.imply(("p",), max(scope, self.last("button")))
+        if tag in ("article", "main") and not self.articles:  # a menu or page header that nobody closed
+            self.imply(("nav", "header"), scope)
+        if shut := _CLOSES.get(tag):
+            self.imply(shut, self.last("table", "template") if tag in _TABLE else max(scope, self.last(*(_LISTS if tag == "li" else ("dl", "select")))))
+
+    def end(self, tag: str) -> None:
+        """Close the open element of an end tag; one that would cross a boundary is ignored.
+
+        An inline element around open blocks ends without them.
+        """
+        k = self.last(tag)
+        if k < 0 or k < (self.last("table", "template") if tag in _TABLE and tag != "table" else self.scopes[-1] if self.scopes and tag not in _SCOPE else -1):
+            return
+        if tag not in _BLOCK and self.blocks and self.blocks[-1] > k:
+            self._count(self.stack[k], -1)
+            self.at[tag].pop()
+            self.stack[k] = ("", 0, 0, False, True)
+        else:
+            self.cut(k)
+
+
+def blocks_of(page: str) -> list[tuple[str, int, int, int, bool, bool]]:
+    """Blocks (text, linked characters, weight against, names for it, in an article, heading) of a page, in order.
+
+    One pass, in time proportional to the page however its elements are nested.
+    """
+    out: list[tuple[str, int, int, int, bool, bool]] = []
+    open_, text = _Reader(), []
     linked, at, n = 0, 0, len(page)
+    unclosed: set[str] = set()
 
-    def close_block(heading: bool) -> None:
+    def close_block() -> None:
         nonlocal linked
         if text:
-            words = " ".join("".join(text).split())
-            if words:
-                top = stack[-1] if stack else ("", False, False, False, False)
-                out.append([words, linked, top[2], top[1], heading])
+            if words := " ".join("".join(text).split()):
+                out.append((words, linked, open_.against, open_.named, open_.articles > 0, open_.headings > 0))
             text.clear()
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not (stack and stack[-1][4]):
+        if raw and not open_.dropped:
             decoded = html.unescape(raw) if "&" in raw else raw
             text.append(decoded)
-            if stack and stack[-1][3]:
+            if open_.at.get("a"):
                 linked += len("".join(decoded.split()))
 
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        first = page.find("<", at)
+        if first < 0:
             add(page[at:])
             break
-        add(page[at : m.start()])
+        add(page[at:first])
+        m = _TOKEN.match(page, first)
+        if m is None:  # a bare sign
+            add("<")
+            at = first + 1
+            continue
         at = m.end()
-        tag = m["tag"] or m["tag2"]
-        if not tag:
+        if not (tag := m["tag"] or m["tag2"]):
             continue
         tag, end, attrs = tag.lower(), m["end"] or m["end2"], m["attrs"] or m["attrs2"] or ""
-        if tag in _BLOCK or tag in _NOT_TEXT:
-            close_block(any(s[0] in _HEADINGS for s in stack[-4:]))
+        if tag in _BLOCK:
+            close_block()
         if end:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            open_.end(tag)
             continue
         if tag in _VOID:
             continue
-        if shut := _CLOSES.get(tag):
-            for k in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
-                if stack[k][0] in shut:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("ul", "ol", "table", "article", "section", "div", "dl"):
-                    break
-        _, excluded, article, link, dropped = stack[-1] if stack else ("", False, False, False, False)
-        article = article or tag in ("article", "main") or "itemprop" in attrs and any(m[1].lower() == "itemprop" and "articleBody" in (m[2] or "") for m in _ATTR.finditer(attrs))
-        if tag in _BLOCK or tag in _NOT_TEXT:
-            excluded, dropped = excluded or dropped or tag in _NOT_TEXT or tag == "header" and not article or _negative(tag, attrs), False
-        else:
-            dropped = dropped or _negative(tag, attrs)
-        if attrs.endswith("/"):  # <script/> and the like hold nothing in practice
-            continue
         if tag in _RAW:
-            found = _RAW[tag].search(page, at)
-            at = found.start() if found else n
+            found = None if tag in unclosed else _RAW[tag].search(page, at)
+            if found:
+                at = found.start()
+            elif tag in ("script", "style"):
+                break
+            else:  # never closed: what follows is not its content
+                unclosed.add(tag)
             continue
-        stack.append((tag, excluded, article, link or tag == "a", dropped))
-    close_block(any(s[0] in _HEADINGS for s in stack[-4:]))
+        open_.start(tag)
+        open_.push(tag, *evidence(tag, attrs, open_.articles > 0))
+    close_block()
     return out
 
 
+def score(block: tuple, stop_list: bool) -> int:
+    """What is said for a block, less what is said against it."""
+    words, linked, against, named, article, heading = block
+    size, tokens = len(words) - words.count(" "), words.split(" ")
+    total = 2 * article + min(named, 1) - against
+    if linked > ALL_LINKS * size:
+        total -= 1 if heading and article else 4
+    elif linked > LINK_SHARE * size:
+        total -= 2
+    if (n := _length(words, tokens)) >= LONG_WORDS and not heading:
+        total += 2 if not stop_list or _stops(tokens) >= STOP_SHARE * n else -1 + article
+    return total
+
+
+def _length(words: str, tokens: list[str]) -> int:
+    return max(len(tokens), 0 if words.isascii() else len(_UNSPACED.findall(words)) // 2)
+
+
+def _stops(tokens: list[str]) -> int:
+    return sum(t.strip(".,;:!?()\"'").lower() in STOP_WORDS for t in tokens)
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page: its text blocks in order, joined by one blank."""
     found = blocks_of(page or "")
-    has_article = any(b[2] and not b[3] for b in found)
-    labels: list[bool | None] = []
-    long: list[tuple[int, int, int]] = []  # block, stop words, words
-    for words, linked, article, excluded, heading in found:
-        size = len(words) - words.count(" ")
-        tokens = words.split(" ")
-        if excluded or has_article and not article:
-            labels.append(False)
-        elif linked > LINK_SHARE * size and not (heading and article):
-            labels.append(False)
-        elif article:
-            labels.append(True)
-        elif (n := max(len(tokens), len(_UNSPACED.findall(words)) // 2 if not words.isascii() else 0)) >= LONG_WORDS and not heading:
-            stops = sum(t.strip(".,;:!?()\"'").lower() in STOP_WORDS for t in tokens)
-            labels.append(stops >= STOP_SHARE * n)
-            long.append((len(labels) - 1, stops, n))
-        else:
-            labels.append(None)
-    # Without a list for its language a page is judged by length and links alone.
-    if long and sum(x[1] for x in long) < NO_LIST_SHARE * sum(x[2] for x in long):
-        for i, _, _ in long:
-            labels[i] = True
+    # Without a list for its language a page is judged by length, links and structure.
+    long = [(t, n) for b in found if b[2] < _STRONG and not b[5] for t in [b[0].split(" ")] if (n := _length(b[0], t)) >= LONG_WORDS]
+    stop_list = sum(_stops(t) for t, _ in long) >= NO_LIST_SHARE * sum(n for _, n in long)
+    scores = [score(b, stop_list) for b in found]
+    labels: list[bool | None] = [True if s >= TEXT else False if s <= BOILERPLATE else None for s in scores]
+    if True not in labels and None in labels:
+        labels[max((i for i, x in enumerate(labels) if x is None), key=lambda i: (scores[i], len(found[i][0]), -i))] = True
     # Open blocks: both nearest decided neighbours, or the only one, must be text; a heading asks the one after it.
     after, following = [None] * len(found), None
     for i in range(len(found) - 1, -1, -1):
         after[i] = following
         following = labels[i] if labels[i] is not None else following
-    before = None
-    out = []
+    before, out = None, []
     for i, label in enumerate(labels):
         if label is None:
-            around = [after[i]] if found[i][4] and after[i] is not None else [x for x in (before, after[i]) if x is not None]
+            around = [after[i]] if found[i][5] and after[i] is not None else [x for x in (before, after[i]) if x is not None]
             label = bool(around) and all(around)
         else:
             before = label
@@ -183,18 +308,18 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``keep`` columns, ``text`` and ``n_chars`` for each row of ``pages``, from the whole page.
 
-    A null or empty page, or one without text blocks, gives the empty text. A page without an
-    article element is judged by density alone, and by length and links where its long blocks
-    hold next to no stop words. Cut-off pages are read to their end. Rows are
-    judged one by one, so ties, repeated rows and empty tables need nothing; other columns
-    are left out.
+    A null or empty page, or one of boilerplate alone, gives the empty text. Cut-off pages and
+    elements that nobody closes are read to the end of the page. A page is parsed in time
+    proportional to its length. Rows are judged one by one, so ties, repeated rows and empty
+    tables need nothing; other columns are left out.
     """
     rows = pages.select(*[F.col(c) for c in keep], F.col(html_col).cast("string").alias("_html"))
 
     def run(batches):
         for batch in batches:
             texts = [main_text(p.as_py()) for p in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
+            kept = [batch.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{fields}, text string, n_chars long")

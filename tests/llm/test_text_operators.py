@@ -1,7 +1,9 @@
 """Operators on single texts and pages against plain versions, with the awkward rows."""
 
 import html
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -133,6 +135,73 @@ def test_attributes_inline_adverts_and_other_languages():
         assert html_text.main_text(f"<div><a>{text}</a></div><div>{text}</div>") == text
 
 
+LONG = "The quick brown fox jumps over the lazy dog and it is of no use to the cat."
+PLUS = "And so the dog was in the house with the cat and that is the end of it."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # An article element is evidence, not a gate: teasers and second halves.
+        (f"<article class='teaser'><p>Card.</p></article><div id='content'><p>{LONG}</p><p>{PLUS}</p></div>", f"{LONG} {PLUS}"),
+        (f"<article><p>{LONG}</p></article><div><p>{PLUS}</p></div><footer>Us</footer>", f"{LONG} {PLUS}"),
+        (f"<article><p>{LONG}</p><article class=comment><p>{PLUS}</p></article></article>", LONG),
+        (f"<article><p>{LONG}</p><p>x1 x2 x3 x4 x5 x6 x7 x8 x9 y1 y2 y3 y4</p><p>Bye.</p></article><div class=ad>{PLUS}</div>", f"{LONG} x1 x2 x3 x4 x5 x6 x7 x8 x9 y1 y2 y3 y4 Bye."),
+        # Pages with nothing but short blocks.
+        ("<nav><a href=/>Home</a></nav><p>Short text.</p><footer>Us</footer>", "Short text."),
+        ("<p>One short paragraph.</p>", "One short paragraph."),
+        ("<ul><li><a href=/>Home</a></ul>", ""),
+        # Names.
+        (f"<div class='share-of-market'><p>{LONG}</p></div><div class='share'><p>Tell friends</p></div>", LONG),
+        (f"<div class='layout with-sidebar'><p>{LONG}</p></div><div class='left-sidebar'>{PLUS}</div><div id=post-comments>{PLUS}</div>", LONG),
+        (f"<div role=navigation>{PLUS}</div><div style='display:none'>{PLUS}</div><p>{LONG}", LONG),
+        # Unclosed and misplaced tags.
+        (f"<noscript>Turn it on<p>{LONG}</p>", f"Turn it on {LONG}"),
+        (f"<title>T<p>{LONG}</p>", f"T {LONG}"),
+        (f"<textarea>T<p>{LONG}</p>", f"T {LONG}"),
+        (f"<nav><a href=/>Home</a><main><p>{LONG}</p></main>", LONG),
+        (f"<div class=ad/><p>Buy</p></div><p>{LONG}</p>", LONG),
+        (f"<a href=/x/>Link</a><p>{LONG}</p>", LONG),
+        (f"<aside><b><b><b><b><b><b>Deep</aside><p>{LONG}</p>", LONG),
+        (f"<div><p>{LONG}<table><tr><td>{PLUS}</div>", f"{LONG} {PLUS}"),
+        (f"<b><div></b>{LONG}</div><a><div></a>{PLUS}</div>", f"{LONG} {PLUS}"),
+        (f"<p>1 < 2 and 3 <4</p><p>{LONG}</p><script>if (a</b) x", f"1 < 2 and 3 <4 {LONG}"),
+        (f"<article><h2><a href=/>Head</a></h2><p>{LONG}</p><p><a href=/>All of it a link</a></p></article>", f"Head {LONG}"),
+        (f"<p>{LONG}</p><!-- open {PLUS}", LONG),
+    ],
+)
+def test_page_shapes(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_random_pages_equal_their_plan():
+    """Well-formed pages from a plan of blocks: the text is what the plan puts into main blocks, whatever surrounds it."""
+    r = random.Random(12)
+    text = lambda n: " ".join(r.choices("the of and to in a is that it was for on with as by at from dog cat house fox tree river".split(), k=n))
+    box = ["<nav>{}</nav>", "<div class='ad'>{}</div>", "<aside>{}</aside>", "<footer>{}</footer>", "<div id='cookie-notice'>{}</div>", "<form>{}</form>", "<section class='comments'>{}</section>", "<div hidden>{}</div>", "<header>{}</header>"]
+    for _ in range(300):
+        page, want = "", []
+        for _ in range(r.randrange(1, 12)):
+            t = text(r.randrange(14, 40))
+            if r.random() < 0.5:
+                page += r.choice(box).format(r.choice(["<p>{}</p>", "<ul><li>{}</li></ul>", "{}"]).format(t))
+            else:
+                want.append(t)
+                inner = t.replace(" fox ", " <b>fox</b>  ", 1).replace(" dog ", "\n<a href='/'>dog</a>&nbsp;", 1)
+                page += r.choice(["<p>{}</p>", "<div><div>{}</div></div>", "<blockquote><p>{}</p></blockquote>", "<article><p>{}</p></article>", "<table><tr><td>{}</td></tr></table>", "<h2></h2>{}<br>"]).format(inner)
+        assert html_text.main_text(f"<html><head><title>{text(20)}</title></head><body>{page}</body></html>") == " ".join(want), page
+
+
+def test_hostile_nesting_takes_linear_time():
+    spent = {}
+    for part in ("<div>", "<b><p>x", "<li>", "<table><td>", "<noscript>", "<a><div></a>", "<div></span></p>"):
+        for k in (10_000, 80_000):
+            start = time.process_time()
+            html_text.main_text(part * k)
+            spent[k] = spent.get(k, 0) + time.process_time() - start
+    assert spent[80_000] < 24 * spent[10_000]
+
+
 def test_warc_round_trip_and_damage(spark):
     long = "é" * 600
     rows = spark.createDataFrame([(1, "http://a/", long, 0), (2, "http://b/", long, 0), (3, None, None, 0), (4, "x", "short", 0), (5, "x", "short", 0), (None, "y", long, 0)], "page_id long, url string, html string, payload int")
