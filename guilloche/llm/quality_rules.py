@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small, stage
 from .hashing import blocks, windows, words
 
 _SYMBOLS = np.zeros(256, bool)
@@ -89,54 +89,87 @@ def upper_bound(k: int, n: int, level: float) -> float:
     return high
 
 
-def _level(counts: dict[tuple, int], confidence: float) -> float:
-    """Chance of error of a single test, of one for each cutoff of each rule."""
-    return (1 - confidence) / max(1, len({k[:2] for k in counts}) * GRID)
+def error_level(strata: int, confidence: float) -> float:
+    """Chance of error of a single test, of one for each cutoff of each rule of each stratum (Bonferroni)."""
+    return (1 - confidence) / max(1, strata * len(FEATURES) * GRID)
 
 
-def _lowest_safe(values: list[int], allowed: float, level: float) -> int | None:
+def lowest_safe(values: list[int], allowed: float, level: float) -> int | None:
+    """Lowest cutoff that is safe: were the true share above it ``allowed``, so few good documents there would have a chance of ``level`` at most.
+
+    ``values``: good holdout documents by value of the feature, from 0 to ``GRID``.
+    """
     n, above, chosen = sum(values), 0, None
     for cutoff in range(GRID - 1, -1, -1):
         above += values[cutoff + 1]
-        if allowed <= 0 or binomial_at_most(above, n, allowed) > level:
+        if allowed <= 0 or above >= allowed * n or binomial_at_most(above, n, allowed) > level:
             break
         chosen = cutoff
     return chosen
 
 
-def choose_cutoffs(counts: dict[tuple, int], *, allowed: float | dict, confidence: float) -> dict[tuple, int]:
-    """Lowest safe cutoff by (stratum, feature).
+def next_rule(good: dict[str, list[int]], bad: dict[str, list[int]], unused: list[str], left: float, level: float) -> tuple[str, int, float] | None:
+    """(feature, cutoff, share that it may reject) of the safe rule that catches most bad documents; None if none catches any.
 
-    ``counts``: good holdout documents by (stratum, feature, value from 0 to ``GRID``). A cutoff
-    is safe if seeing so few good documents above it would have at most the corrected chance,
-    were the true share above ``allowed`` (one share, or one by stratum). Without a safe cutoff
-    a rule is not used.
+    ``good`` and ``bad``: a stratum's holdout documents by feature and value, the bad ones
+    without those that its other rules reject. The cutoff is the highest that rejects the same bad documents as
+    the lowest safe one. The share is an upper bound that holds, with those of all other
+    cutoffs, at the stated confidence. Of equal rules the first in order of name counts.
     """
-    level, chosen = _level(counts, confidence), {}
-    for key in sorted({k[:2] for k in counts}, key=str):
-        cutoff = _lowest_safe([counts.get((*key, v), 0) for v in range(GRID + 1)], allowed[key[0]] if isinstance(allowed, dict) else allowed, level)
-        if cutoff is not None:
-            chosen[key] = cutoff
-    return chosen
-
-
-def raise_cutoffs(cutoffs: dict[tuple, int], bad: dict[tuple, int]) -> dict[tuple, int]:
-    """The highest cutoffs that reject the same bad documents, without those that reject none.
-
-    ``bad``: bad holdout documents by (stratum, feature, value).
+    best = None
+    for feature in sorted(unused):
+        cutoff = lowest_safe(good[feature], left, level)
+        if cutoff is None or not (caught := sum(bad[feature][cutoff + 1 :])):
+            continue
+        while not bad[feature][cutoff + 1]:
+            cutoff += 1
+        if best is None or caught > best[0]:
+            best = (caught, feature, cutoff)
+    if best is None:
+        return None
+    _, feature, cutoff = best
+    values = good[feature]
+    return feature, cutoff, upper_bound(sum(values[cutoff + 1 :]), sum(values), level)
+
+
+def _rejected() -> Column:
+    """Whether a feature is above the cutoff of its stratum, where it has one."""
+    any_ = F.lit(False)
+    for f in FEATURES:
+        any_ = any_ | F.coalesce(F.col(f) > F.col(f"_cut_{f}"), F.lit(False))
+    return any_
+
+
+def choose_cutoffs(holdout: DataFrame, *, allowed: float, confidence: float) -> DataFrame:
+    """One row for each stratum with good documents: ``_of`` (the stratum), ``_left`` and a cutoff ``_cut_<feature>``, null for a rule that is not used.
+
+    ``holdout``: _stratum, _q (1 good, 0 bad) and the features. Each round gives each stratum
+    one rule more and counts anew which bad documents are left. A stratum's counts, at most
+    one row for each feature and value, are what a task holds.
     """
-    out = {}
-    for key, cutoff in cutoffs.items():
-        if caught := [v for v in range(cutoff + 1, GRID + 1) if bad.get((*key, v), 0)]:
-            out[key] = caught[0] - 1
-    return out
-
+    cuts = ", ".join(f"_cut_{f} int" for f in FEATURES)
+    state = holdout.where("_q = 1").select(F.col("_stratum").alias("_of")).distinct().withColumns({"_left": F.lit(allowed).cast("double")} | {f"_cut_{f}": F.lit(None).cast("int") for f in FEATURES})
+    state = stage(state, "cutoffs")
+    level = error_level(state.count(), confidence)
+    kept = [c for c in state.columns]
+
+    def step(rows):
+        out = rows[kept].iloc[:1].copy()
+        good, bad = ({f: [0] * (GRID + 1) for f in FEATURES} for _ in range(2))
+        for f, v, g, b in zip(rows["feature"], rows["value"], rows["good"], rows["bad"]):
+            good[f][v], bad[f][v] = int(g), int(b)
+        unused = [f for f in FEATURES if out[f"_cut_{f}"].isna().iloc[0]]
+        if rule := next_rule(good, bad, unused, float(out["_left"].iloc[0]), level):
+            out[f"_cut_{rule[0]}"] = rule[1]
+            out["_left"] -= rule[2]
+        return out
 
-def _rejects(cutoffs: dict[tuple, int]) -> Column:
-    bad = F.lit(False)
-    for (stratum, feature), cutoff in cutoffs.items():
-        bad = bad | (F.col("_stratum").eqNullSafe(F.lit(stratum)) & (F.col(feature) > cutoff))
-    return bad
+    for _ in FEATURES:
+        open_ = holdout.join(small(state), F.col("_stratum").eqNullSafe(F.col("_of"))).where((F.col("_q") == 1) | ~_rejected())
+        long = open_.select(*kept, "_q", F.explode(F.create_map(*[x for f in FEATURES for x in (F.lit(f), F.col(f))])).alias("feature", "value"))
+        counts = long.groupBy(*kept, "feature", "value").agg(F.count_if(F.col("_q") == 1).alias("good"), F.count_if(F.col("_q") == 0).alias("bad"))
+        state = stage(counts.groupBy("_of").applyInPandas(step, f"_of string, _left double, {cuts}"), "cutoffs")
+    return state
 
 
 def _features(stats: DataFrame) -> DataFrame:
@@ -151,36 +184,24 @@ def judge(docs: DataFrame, labels: DataFrame, *, stratum_col: str = "lang", allo
     Base rules: under ``min_words`` words, or more than ``max_repeat_pct`` per cent of them in
     repeated windows. Of the rest a document is kept unless a feature is above the cutoff of
     its stratum; the rules of a stratum together reject at most ``allowed`` of its good
-    documents. Good holdout documents are the labelled ones of quality 1 that pass the base
-    rules; a document labelled more than once counts as good only if all labels say so, and as
-    bad if any label says 0. Each further rule counts for the bad documents that the ones
-    before it leave. A
+    documents, with ``confidence`` for all strata at once. Good holdout documents are the
+    labelled ones of quality 1 that pass the base rules; a document labelled more than once
+    counts as good only if all labels say so, and as bad if any label says 0. Of several rows
+    with a labelled id one is in the holdout, that with the smallest stratum and features. A
     null stratum is a stratum of its own; strata without labels, and empty labels, have no
     cutoffs and keep what passes the base rules. Null texts fail. Repeated rows are judged
-    alike; a null doc_id is judged but never a holdout row. Extra columns do not matter.
+    alike; a null doc_id is judged but never a holdout row. Empty tables give no rows; extra
+    columns do not matter. A task holds one text, and about 40 bytes for each of its bytes.
     """
-    stats = text_statistics(docs.select("doc_id", *keep, F.col(stratum_col).cast("string").alias("_stratum"), "text"), keep=("doc_id", *keep, "_stratum"))
-    stats = stage(_features(stats).withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))), "text-statistics")
-    said = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q"))
-    holdout = stage(stats.where(~F.col("base_failed")).join(said.where("_q in (0, 1)"), "doc_id").dropDuplicates(["doc_id"]).select("_stratum", "_q", *FEATURES), "holdout")
-
-    def counted(rows: DataFrame, features: tuple[str, ...]) -> dict[tuple, int]:
-        long = rows.select("_stratum", F.explode(F.create_map(*[x for f in features for x in (F.lit(f), F.col(f))])).alias("feature", "value"))
-        return {(r["_stratum"], r["feature"], r["value"]): r["count"] for r in long.groupBy("_stratum", "feature", "value").count().collect()}  # strata x features x grid
-
-    good, cutoffs = counted(holdout.where("_q = 1"), FEATURES), {}
-    left = {k[0]: allowed for k in good}
-    for _ in FEATURES:
-        bad = counted(holdout.where("_q = 0").where(~_rejects(cutoffs)), FEATURES)
-        raised = raise_cutoffs({k: c for k, c in choose_cutoffs(good, allowed=left, confidence=confidence).items() if k not in cutoffs}, bad)
-        for stratum in {k[0] for k in raised}:
-            caught = {k: sum(bad.get((*k, v), 0) for v in range(c + 1, GRID + 1)) for k, c in raised.items() if k[0] == stratum}
-            best = max(sorted(caught, key=str), key=caught.get)
-            values = [good.get((*best, v), 0) for v in range(GRID + 1)]
-            cutoffs[best] = raised[best]
-            left[stratum] -= upper_bound(sum(values[raised[best] + 1 :]), sum(values), _level(good, confidence))
-    bad = _rejects(cutoffs)
-    return stats.withColumn("kept", ~F.col("base_failed") & ~bad).drop("_stratum", "n_lines")
+    rows = docs.select("doc_id", *keep, F.col(stratum_col).cast("string").alias("_stratum"), "text")
+    stats = text_statistics(rows, keep=("doc_id", *keep, "_stratum"))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
+    stats = stage(_features(stats).withColumn("base_failed", failed), "text-statistics")
+    said = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q")).where("_q in (0, 1)")
+    one = stats.where(~F.col("base_failed")).join(said, "doc_id").groupBy("doc_id", "_q").agg(F.min(F.struct("_stratum", *FEATURES)).alias("r"))
+    cutoffs = choose_cutoffs(stage(one.select("r.*", "_q"), "holdout"), allowed=allowed, confidence=confidence)
+    judged = stats.join(small(cutoffs), F.col("_stratum").eqNullSafe(F.col("_of")), "left").withColumn("kept", ~F.col("base_failed") & ~_rejected())
+    return judged.drop("_stratum", "n_lines", *cutoffs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

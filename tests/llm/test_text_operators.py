@@ -1,6 +1,7 @@
 """Operators on single texts and pages against plain versions, with the awkward rows."""
 
 import html
+import math
 import random
 import re
 import time
@@ -10,6 +11,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from guilloche.llm import html_text, packing, quality_rules, token_files, url_filter, warc
 from guilloche.llm.common import new_path
 from guilloche.llm.tokenize import encoder, vocabulary
@@ -72,25 +75,123 @@ def test_token_files_round_trip(spark, encoding):
     assert token_files.with_crc32(token_files.read_token_files(spark, nothing, path)).count() == 0
 
 
-def test_text_statistics_and_rules(spark):
+def plain_statistics(text):
+    """n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words by the letter of the contract."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    win = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    covered = {j for i in range(len(words) - 4) if win[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    again = sum(x in lines[:k] for k, x in enumerate(lines))
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines), again, len(covered)
+
+
+def plain_judge(rows, labels, allowed=0.05, confidence=0.95):
+    """(doc_id, the four base columns, base_failed, kept) by plain loops; exact tails from whole-number binomials."""
+    stats = []
+    for i, text, lang in rows:
+        n, chars, symbols, lines, dup, repeat = plain_statistics(text)
+        pct = lambda part, of: min(100, 100 * part // of) if of else 0
+        feature = {"symbol_pct": pct(symbols, n), "dup_line_pct": pct(dup, lines), "long_word_pct": pct(max(0, chars - 5 * n), 20 * n)}
+        stats.append((i, lang, feature, n < 10 or 100 * repeat > 20 * n, (n, chars, symbols, dup, repeat)))
+    truth = {}
+    for i, q in labels:
+        if i is not None:
+            truth[i] = min(q, truth.get(i, q))
+    holdout = {i: (lang, f, truth[i]) for i, lang, f, failed, _ in stats if i in truth and not failed}
+    strata = {lang for lang, _, q in holdout.values() if q}
+    level = (1 - confidence) / (len(strata) * 300 or 1)
+
+    def tail(k, n, p):
+        return sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
+
+    cut = {}
+    for lang in strata:
+        good, left, used = [f for x, f, q in holdout.values() if x == lang and q], allowed, {}
+        for _ in range(3):
+            bad = [f for x, f, q in holdout.values() if x == lang and not q and not any(f[k] > c for k, c in used.items())]
+            options = []
+            for name in sorted(set(good[0]) - set(used)):
+                safe = [c for c in range(100) if all(left > 0 and tail(sum(f[name] > d for f in good), len(good), left) <= level for d in range(c, 100))]
+                if safe and (caught := [f[name] for f in bad if f[name] > safe[0]]):
+                    options.append((len(caught), name, min(caught) - 1))
+            if options:
+                _, name, c = max(options, key=lambda o: o[0])
+                used[name] = c
+                above = sum(f[name] > c for f in good)
+                left -= next(p / 1e6 for p in range(1, 10**6) if tail(above, len(good), p / 1e6) <= level)
+        cut[lang] = used
+    return [(i, *x, failed, not failed and not any(f[k] > c for k, c in cut.get(lang, {}).items())) for i, lang, f, failed, x in stats]
+
+
+def test_judge_equals_plain_version(spark):
+    r = random.Random(5)
+    words = [w for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron".split() for _ in range(3)] + [f"w{k}" for k in range(300)]
+    rows, labels = [], []
+    for k in range(700):
+        t = " ".join(r.choices(words, k=r.randrange(5, 40)))
+        flaw = r.random()
+        if flaw < 0.1:
+            t += " #" * r.randrange(1, 25)
+        elif flaw < 0.2:
+            t += "\nline one" * r.randrange(2, 9)
+        elif flaw < 0.25:
+            t += " " + "z" * 300
+        rows.append((k, t, r.choice(["en", "en", "en", None])))
+        if r.random() < 0.9:
+            labels.append((k, int(r.random() > (0.9 if 0 < flaw < 0.25 else 0.02))))
+    rows += [(900, None, "en"), (901, "", "fr"), (None, "x " * 12, "en"), (902, "\n\n a\x85b \x0b c\n a\x85b \x0b c", "fr")]
+    labels += [(3, 0), (None, 1), (4, 1), (4, 1)]
+    frame = spark.createDataFrame([(i, t, x, "clash") for i, t, x in rows], "doc_id long, text string, lang string, feature string")
+    got = quality_rules.judge(frame, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    plain = plain_judge(rows, labels)
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert sorted((tuple(x[c] for c in columns) for x in got), key=str) == sorted(plain, key=str)
+    assert 0 < sum(not x[6] and not x[7] for x in plain) < 200
+
+
+def test_statistics_of_odd_texts(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(1, 7)], "doc_id long, quality int")
     for r in quality_rules.judge(docs(spark), labels).collect():
-        text = next(t for i, t in TEXTS if i == r.doc_id) or ""
-        words = re.findall(r"[^\x20\x09-\x0D]+", text)
-        win = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
-        covered = {j for i in range(len(words) - 4) if win[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
-        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(words), sum(map(len, words)), len(covered))
-        assert r.base_failed == (len(words) < 10 or 100 * len(covered) > 20 * len(words))
-        assert not (r.base_failed and r.kept)
+        n, chars, symbols, _, dup, repeat = plain_statistics(next(t for i, t in TEXTS if i == r.doc_id))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, repeat)
+        assert r.base_failed == (n < 10 or 100 * repeat > 20 * n) and not (r.base_failed and r.kept)
     assert quality_rules.judge(docs(spark, []), labels).count() == 0
+    assert quality_rules.judge(docs(spark), labels.where("false")).where(F.col("kept") == F.col("base_failed")).count() == 0
 
 
-def test_cutoffs_keep_the_stated_share():
-    counts = {("en", "f", v): n for v, n in ((0, 4000), (10, 100), (90, 40))}
-    cut = quality_rules.choose_cutoffs(counts, allowed=0.05, confidence=0.95)[("en", "f")]
-    assert cut == 0  # 140 of 4140 above it: safely below 5 per cent
-    assert quality_rules.choose_cutoffs({("en", "f", 0): 20}, allowed=0.05, confidence=0.95) == {}  # too few to say
+def test_lowest_safe_cutoff():
+    values = [0] * 101
+    values[0], values[10], values[90] = 4000, 100, 40
+    level = quality_rules.error_level(1, 0.95)
+    assert quality_rules.lowest_safe(values, 0.05, level) == 0  # 140 of 4140 above it: safely below 5 per cent
+    assert quality_rules.lowest_safe([20] + [0] * 100, 0.05, level) is None  # too few to say
     assert abs(quality_rules.binomial_at_most(1, 3, 0.5) - 0.5) < 1e-12
+    assert quality_rules.binomial_at_most(140, 4140, quality_rules.upper_bound(140, 4140, level)) <= level
+
+
+def test_promise_holds_for_all_rules_together():
+    """Simulated holdouts: the rules of a stratum together reject more good documents than allowed in at most 5 per cent of the runs."""
+    rng = np.random.default_rng(3)
+    names, allowed, broken, used = list(quality_rules.FEATURES), 0.05, 0, 0
+    share = {n: s for n, s in zip(names, (0.018, 0.012, 0.02))}  # of good documents with a large value, independent
+    for _ in range(150):
+        draw = lambda n, of: {f: np.where(rng.random(n) < of[f], rng.integers(30, 60, n), rng.integers(0, 20, n)) for f in names}  # noqa: B023, E731
+        good, bad = draw(3000, share), draw(300, dict.fromkeys(names, 0.3))
+        cut, left, level = {}, allowed, quality_rules.error_level(1, 0.95)
+        for _ in names:
+            open_ = np.ones(300, bool)
+            for f, c in cut.items():
+                open_ &= bad[f] <= c
+            counts = lambda x, keep: {f: np.bincount(x[f][keep], minlength=101).tolist() for f in names}  # noqa: B023, E731
+            if rule := quality_rules.next_rule(counts(good, slice(None)), counts(bad, open_), [f for f in names if f not in cut], left, level):
+                cut[rule[0]] = rule[1]
+                left -= rule[2]
+        above = lambda f, c: share[f] * max(0, 59 - max(c, 29)) / 30 + (1 - share[f]) * max(0, 19 - c) / 20  # noqa: B023, E731
+        kept = np.prod([1 - above(f, c) for f, c in cut.items()])
+        broken += 1 - kept > allowed
+        used += len(cut)
+    assert broken <= 0.05 * 150 and used > 150
 
 
 def test_rules_share_the_allowed_share(spark):
@@ -106,7 +207,6 @@ def test_rules_share_the_allowed_share(spark):
     labels += [(10_000 + k, 0) for k in range(50)]
     got = quality_rules.judge(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
     assert all(r.kept for r in got if r.doc_id < 10_000) and not any(r.kept for r in got if r.doc_id >= 10_000)
-    assert quality_rules.raise_cutoffs({("en", "f"): 3, ("en", "g"): 3}, {("en", "f", 3): 9, ("en", "f", 40): 1, ("en", "g", 2): 5}) == {("en", "f"): 39}
 
 
 def test_main_text_of_pages(spark):
