@@ -13,20 +13,22 @@ MAX_ROUNDS = 60
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of an edge; the component is its smallest node.
 
-    Each step re-hangs a node's neighbours on its smallest one; a step is one aggregate and one
-    join on the node, and its result is written, so lineage stays short. Nothing is gathered
-    but the sums that tell whether a round changed anything. Self-links and repeated links
+    Each step re-hangs a node's neighbours on its smallest one. The smallest neighbours, one
+    aggregate, are written before they meet the links again: the centre of a large component
+    then is a skewed key of a plain join, which Spark splits. So is what a round leaves, and
+    lineage stays short. Nothing is gathered but the sums that tell whether a round changed anything. Self-links and repeated links
     add nothing; a link with a null end is left out.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     pairs, before = stage(pairs, "edges"), None
     for _ in range(MAX_ROUNDS):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
         # Large star: neighbours above u hang on the smallest of u and its neighbours.
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: neighbours below u, and u, hang on the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stage(large, "edges")
+        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(low, "u")
         pairs = stage(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -1,21 +1,25 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
 Texts with equal shingle sets are one class. Each class is posted under the (coordinate,
-value) pairs of its signature. Two signatures that agree in ``MATCHES`` of ``COORDINATES``
-coordinates share one of the first COORDINATES - MATCHES + 1 postings of each in order of
-rarity (prefix), so the long lists at the end of that order are skipped and only compared
-position by position when a pair has met. Pairs above the match threshold are confirmed on
-full shingle sets.
-
-A list with thousands of classes is not paired off. First its classes meet only the most
-central class of the list; that joins most of a group of copies. The classes of a list that
-then lie in different components are compared exactly: they meet on the rarest of their
-shingles that another component has as well (prefix), if their sizes and the number of such
-shingles allow the similarity at all.
+value) pairs of its signature. Two signatures that collide in M of ``COORDINATES``
+coordinates share one of the first COORDINATES - M + 1 postings of each in order of rarity
+(prefix), so only the lists of those are merged; the long ones at the end of that order are
+skipped, and their collisions counted position by position for a pair that has met. Pairs
+with M collisions or more are confirmed on full shingle sets.
+
+No list is paired off, however short. First its classes meet only the most central class of
+the list; that joins most of a group of copies. Classes of a list that then lie in different
+components are compared exactly: they meet on the rarest of their shingles that another
+component has as well (prefix), if their sizes and the number of such shingles allow the
+similarity at all. In the worst case, many components whose classes share almost as much as
+the threshold asks for, that makes as many candidates as pairs of such classes; signatures
+and sizes drop them before any set is read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,9 +31,8 @@ from .graph import connected_components
 from .hashing import blocks, lower, shingle_sets
 
 COORDINATES = 64
-#: A pair of similarity 0.8 agrees in fewer coordinates with a chance below 1e-7.
-MATCHES = 32
-_BYTES = 6  # of a shingle's hash that are kept in a set
+#: Chance at which a pair at the threshold may agree in too few coordinates to be compared.
+MISS = 1e-7
 _MULTIPLY = np.random.default_rng(5).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(6).integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 
@@ -46,14 +49,14 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int32)
 
 
-def _pack_set(s: np.ndarray) -> bytes:
-    return np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - _BYTES :]).tobytes()
-
-
-def _unpack_set(b: bytes) -> np.ndarray:
-    full = np.zeros((len(b) // _BYTES, 8), np.uint8)
-    full[:, 8 - _BYTES :] = np.frombuffer(b, np.uint8).reshape(-1, _BYTES)
-    return full.view("<u8").ravel()
+def least_matches(percent: int, miss: float = MISS) -> int:
+    """Match threshold: a pair of that similarity agrees in fewer coordinates with a chance of ``miss`` at most."""
+    p, tail = percent / 100, 0.0
+    for k in range(COORDINATES + 1):
+        tail += math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        if tail > miss:
+            return k
+    return COORDINATES
 
 
 def fingerprints(docs: DataFrame, shingle: int, *, with_set: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,9 +73,10 @@ def fingerprints(docs: DataFrame, shingle: int, *, with_set: bool = False, id_co
                 own = ids[k : k + len(part)]
                 k += len(part)
                 keys = [xxhash.xxh3_128_digest(s) if len(s) else f"empty {i}".encode() for s, i in zip(sets, own)]
-                columns = [pa.array(own, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([sigs.get(i) for i in range(len(part))], pa.list_(pa.int32()))]
+                found = [sigs.get(i) for i in range(len(part))]
+                columns = [pa.array(own, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int32()))]
                 if with_set:
-                    columns.append(pa.array([_pack_set(s) if len(s) else None for s in sets], pa.binary()))
+                    columns.append(pa.array([s.astype("<u8").tobytes() if len(s) else None for s in sets], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -82,12 +86,15 @@ def fingerprints(docs: DataFrame, shingle: int, *, with_set: bool = False, id_co
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
     """Pairs (a, b) of classes whose signatures agree often enough and whose full sets are similar enough.
 
-    A class that many pairs name is an ordinary skewed join key: Spark splits its pairs.
+    Signatures and sizes drop most pairs before any set is fetched. A class that many pairs
+    name is an ordinary skewed join key: Spark splits its pairs.
     """
-    one = pairs.join(sets.select(F.col("rep").alias("a"), F.col("signature").alias("sa"), F.col("set").alias("xa")), "a")
-    two = one.join(sets.select(F.col("rep").alias("b"), F.col("signature").alias("sb"), F.col("set").alias("xb")), "b")
+    side = lambda k: sets.select(F.col("rep").alias(k), F.col("signature").alias(f"s{k}"), F.col("n_shingles").alias(f"n{k}"))
     agree = F.size(F.filter(F.arrays_zip("sa", "sb"), lambda p: p["sa"] == p["sb"]))
-    sizes = (F.octet_length("xa") * 100 >= F.octet_length("xb") * percent) & (F.octet_length("xb") * 100 >= F.octet_length("xa") * percent)
+    sizes = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(sizes).where(agree >= matches).select("a", "b")
+    met = stage(met, "matches")
+    full = lambda k: sets.select(F.col("rep").alias(k), F.col("set").alias(f"x{k}"))
 
     def compare(batches):
         last = (None, None)
@@ -97,27 +104,28 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int, matches: int) -> Da
             for x, y in zip(t.column(2), t.column(3)):
                 x, y = x.as_py(), y.as_py()
                 if last[0] != x:
-                    last = (x, _unpack_set(x))
-                p, q = last[1], _unpack_set(y)
+                    last = (x, np.frombuffer(x, "<u8"))
+                p, q = last[1], np.frombuffer(y, "<u8")
                 at = np.minimum(np.searchsorted(p, q), len(p) - 1)
                 common = int((p[at] == q).sum())
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, k in zip(a, keep) if k], pa.int64()), pa.array([i for i, k in zip(b, keep) if k], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, k in zip(x, keep) if k], pa.int64()) for x in (a, b)], ["a", "b"])
 
-    return two.where(sizes).where(agree >= matches).select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long")
+    return met.join(full("a"), "a").join(full("b"), "b").select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long")
 
 
 def _postings(classes: DataFrame, matches: int) -> DataFrame:
     """The prefix postings (token, rep, size, weight) of the classes that can match another at all."""
     tokens = classes.select("rep", F.posexplode("signature").alias("i", "v")).select("rep", F.expr("(cast(i as bigint) << 32) | (cast(v as bigint) & 4294967295L)").alias("token"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # Written before they meet the tokens again: a very common token then is a skewed key of a plain join.
+    common = stage(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "tokens")
     shared = tokens.join(common, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     # Unique tokens stand first in the order of rarity and fill the prefix; what is left of it are shared ones.
     prefix = shared.where(F.size("t") >= matches).select("rep", F.expr("aggregate(t, 0D, (s, x) -> s + ln(x.df))").alias("weight"), F.slice("t", F.lit(1), F.size("t") - matches + 1).alias("t"))
     return stage(prefix.select("rep", "weight", F.explode("t.token").alias("token")), "postings")
 
 
-def components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, matches: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Two rows are linked if 100 * |common shingles| >= percent * |all shingles|. The component
@@ -125,8 +133,10 @@ def components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, matches:
     have no shingles and no links; a text shorter than a shingle is one shingle. Repeated
     rows are copies of each other. A row without doc_id joins no component's name: it gets
     the id of its equals (null if none) and is not kept. Empty tables give no rows; extra
-    columns do not matter.
+    columns do not matter. Signatures must agree in ``matches`` coordinates, by default in
+    ``least_matches(percent)``. A task holds one text and about 40 bytes for each of its bytes.
     """
+    matches = least_matches(percent) if matches is None else matches
     prints = stage(fingerprints(docs, shingle, id_col=id_col, text_col=text_col), "fingerprints")
     named = prints.where(F.col("doc_id").isNotNull())
     reps = stage(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
@@ -161,7 +171,7 @@ def _between(posted: DataFrame, sets: DataFrame, found: DataFrame, percent: int)
     def explode(batches):
         for t in batches:
             for rep, comp, x in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), t.column(2)):
-                s = _unpack_set(x.as_py()).view("<i8")
+                s = np.frombuffer(x.as_py(), "<i8")
                 n = len(s)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep)), pa.array(np.full(n, comp)), pa.array(s)], ["rep", "comp", "s"])
 

@@ -65,6 +65,23 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dup.components(make(spark, [])).count() == 0
 
 
+def test_match_threshold_follows_the_similarity(spark):
+    """Chains of texts that drift apart around half their shingles."""
+    r = random.Random(9)
+    rows, n = [], 0
+    for _ in range(8):
+        words = [f"v{r.randrange(3000)}" for _ in range(60)]
+        for _ in range(12):
+            rows.append((n, " ".join(words)))
+            n += 1
+            for _ in range(r.choice([2, 4, 6])):
+                words[r.randrange(60)] = f"v{r.randrange(3000)}"
+    want = brute(rows, 4, 50)
+    got = near_dup.components(make(spark, rows), shingle=4, percent=50).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want and len({c for _, c in want.values()}) > 8
+    assert near_dup.least_matches(80) > near_dup.least_matches(50) > 0
+
+
 def test_connected_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1040)] + [(7, 7), (None, 3)]
