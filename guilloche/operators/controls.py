@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from guilloche.functions.portable import digits, scatter
+
 from . import pixels as P
 from . import stencil as S
 
@@ -21,14 +23,13 @@ def blank(pixels: DataFrame, level: int) -> DataFrame:
 
 def noise(pixels: DataFrame, seed: int = 0) -> DataFrame:
     """Noise that depends on the place and the seed alone."""
-    return _with(pixels, *[F.pmod(F.xxhash64("note_id", "y", "x", F.lit(k), F.lit(seed)), F.lit(256)) for k in range(3)])
+    s = pixels.withColumn("_s", scatter("note_id", "y", "x", seed=seed))
+    return _with(s, *[digits(F.col("_s"), 2 * k, 2) for k in range(3)])
 
 
 def heavy_blur(pixels: DataFrame, *, size: int = 51) -> DataFrame:
-    out = pixels.select(*_KEYS)
-    for c in "bgr":
-        out = out.join(S.blur(pixels, c, size=size), ["note_id", "y", "x"])
-    return out
+    """Gaussian blur of all channels; the image size is carried along, so nothing is joined."""
+    return S.blur_channels(pixels, size=size).select(*_KEYS, "b", "g", "r")
 
 
 def low_resolution(pixels: DataFrame, *, width: int = 80) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 GRADE_ORDER = ("clean", "phone", "edge_case", "fake")
 
 
@@ -67,13 +69,13 @@ def separators(checks: DataFrame, labels: DataFrame) -> DataFrame:
 def signal_distribution(signals: DataFrame, key: str, *, value: str = "signal") -> DataFrame:
     """Lowest, upper median (the element at n / 2 of the sorted values) and highest value of each group.
 
-    Distinct values are counted first, so that a large group is reduced before it is ordered.
+    Distinct values are counted first, and added up by ranges, so that no task holds a group.
     """
     counts = signals.groupBy(key, value).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = counts.withColumns({"upto": F.sum("c").over(upto), "n": F.sum("c").over(Window.partitionBy(key))})
-    median = F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col(value)))
-    return run.groupBy(key).agg(F.max("n").alias("n"), F.min(value).alias("lowest"), median.alias("upper_median"), F.max(value).alias("highest"))
+    run = running(counts, [key], [F.col(value)], {"upto": F.col("c")})
+    ends = counts.groupBy(F.col(key).alias("_key")).agg(F.sum("c").alias("n"), F.min(value).alias("lowest"), F.max(value).alias("highest"))
+    middle = run.join(ends, F.col(key).eqNullSafe(F.col("_key"))).where(F.col("upto") > F.floor(F.col("n") / 2))
+    return middle.groupBy(key, "n", "lowest", "highest").agg(F.min(value).alias("upper_median")).select(key, "n", "lowest", "upper_median", "highest")
 
 
 def bucket_of(grade: str = "grade", fake_type: str = "fake_type") -> Column:

@@ -1,17 +1,18 @@
 """Stencils and morphology as window frames, and components of masks.
 
-A row or a column of an image is the window partition: no task holds more of it.
+A row or a column of an image is the window partition; only the labels of a mask's runs need the
+runs of one image in a task.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guilloche.staging import stage
-
 
 def along_row():
     return Window.partitionBy("note_id", "y").orderBy("x")
@@ -28,17 +29,36 @@ def gaussian_kernel(size: int) -> list[float]:
     return [x / sum(k) for x in k]
 
 
-def _blur_lines(values: DataFrame, line: str, at: str, value: str, kernel: list[float]) -> DataFrame:
-    half = len(kernel) // 2
-    rows = values.groupBy("note_id", line).agg(F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda p: p[value].cast("double")).alias("a"))
-    n = F.size("a")
+def _weighted(kernel: list[float]):
+    """A function of array columns: each element's neighbours, mirrored at both ends, weighted by the kernel."""
+
+    @F.pandas_udf("array<double>")
+    def taps(lines: pd.Series) -> pd.Series:
+        places: dict[int, np.ndarray] = {}
+        out = []
+        for line in lines:
+            n = len(line)
+            if n not in places:
+                i = np.abs(np.arange(n)[:, None] + np.arange(len(kernel)) - len(kernel) // 2) % max(2 * (n - 1), 1)
+                places[n] = np.where(i < n, i, 2 * (n - 1) - i)
+            out.append(np.asarray(line, float)[places[n]] @ np.array(kernel))
+        return pd.Series(out)
+
+    return taps
 
-    def mirrored(i: Column) -> Column:
-        back = F.abs(i) % F.greatest(2 * (n - 1), F.lit(1))
-        return F.when(back < n, back).otherwise(2 * (n - 1) - back)
 
-    taps = lambda i: sum((F.get("a", mirrored(i + d - half).cast("int")) * w for d, w in enumerate(kernel)), F.lit(0.0))
-    return rows.select("note_id", line, F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), taps)).alias(at, value))
+def _blur_lines(values: DataFrame, line: str, at: str, names: tuple[str, ...], kernel: list[float], keep: tuple[str, ...]) -> DataFrame:
+    taps = _weighted(kernel)
+    rows = values.groupBy("note_id", line, *keep).agg(F.array_sort(F.collect_list(F.struct(at, *names))).alias("p"))
+    blurred = rows.select("note_id", line, *keep, *[taps(F.col(f"p.{v}")).alias(v) for v in names])
+    return blurred.select("note_id", line, *keep, F.posexplode(F.arrays_zip(*names)).alias(at, "q")).select("note_id", line, *keep, at, *[F.col(f"q.{v}").alias(v) for v in names])
+
+
+def _blurred(values: DataFrame, names: tuple[str, ...], size: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    kernel = gaussian_kernel(size)
+    along = _blur_lines(values, "y", "x", names, kernel, keep)
+    down = _blur_lines(along, "x", "y", names, kernel, keep)
+    return down.select("note_id", "y", "x", *keep, *[F.floor(F.round(v, 6) + 0.5).cast("int").alias(v) for v in names])
 
 
 def blur(values: DataFrame, value: str, *, size: int = 21) -> DataFrame:
@@ -46,10 +66,12 @@ def blur(values: DataFrame, value: str, *, size: int = 21) -> DataFrame:
 
     Two separable passes over arrays of one row and one column of the image.
     """
-    kernel = gaussian_kernel(size)
-    along = _blur_lines(values.select("note_id", "y", "x", value), "y", "x", value, kernel)
-    down = _blur_lines(along, "x", "y", value, kernel)
-    return down.select("note_id", "y", "x", F.floor(F.round(value, 6) + 0.5).cast("int").alias(value))
+    return _blurred(values.select("note_id", "y", "x", value), (value,), size)
+
+
+def blur_channels(pixels: DataFrame, *, size: int = 21) -> DataFrame:
+    """The same blur of all channels of a pixel table at once."""
+    return _blurred(pixels, ("b", "g", "r"), size, ("w", "h"))
 
 
 def _around(c: str, w) -> tuple[Column, Column]:
@@ -92,52 +114,125 @@ def open_down(mask: DataFrame, c: str, k: int) -> DataFrame:
     return mask.withColumn(c, F.min(c).over(_frame(k))).withColumn(c, F.max(c).over(_frame(k)))
 
 
-def components(mask: DataFrame, c: str, *, max_rounds: int = 100) -> DataFrame:
-    """Eight-connected components of set pixels: note_id, label, x0, y0, w, h, area.
+def column_runs(mask: DataFrame, c: str, height: str = "h") -> DataFrame:
+    """Runs of set pixels down each column: note_id, x, y0, y1 and the image height h."""
+    island = F.col("y") - F.row_number().over(down_column())
+    runs = mask.where(F.col(c) > 0).withColumn("_i", island).groupBy("note_id", "x", "_i")
+    return runs.agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.first(height).alias("h")).drop("_i")
+
+
+def _dilated(runs: DataFrame, k: Column) -> DataFrame:
+    """Each run grown by a frame of k rows, cut at the image; runs that then touch are one."""
+    before = F.floor(k / 2).cast("int")
+    grown = runs.select("note_id", "x", "h", F.greatest(F.col("y0") - (k - 1 - before), F.lit(0)).alias("y0"), F.least(F.col("y1") + before, F.col("h") - 1).alias("y1"))
+    w = Window.partitionBy("note_id", "x").orderBy("y0", "y1")
+    reach = F.max("y1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    parts = grown.withColumn("_new", F.when(F.col("y0") > reach + 1, 1).otherwise(0)).withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return parts.groupBy("note_id", "x", "_i").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.first("h").alias("h")).drop("_i")
+
+
+def _eroded(runs: DataFrame, k: Column) -> DataFrame:
+    """Each run shrunk by a frame of k rows, but not where it meets the border."""
+    before = F.floor(k / 2).cast("int")
+    top = F.when(F.col("y0") == 0, 0).otherwise(F.col("y0") + before)
+    bottom = F.when(F.col("y1") == F.col("h") - 1, F.col("y1")).otherwise(F.col("y1") - (k - 1 - before))
+    return runs.select("note_id", "x", "h", top.alias("y0"), bottom.alias("y1")).where("y0 <= y1")
+
+
+def close_runs(runs: DataFrame, k: Column) -> DataFrame:
+    """``close_down`` on runs, over a number of rows that may differ between images."""
+    return _eroded(_dilated(runs, k), k)
+
 
-    Columns are cut into runs; runs of neighbouring columns that touch share the smallest
-    label, round by round, until nothing changes. Each round is written.
+def open_runs(runs: DataFrame, k: Column) -> DataFrame:
+    """``open_down`` on runs, over a number of rows that may differ between images."""
+    return _dilated(_eroded(runs, k), k)
+
+
+def run_labels(x: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """For runs in order of (x, y0) the index of the first run of each one's eight-connected component.
+
+    Neighbours are found by binary search, labels by hooking and pointer jumping: a few
+    vectorised rounds, whatever the shape.
     """
-    island = F.col("y") - F.row_number().over(down_column())
-    runs = mask.where(F.col(c) > 0).withColumn("_i", island).groupBy("note_id", "x", "_i").agg(F.min("y").alias("y0"), F.max("y").alias("y1"))
-    runs = stage(runs.select("note_id", "x", "y0", "y1", F.struct("x", "y0").alias("label")), "runs")
-    a, b = runs.alias("a"), runs.alias("b")
-    touch = (F.col("a.note_id") == F.col("b.note_id")) & (F.col("a.x") + 1 == F.col("b.x")) & (F.col("a.y0") <= F.col("b.y1") + 1) & (F.col("b.y0") <= F.col("a.y1") + 1)
-    key = lambda s: F.struct(f"{s}.x", f"{s}.y0")
-    one = a.join(b, touch).select(F.col("a.note_id").alias("note_id"), key("a").alias("p"), key("b").alias("q"))
-    links = stage(one.unionByName(one.select("note_id", F.col("q").alias("p"), F.col("p").alias("q"))), "links")
-    for _ in range(max_rounds):
-        labels = runs.select("note_id", F.struct("x", "y0").alias("q"), F.col("label").alias("l"))
-        best = links.join(labels, ["note_id", "q"]).groupBy("note_id", F.col("p.x").alias("x"), F.col("p.y0").alias("y0")).agg(F.min("l").alias("m"))
-        new = stage(runs.join(best, ["note_id", "x", "y0"], "left").select("note_id", "x", "y0", "y1", F.least("label", F.coalesce("m", "label")).alias("label"), (F.coalesce("m", "label") < F.col("label")).alias("changed")), "runs")
-        runs, done = new.drop("changed"), new.where("changed").isEmpty()
-        if done:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return runs.groupBy("note_id", "label").agg(F.min("x").alias("x0"), F.min("y0").alias("top"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y1") - F.min("y0") + 1).alias("h"), F.sum(F.col("y1") - F.col("y0") + 1).alias("area")).select("note_id", F.col("label.x").alias("label_x"), F.col("label.y0").alias("label_y"), "x0", F.col("top").alias("y0"), "w", "h", "area")
-
-
-def edges(gray: DataFrame, *, low: int = 80, high: int = 200, rounds: int = 2) -> DataFrame:
-    """``edge``: thin edges of strong gradient, and of weak ones near them.
-
-    Gradient by absolute sum, kept where it is the largest across one of four directions;
-    weak edges join strong neighbours for a fixed number of rounds (an approximation).
+    wide = int(y1.max()) + 3 if len(x) else 1
+    low = np.searchsorted(x * wide + y1, (x + 1) * wide + y0 - 1, "left")
+    high = np.searchsorted(x * wide + y0, (x + 1) * wide + y1 + 1, "right")
+    many = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(x)), many)
+    b = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+    label = np.arange(len(x))
+    while True:
+        la, lb = label[a], label[b]
+        if (la == lb).all():
+            return label
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def label_runs(runs: DataFrame, strong: str | None = None) -> DataFrame:
+    """Runs with label_x and label_y, the first run of their component; with ``strong`` only components in which that column is set somewhere.
+
+    A task holds the runs of an image, which are fewer than its pixels.
+    """
+    columns = ["note_id", "x", "y0", "y1"]
+
+    def label(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["x", "y0"], ignore_index=True)
+        of = run_labels(*(rows[c].to_numpy(np.int64) for c in ("x", "y0", "y1")))
+        out = rows[columns].assign(label_x=rows["x"].to_numpy()[of], label_y=rows["y0"].to_numpy()[of])
+        if strong:
+            out = out[rows[strong].groupby(of).transform("max").to_numpy() > 0]
+        return out
+
+    kind = dict(runs.dtypes)["note_id"]
+    some = runs.select(*columns, *([strong] if strong else []))
+    return some.groupBy("note_id").applyInPandas(label, f"note_id {kind}, x int, y0 int, y1 int, label_x int, label_y int")
+
+
+def run_components(runs: DataFrame) -> DataFrame:
+    """Eight-connected components of runs: note_id, label_x, label_y, x0, y0, w, h, area."""
+    g = label_runs(runs).groupBy("note_id", "label_x", "label_y")
+    length = F.col("y1") - F.col("y0") + 1
+    sizes = {"x0": F.min("x"), "top": F.min("y0"), "w": F.max("x") - F.min("x") + 1, "h": F.max("y1") - F.min("y0") + 1, "area": F.sum(length)}
+    return g.agg(*[v.alias(k) for k, v in sizes.items()]).withColumnRenamed("top", "y0")
+
+
+def components(mask: DataFrame, c: str) -> DataFrame:
+    """Eight-connected components of set pixels: note_id, label_x, label_y, x0, y0, w, h, area."""
+    return run_components(column_runs(mask, c))
+
+
+def edges(gray: DataFrame, *, low: int = 80, high: int = 200) -> DataFrame:
+    """The edge pixels (note_id, y, x, w, h, edge = 1): thin edges of strong gradient, and weak ones connected to them.
+
+    Gradient by absolute sum, kept where it is the largest across one of four directions. A
+    weak edge stays if its component, of any length, has a strong pixel.
     """
     g = sobel_y(sobel_x(gray, "gray"), "gray").withColumn("m", F.abs("gx") + F.abs("gy"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     g = g.withColumns({"_l": zero(F.lag("m").over(along_row())), "_r": zero(F.lead("m").over(along_row()))})
-    g = g.withColumns({"_u": zero(F.lag("m").over(down_column())), "_d": zero(F.lead("m").over(down_column())), "_ul": zero(F.lag("_l").over(down_column())), "_ur": zero(F.lag("_r").over(down_column())), "_dl": zero(F.lead("_l").over(down_column())), "_dr": zero(F.lead("_r").over(down_column()))})
+    near = {"_u": F.lag("m"), "_d": F.lead("m"), "_ul": F.lag("_l"), "_ur": F.lag("_r"), "_dl": F.lead("_l"), "_dr": F.lead("_r")}
+    g = g.withColumns({k: zero(v.over(down_column())) for k, v in near.items()})
     ax, ay, m = F.abs("gx"), F.abs("gy"), F.col("m")
     flat = (m > F.col("_l")) & (m >= F.col("_r"))
     steep = (m > F.col("_u")) & (m >= F.col("_d"))
     same = F.col("gx") * F.col("gy") >= 0
     slant = F.when(same, (m > F.col("_ul")) & (m > F.col("_dr"))).otherwise((m > F.col("_ur")) & (m > F.col("_dl")))
     peak = F.when(ay < 0.4142 * ax, flat).when(ay > 2.4142 * ax, steep).otherwise(slant)
-    e = g.withColumns({"_weak": (peak & (m > low)).cast("int"), "edge": (peak & (m > high)).cast("int")}).drop("_l", "_r", "_u", "_d", "_ul", "_ur", "_dl", "_dr", "gx", "gy", "m")
-    for _ in range(rounds):
-        e = e.withColumn("_n", F.max("edge").over(along_row().rowsBetween(-1, 1))).withColumn("_n", F.max("_n").over(down_column().rowsBetween(-1, 1))).withColumn("edge", F.greatest("edge", F.col("_weak") * F.col("_n")))
-    return e.drop("_weak", "_n")
+    weak = g.where(peak & (m > low)).select("note_id", "x", "y", "w", "h", (m > high).cast("int").alias("_strong"))
+    island = F.col("y") - F.row_number().over(down_column())
+    runs = weak.withColumn("_i", island).groupBy("note_id", "x", "_i").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.max("_strong").alias("strong"))
+    kept = label_runs(runs, "strong").select("note_id", F.explode(F.sequence("y0", "y1")).alias("y"), "x")
+    sizes = gray.groupBy("note_id").agg(F.first("w").alias("w"), F.first("h").alias("h"))
+    return kept.join(sizes, "note_id").withColumn("edge", F.lit(1))
+
+
+def edge_ratio(edge_pixels: DataFrame, notes: DataFrame) -> DataFrame:
+    """Share of edge pixels of each note (note_id, w, h); 0 without any."""
+    n = edge_pixels.groupBy("note_id").agg(F.count("*").alias("_n"))
+    return notes.join(n, "note_id", "left").select("note_id", (F.coalesce("_n", F.lit(0)) / (F.col("w") * F.col("h"))).alias("edge_ratio"))
 
 
 def motion_blur(pixels: DataFrame, *, taps: int = 9) -> DataFrame:

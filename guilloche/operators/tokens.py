@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 from guilloche.schemas import DIGIT_FROM, DIGIT_TO, LETTER_FROM, LETTER_TO
 
+# A serial at the start of a token, anywhere in a text, loosely read, and in its printed form.
 _SERIAL = r"^([A-Z0-9]{3})(\*?)([0-9OISBJ]{6,7})"
+_ANYWHERE = r"([A-Z0-9OISB]{3})\s?([0-9OISB]{6,7})"
+_LOOSE = r"[0-9OISB][A-Z08]{2}\s*[0-9OISB]{6,7}"
+_PRINTED = r"^[A-Z0-9?]{3} [0-9]{6,7}$"
 
 
 def ingest_words(words: DataFrame, *, min_conf: float = 0.20) -> DataFrame:
@@ -97,7 +101,7 @@ def two_letter_pairs(tokens: DataFrame) -> DataFrame:
 
 def serials_in_text(lines: DataFrame, id_col: str, text: Column) -> DataFrame:
     """Every serial anywhere in a line of text, with a fixed confidence of 50."""
-    pattern = F.lit(r"([A-Z0-9OISB]{3})\s?([0-9OISB]{6,7})")
+    pattern = F.lit(_ANYWHERE)
     both = F.arrays_zip(F.regexp_extract_all(text, pattern, 1).alias("p"), F.regexp_extract_all(text, pattern, 2).alias("d"))
     found = lines.select(id_col, F.posexplode(both).alias("nth", "m")).select(id_col, "nth", prefix_of(F.col("m.p")).alias("p"), digits_of(F.col("m.d")).alias("d"))
     return found.where("p is not null and d is not null").select(id_col, "nth", F.concat("p", F.lit(" "), "d").alias("serial"), F.lit(50).alias("conf"))
@@ -142,7 +146,7 @@ def independent_vote(tokens: DataFrame, *, min_digits: int = 40, min_prefix: int
 
 def looks_like_serial(c: Column) -> Column:
     """A serial at the start, one anywhere, or six characters with five digits."""
-    return c.rlike(_SERIAL) | c.rlike(r"[A-Z0-9OISB]{3}\s?[0-9OISB]{6,7}") | ((F.length(c) >= 6) & (F.length(F.regexp_replace(c, "[^0-9]", "")) >= 5))
+    return c.rlike(_SERIAL) | c.rlike(_ANYWHERE) | ((F.length(c) >= 6) & (F.length(F.regexp_replace(c, "[^0-9]", "")) >= 5))
 
 
 def serial_tokens(tokens: DataFrame, *, min_conf: int = 25) -> DataFrame:
@@ -167,16 +171,18 @@ def serial_check(notes: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def valid_format(serials: DataFrame) -> DataFrame:
     """Whether a serial has the plain printed form; one with an asterisk has not."""
-    return serials.withColumn("valid", F.col("serial").rlike("^[A-Z0-9?]{3} [0-9]{6,7}$"))
+    return serials.withColumn("valid", F.col("serial").rlike(_PRINTED))
 
 
 def tune_regions(tokens: DataFrame, notes: DataFrame, regions: DataFrame) -> DataFrame:
     """Notes whose serial lies in a candidate's top or bottom region, of all notes that are not reverse sides.
 
-    ``regions``: candidate, y0, y1, x0, x1 as fractions of ``img_h`` and ``img_w`` of the tokens.
+    ``regions``: candidate, y0, y1, x0, x1 as fractions of ``img_h`` and ``img_w`` of the tokens; at most 1000.
     """
+    if regions.limit(1001).count() > 1000:
+        raise ValueError("more than 1000 candidate regions")
     fronts = notes.where("side <> 'reverse'").select("note_id")
-    seen = tokens.join(fronts, "note_id", "left_semi").where(F.col("text").rlike(r"[0-9OISB][A-Z08]{2}\s*[0-9OISB]{6,7}"))
+    seen = tokens.join(fronts, "note_id", "left_semi").where(F.col("text").rlike(_LOOSE))
     inside = (F.col("y") >= F.floor(F.col("img_h") * F.col("y0"))) & (F.col("y") < F.floor(F.col("img_h") * F.col("y1"))) & (F.col("x") >= F.floor(F.col("img_w") * F.col("x0"))) & (F.col("x") < F.floor(F.col("img_w") * F.col("x1")))
     hits = seen.join(F.broadcast(regions), inside).groupBy("candidate", "note_id").agg(F.lit(1).alias("one")).groupBy("candidate").agg(F.count("*").alias("hits"))
     total = fronts.agg(F.count("*").alias("total"))

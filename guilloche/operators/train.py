@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from guilloche.functions.portable import digits, scatter
+
 from .pixels import block_means
+from .ranges import running
 
 
 def feature_vectors(pixels: DataFrame, labels: DataFrame, *, grid: int = 16) -> DataFrame:
@@ -17,24 +20,23 @@ def feature_vectors(pixels: DataFrame, labels: DataFrame, *, grid: int = 16) ->
     return rows.join(labels.select("note_id", F.when(F.col("label") == "real", 1.0).otherwise(0.0).alias("label")), "note_id").select("note_id", "label", array_to_vector("a").alias("features"))
 
 
-def stratified_split(rows: DataFrame, label: str, key: str, *, share: float = 0.2, seed: int = 42, groups: int = 64) -> DataFrame:
-    """Add ``held_out``: the first ``share`` of each label in the order of a seeded hash, rounded up.
-
-    The rank within a label is counted in groups by ranges of the hash, so that no task holds a
-    whole label.
-    """
-    h = rows.withColumn("_h", F.xxhash64(key, F.lit(seed))).withColumn("_g", F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * groups))
-    sizes = h.groupBy(label, "_g").agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(label)
-    bases = sizes.select(label, "_g", F.coalesce(F.sum("_c").over(w.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_c").over(w).alias("_n"))
-    ranked = h.withColumn("_k", F.row_number().over(Window.partitionBy(label, "_g").orderBy("_h", key))).join(F.broadcast(bases), [label, "_g"])
-    return ranked.withColumn("held_out", F.col("_k") + F.col("_b") <= F.ceil(F.lit(share) * F.col("_n"))).drop("_h", "_g", "_k", "_b", "_n")
+def stratified_split(rows: DataFrame, label: str, key: str, *, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Add ``held_out``: the first ``share`` of each label in the order of a seeded hash of the key, rounded up."""
+    hashed = rows.withColumn("_h", scatter(key, seed=seed))
+    ranked = running(hashed, [label], [F.col("_h"), F.col(key)], {"_k": F.lit(1)})
+    return _first_share(ranked, label, "held_out", lambda n: F.ceil(F.lit(share) * n)).drop("_h")
 
 
 def validation_split(rows: DataFrame, label: str, order: str, *, share: float = 0.2) -> DataFrame:
     """Add ``validation``: the first ``share`` of each label by ``order``, rounded down."""
-    w = Window.partitionBy(label)
-    return rows.withColumn("validation", F.row_number().over(w.orderBy(order)) <= F.floor(F.lit(share) * F.count("*").over(w)))
+    ranked = running(rows, [label], [F.col(order)], {"_k": F.lit(1)})
+    return _first_share(ranked, label, "validation", lambda n: F.floor(F.lit(share) * n))
+
+
+def _first_share(ranked: DataFrame, label: str, name: str, many) -> DataFrame:
+    """Whether the rank ``_k`` of a row is among the first of its label; labels are few."""
+    sizes = ranked.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    return ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).withColumn(name, F.col("_k") <= many(F.col("_n"))).drop("_k", "_n", "_label")
 
 
 def augment(pixels: DataFrame, *, copies: int = 2, seed: int = 42) -> DataFrame:
@@ -43,14 +45,16 @@ def augment(pixels: DataFrame, *, copies: int = 2, seed: int = 42) -> DataFrame:
     Parameters come from a seeded hash of note and copy; each target pixel takes the nearest
     source pixel, and is black where there is none.
     """
-    u = lambda k: F.pmod(F.xxhash64("note_id", "copy", F.lit(k), F.lit(seed)), F.lit(10_000)) / 5_000 - 1
-    plan = pixels.select("note_id", "w", "h").distinct().withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    u = lambda k: digits(F.col("_s"), 6 * k, 6) / F.lit(8388608.0) - 1
+    plan = pixels.select("note_id", "w", "h").distinct().withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn("_s", scatter("note_id", "copy", seed=seed))
     plan = plan.withColumns({"angle": F.radians(20 * u(0)), "zoom": 1 + 0.2 * u(1), "sx": 0.2 * u(2) * F.col("w"), "sy": 0.2 * u(3) * F.col("h"), "flip": u(4) > 0})
     grid = plan.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
     cx, cy = (F.col("w") - 1) / 2, (F.col("h") - 1) / 2
     dx, dy = F.when(F.col("flip"), -(F.col("x") - cx)).otherwise(F.col("x") - cx) - F.col("sx"), F.col("y") - cy - F.col("sy")
-    turned = lambda a, b: F.floor(a + 0.5).cast("int")
-    src = grid.select("note_id", "copy", "y", "x", "w", "h", turned(cx + (dx * F.cos("angle") + dy * F.sin("angle")) / F.col("zoom"), 0).alias("_x"), turned(cy + (dy * F.cos("angle") - dx * F.sin("angle")) / F.col("zoom"), 0).alias("_y"))
+    near = lambda a: F.floor(F.round(a, 6) + 0.5).cast("int")
+    sx = near(cx + (dx * F.cos("angle") + dy * F.sin("angle")) / F.col("zoom"))
+    sy = near(cy + (dy * F.cos("angle") - dx * F.sin("angle")) / F.col("zoom"))
+    src = grid.select("note_id", "copy", "y", "x", "w", "h", sx.alias("_x"), sy.alias("_y"))
     found = pixels.select("note_id", F.col("y").alias("_y"), F.col("x").alias("_x"), "b", "g", "r")
     return src.join(found, ["note_id", "_y", "_x"], "left").select("note_id", "copy", "y", "x", "w", "h", *[F.coalesce(c, F.lit(0)).alias(c) for c in "bgr"])
 
@@ -73,20 +77,20 @@ def score(model, rows: DataFrame) -> DataFrame:
 
 
 def roc(scores: DataFrame, *, label: str = "label", raw: str = "raw") -> DataFrame:
-    """One point for each distinct score, highest first: rates of true and false positives.
+    """One point for each distinct score, highest first: rates of true and false positives, and what the score itself adds to them.
 
-    Scores are counted first; the running sums are over distinct scores.
+    Scores are counted first; the running sums are over ranges of distinct scores.
     """
     counts = scores.groupBy(F.col(raw).alias("threshold")).agg(F.sum(F.col(label)).cast("long").alias("p"), F.sum(1 - F.col(label)).cast("long").alias("n"))
-    upto, all_ = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return counts.select("threshold", (F.sum("p").over(upto) / F.sum("p").over(all_)).alias("tpr"), (F.sum("n").over(upto) / F.sum("n").over(all_)).alias("fpr"))
+    points = running(counts, [], [F.desc("threshold")], {"_p": F.col("p"), "_n": F.col("n")})
+    total = scores.agg(F.sum(F.col(label)).cast("long").alias("_all_p"), F.sum(1 - F.col(label)).cast("long").alias("_all_n"))
+    rate = lambda c, of: (F.col(c) / F.nullif(F.col(of), F.lit(0)))
+    return points.crossJoin(F.broadcast(total)).select("threshold", rate("_p", "_all_p").alias("tpr"), rate("_n", "_all_n").alias("fpr"), rate("p", "_all_p").alias("tpr_step"), rate("n", "_all_n").alias("fpr_step"))  # one row
 
 
 def auc(curve: DataFrame) -> DataFrame:
-    """Area under a ROC curve by trapezoids, from the origin."""
-    w = Window.orderBy(F.desc("threshold"))
-    before = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0.0))
-    return curve.select(((F.col("fpr") - before("fpr")) * (F.col("tpr") + before("tpr")) / 2).alias("a")).agg(F.sum("a").alias("auc"))
+    """Area under a ROC curve by trapezoids, from the origin: each point has its own step."""
+    return curve.agg(F.sum(F.col("fpr_step") * (2 * F.col("tpr") - F.col("tpr_step")) / 2).alias("auc"))
 
 
 def accuracy_loss(scores: DataFrame, split: str, *, label: str = "label", raw: str = "raw") -> DataFrame:

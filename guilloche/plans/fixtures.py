@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Name -> SQL, in the order in which they build on each other. {nums8}, {nums8960}: integers from 0.
+#: Name -> SQL, in the order in which they build on each other. {nums7}, {nums8}, {nums8960}: integers from 0.
 VIEWS = {
     "fx_notes": """
 SELECT note_id, denom, grade, side, label, concat(label,'/',note_id,'.png') AS path,
@@ -28,14 +28,14 @@ FROM (SELECT o_orderkey AS note_id, o_custkey,
  FROM orders) t
 """,
     "fx_tokens": """
-SELECT note_id, CAST(k AS INT) AS seq, text, CAST((note_id * 31 + k * 17) % 100 AS INT) AS conf, x, y, h FROM (
-  SELECT note_id, 0 AS k, concat(prefix, ' ', digits) AS text, 40 AS x, 60 AS y, 20 AS h FROM fx_notes
-  UNION ALL SELECT note_id, 1, concat(prefix, translate(digits, '0158', 'OISB')), 820, 560, 30 FROM fx_notes WHERE note_id % 3 = 0
-  UNION ALL SELECT note_id, 2, prefix, 820, 560 + CAST(note_id % 9 AS INT), 20 FROM fx_notes
-  UNION ALL SELECT note_id, 3, digits, 900, 560 + CAST(note_id % 5 AS INT) * 8, 20 + CAST(note_id % 10 AS INT) FROM fx_notes
-  UNION ALL SELECT note_id, 4, CASE note_id % 5 WHEN 1 THEN concat('9', denom) WHEN 2 THEN concat('9', substr(denom, 2, 9)) ELSE denom END, 50, 540, 60 FROM fx_notes WHERE note_id % 6 <> 5
-  UNION ALL SELECT note_id, 5, 'RBI', 300, 90, 12 FROM fx_notes) t
-WHERE note_id % 13 <> 12
+SELECT note_id, k AS seq, CAST((note_id * 31 + k * 17) % 100 AS INT) AS conf,
+ CASE k WHEN 0 THEN concat(prefix, ' ', digits) WHEN 1 THEN concat(prefix, translate(digits, '0158', 'OISB')) WHEN 2 THEN prefix WHEN 3 THEN digits
+  WHEN 4 THEN CASE note_id % 5 WHEN 1 THEN concat('9', denom) WHEN 2 THEN concat('9', substr(denom, 2, 9)) ELSE denom END WHEN 5 THEN 'RBI' ELSE substr(prefix, 2, 2) END AS text,
+ CASE k WHEN 0 THEN 40 WHEN 3 THEN 900 WHEN 4 THEN 50 WHEN 5 THEN 300 ELSE 820 END AS x,
+ CASE k WHEN 0 THEN 60 WHEN 1 THEN 560 WHEN 2 THEN 560 + CAST(note_id % 9 AS INT) WHEN 3 THEN 560 + CAST(note_id % 5 AS INT) * 8 WHEN 4 THEN 540 WHEN 5 THEN 90 ELSE 566 END AS y,
+ CASE k WHEN 1 THEN 30 WHEN 3 THEN 20 + CAST(note_id % 10 AS INT) WHEN 4 THEN 60 WHEN 5 THEN 12 ELSE 20 END AS h
+FROM fx_notes CROSS JOIN (SELECT CAST(i AS INT) AS k FROM {nums7}) n
+WHERE note_id % 13 <> 12 AND (k <> 1 OR note_id % 3 = 0) AND (k <> 4 OR note_id % 6 <> 5) AND (k <> 6 OR note_id % 2 = 0)
 """,
     "fx_blobs": """
 SELECT note_id, k * 22 - CASE WHEN l_partkey % 5 = 0 THEN 16 ELSE 0 END AS x, 60 - h + CASE WHEN l_suppkey % 3 = 0 THEN CAST(l_partkey % 4 AS INT) * 5 ELSE 0 END AS y, w, h, CAST(w * h AS DOUBLE) * (0.10 + l_discount * 8) AS area, 80 AS strip_h, 300 AS strip_w FROM (
@@ -88,7 +88,7 @@ def _needs(name: str) -> list[str]:
 
 
 def _fill(sql: str, numbers: str) -> str:
-    return sql.replace("{nums8960}", numbers.format(8960)).replace("{nums8}", numbers.format(8)).strip()
+    return sql.replace("{nums8960}", numbers.format(8960)).replace("{nums8}", numbers.format(8)).replace("{nums7}", numbers.format(7)).strip()
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

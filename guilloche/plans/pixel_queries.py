@@ -10,10 +10,10 @@ from guilloche.operators import denomination as D
 from guilloche.operators import geometry as G
 from guilloche.operators import pixels as P
 from guilloche.operators import stencil as S
-from guilloche.operators import tokens as T
-from guilloche.operators import typography as Y
-from guilloche.schemas import CHECKS, values_sql
+from guilloche.schemas import CHECKS, DIMENSIONS_MM, values_sql
 
+from . import shape_queries as SQ
+from . import token_queries as TQ
 from .fixtures import load, oracle
 
 _QUAD = {"tl_x": 10, "tl_y": 5, "tr_x": 129, "tr_y": 5, "br_x": 131, "br_y": 58, "bl_x": 12, "bl_y": 58}
@@ -130,7 +130,7 @@ def a9(s, d):
 
 
 def a10(s, d):
-    return _edges(s, d).groupBy("note_id").agg(F.round(F.avg("edge"), 6).alias("edge_ratio"))
+    return _rounded(S.edge_ratio(_edges(s, d), _px(s, d).select("note_id", "w", "h").distinct()), "edge_ratio")
 
 
 def a11(s, d):
@@ -166,7 +166,7 @@ def w5(s, d):
 
 
 def w6(s, d):
-    return _edges(s, d).where("edge = 1").select("note_id", "y", "x")
+    return _edges(s, d).select("note_id", "y", "x")
 
 
 def w7(s, d):
@@ -208,17 +208,6 @@ def c10(s, d):
     return C.portrait(load(s, d, "fx_notes"), load(s, d, "fx_faces"))
 
 
-def _parts(s, d):
-    notes = load(s, d, "fx_notes")
-    tokens, stats = load(s, d, "fx_tokens"), load(s, d, "fx_palette_stats")
-    return notes, [T.serial_check(notes, tokens), D.classify(notes, tokens, stats), Y.check(notes, load(s, d, "fx_blobs")), C.portrait(notes, load(s, d, "fx_faces")), C.uv_features(_hist(s, d)), C.palette_integrity(_hist(s, d)), c9(s, d)]
-
-
-def c11(s, d):
-    notes, parts = _parts(s, d)
-    return C.assemble(notes, *parts)
-
-
 def c11_wide(s, d):
     return C.wide(load(s, d, "fx_checks"))
 
@@ -284,7 +273,7 @@ QUERIES = {
     "a0_hsv_histogram": a0, "a1_saturated_ratio": a1, "a2_mean_saturation": a2, "a3_hue_histogram": a3, "a4_hue_entropy": a4, "a5_masked_medians": a5, "a6_brightness_std": a6, "a7_dark_quadrants": a7, "a8_border_interior_std": a8,
     "a9_watermark_variance": a9, "a10_edge_ratio": a10, "a11_otsu": a11, "a12_coloured_share": a12, "a13_patch_score": a13,
     "w1_gaussian_blur": w1, "w2_sobel": w2, "w3_vertical_close": w3, "w4_vertical_open": w4, "w5_components": w5, "w6_edges": w6, "w7_motion_blur": w7, "w8_vertical_lines": w8,
-    "c1_structural_sanity": c1, "c2_uv_features": c2, "c3_watermark": c3, "c4_security_thread": c4, "c5_palette_integrity": c5, "c9_read_proportions": c9, "c10_portrait": c10, "c11_assembled_checks": c11, "c11_wide_checks": c11_wide,
+    "c1_structural_sanity": c1, "c2_uv_features": c2, "c3_watermark": c3, "c4_security_thread": c4, "c5_palette_integrity": c5, "c9_read_proportions": c9, "c10_portrait": c10, "c11_wide_checks": c11_wide,
     "g5_rectify": g5, "g6_borders_uniform": g6, "e15_raw_signals": e15,
     "n1_blank": n1, "n2_noise": n2, "n3_heavy_blur": n3, "n4_low_resolution": n4, "n5_half_crop": n5, "n6_invert": n6, "n7_desaturate": n7, "n8_hue_shift": n8, "n9_stretch": n9, "n10_motion_blur": n10,
 }
@@ -359,10 +348,8 @@ def _canny(source: str, low: int, high: int, tag: str) -> str:
 {tag}e AS (SELECT *, coalesce(lag(m) OVER dn, 0) AS u, coalesce(lead(m) OVER dn, 0) AS d, coalesce(lag(l) OVER dn, 0) AS ul, coalesce(lag(r) OVER dn, 0) AS ur, coalesce(lead(l) OVER dn, 0) AS dl, coalesce(lead(r) OVER dn, 0) AS dr FROM {tag}d {_windows()}),
 {tag}f AS (SELECT note_id, y, x, m, CASE WHEN abs(gy) < 0.4142::DOUBLE * abs(gx) THEN m > l AND m >= r WHEN abs(gy) > 2.4142::DOUBLE * abs(gx) THEN m > u AND m >= d WHEN gx * gy >= 0 THEN m > ul AND m > dr ELSE m > ur AND m > dl END AS peak FROM {tag}e),
 {tag}g AS (SELECT note_id, y, x, (peak AND m > {low})::INT AS weak, (peak AND m > {high})::INT AS edge FROM {tag}f),
-{tag}h AS (SELECT *, max(edge) OVER (PARTITION BY note_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM {tag}g),
-{tag}i AS (SELECT note_id, y, x, weak, greatest(edge, weak * max(n) OVER (PARTITION BY note_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS edge FROM {tag}h),
-{tag}j AS (SELECT *, max(edge) OVER (PARTITION BY note_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM {tag}i),
-{tag} AS (SELECT note_id, y, x, greatest(edge, weak * max(n) OVER (PARTITION BY note_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS edge FROM {tag}j)
+{tag}r AS (SELECT note_id, y, x FROM {tag}g WHERE edge = 1 UNION SELECT w.note_id, w.y, w.x FROM {tag}r r, (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx), {tag}g w WHERE w.weak = 1 AND w.note_id = r.note_id AND w.y = r.y + a.dy AND w.x = r.x + b.dx),
+{tag} AS (SELECT g.note_id, g.y, g.x, CAST(r.note_id IS NOT NULL AS INT) AS edge FROM {tag}g g LEFT JOIN {tag}r r ON r.note_id = g.note_id AND r.y = g.y AND r.x = g.x)
 """
 
 
@@ -439,4 +426,23 @@ ORACLE_SQL = {
     "n9_stretch": _q("SELECT note_id, y, CAST(tx AS INT) AS x, 182 AS w, h, b, g, r FROM range(182) t(tx) JOIN fx_pixels ON x = floor(tx / 1.3::DOUBLE)"),
     "n10_motion_blur": _q(f"SELECT note_id, y, x, w, h, {_MB} FROM gr"),
 }
+_DIMS = values_sql((k, w / h) for k, (w, h) in DIMENSIONS_MM.items())
+_KNOWN = "expected IS NOT NULL AND aspect IS NOT NULL"
+ORACLE_SQL["c9_read_proportions"] = f"""SELECT note_id, 'proportion_analysis' AS check_name, CASE WHEN NOT ({_KNOWN}) THEN 'INFO' WHEN abs(aspect - expected) / expected * 100 <= 15 THEN 'PASS' ELSE 'FAIL' END AS status,
+ CASE WHEN {_KNOWN} THEN round_even(aspect, 3) END AS actual_aspect, CASE WHEN {_KNOWN} THEN round_even(expected::DOUBLE, 3) END AS expected_aspect, CASE WHEN {_KNOWN} THEN round_even(abs(aspect - expected) / expected * 100, 1) END AS deviation_pct, CASE WHEN {_KNOWN} THEN 'quad' END AS measurement
+FROM ({oracle(TQ._scored(1) + 'SELECT note_id, value FROM dc', 'fx_tokens', 'fx_palette_stats')}) r LEFT JOIN ({oracle(SQ._G + 'SELECT note_id, aspect FROM g4', 'fx_contours')}) a USING (note_id) LEFT JOIN ({_DIMS}) dim(denom, expected) ON dim.denom = r.value"""
+_BYTE = "CAST(('0x' || substr(m, {at}, 2)) AS BIGINT)::INT"
+ORACLE_SQL["n2_noise"] = oracle("k AS (SELECT *, md5(concat_ws(':', note_id, y, x, 0)) AS m FROM fx_pixels) SELECT note_id, y, x, w, h, " + ", ".join(f"{_BYTE.format(at=2 * i + 1)} AS {c}" for i, c in enumerate("bgr")) + " FROM k", "fx_pixels")
+_KERNEL = "k51(d, c) AS (" + values_sql((i - 25, repr(w) + "::DOUBLE") for i, w in enumerate(S.gaussian_kernel(51))).replace("'", "") + ")"
+_TAP = "sum(c * p.{0}) AS {0}"
+ORACLE_SQL["n3_heavy_blur"] = oracle(
+    _KERNEL
+    + f""",
+kx AS (SELECT x.i AS x, {_reflect('x.i + d', 140)} AS sx, sum(c) AS c FROM range(140) x(i), k51 GROUP BY ALL),
+ky AS (SELECT y.i AS y, {_reflect('y.i + d', 64)} AS sy, sum(c) AS c FROM range(64) y(i), k51 GROUP BY ALL),
+h1 AS (SELECT p.note_id, p.y, kx.x, {', '.join(_TAP.format(c) for c in 'bgr')} FROM fx_pixels p JOIN kx ON p.x = sx GROUP BY p.note_id, p.y, kx.x),
+h2 AS (SELECT p.note_id, ky.y, p.x, {', '.join(_TAP.format(c) for c in 'bgr')} FROM h1 p JOIN ky ON p.y = sy GROUP BY p.note_id, ky.y, p.x)
+SELECT note_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, 140 AS w, 64 AS h, {', '.join(f'CAST(floor(round({c}, 6) + 0.5) AS INT) AS {c}' for c in 'bgr')} FROM h2""",
+    "fx_pixels",
+)
 ORACLE_SQL["n4_low_resolution"] = oracle("k AS (SELECT *, floor(x * 20 / w) AS bx, floor(y * greatest(floor(h * 20 / w), 1) / h) AS by_ FROM fx_pixels), m AS (SELECT note_id, bx, by_, " + ", ".join(f"CAST(floor(avg({c}) + 0.5) AS INT) AS {c}" for c in "bgr") + " FROM k GROUP BY ALL) SELECT k.note_id, y, x, w, h, m.b, m.g, m.r FROM k JOIN m USING (note_id, bx, by_)", "fx_pixels")

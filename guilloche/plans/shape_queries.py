@@ -118,13 +118,15 @@ yr AS (SELECT note_id, k, 0 AS pos, x, y, w, h, area, baseline, fill FROM yo WHE
 y3 AS (SELECT * EXCLUDE (k) FROM yr QUALIFY row_number() OVER (PARTITION BY note_id, pos ORDER BY k DESC) = 1),
 y4 AS (SELECT * EXCLUDE (back) FROM (SELECT *, count(*) OVER (PARTITION BY note_id) AS n_blobs, row_number() OVER (PARTITION BY note_id ORDER BY pos DESC) AS back FROM y3) WHERE n_blobs >= 3 AND back <= CASE WHEN n_blobs >= 9 THEN 7 WHEN n_blobs >= 7 THEN 6 ELSE n_blobs END),
 y5 AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY pos) - 1 AS i FROM (SELECT *, median(baseline) OVER (PARTITION BY note_id) AS mb, median(h) OVER (PARTITION BY note_id) AS mh FROM y4) WHERE abs(baseline - mb) <= greatest(0.20::DOUBLE * mh, 4.0::DOUBLE)),
-y6 AS (SELECT *, slope / mean_h AS norm_slope FROM (SELECT note_id, count(*) AS n, regr_slope(h, i) AS slope, regr_intercept(h, i) AS intercept, CASE WHEN var_pop(h) * count(*) <= 1e-6 THEN 0.0 ELSE regr_r2(h, i) END AS r2, avg(h) AS mean_h, var_pop(h) AS var_h, stddev_pop(baseline) AS std_b FROM y5 GROUP BY note_id) WHERE n >= 3 AND mean_h >= 1),
+yz AS (SELECT note_id, count(*) AS n, CAST(sum(i) AS BIGINT) AS si, CAST(sum(h) AS BIGINT) AS sh, CAST(sum(baseline) AS BIGINT) AS sb, CAST(sum(i * h) AS BIGINT) AS sih, CAST(sum(i * i) AS BIGINT) AS sii, CAST(sum(h * h) AS BIGINT) AS shh, CAST(sum(baseline * baseline) AS BIGINT) AS sbb FROM y5 GROUP BY note_id),
+yw AS (SELECT *, n * sih - si * sh AS xy, n * sii - si * si AS xx, n * shh - sh * sh AS yy, n * sbb - sb * sb AS zz FROM yz WHERE n >= 3 AND sh >= n),
+y6 AS (SELECT note_id, n, xy / xx AS slope, (sh * sii - si * sih) / xx AS intercept, CASE WHEN yy = 0 THEN 0.0::DOUBLE ELSE (xy * xy) / (xx * yy) END AS r2, (xy * n) / (xx * sh) AS norm_slope, sh / n AS mean_h, CASE WHEN yy = 0 THEN 0.0::DOUBLE ELSE (xx * yy - xy * xy) / (xx * n * n) END AS left_var, sqrt(zz / (n * n)) AS std_b FROM yw),
 ys AS (SELECT note_id, i, h::DOUBLE / greatest(p, 1) AS ratio, round_even((h::DOUBLE / greatest(p, 1) - 1) * 100, 2) AS pct FROM (SELECT *, lag(h) OVER (PARTITION BY note_id ORDER BY i) AS p FROM y5) WHERE p IS NOT NULL),
 yg AS (SELECT note_id, avg(pct) AS avg_pct, median(pct) AS median_pct, avg(CASE WHEN ratio >= 0.985::DOUBLE THEN 1.0 ELSE 0.0 END) AS monotonic, stddev_pop(ratio) AS sr, avg(ratio) AS ar, list(pct ORDER BY i) AS steps FROM ys GROUP BY note_id),
 ye AS (SELECT note_id, arg_max(h, i)::DOUBLE / greatest(arg_min(h, i), 1) AS growth_ratio, list(h ORDER BY i) AS sizes FROM y5 GROUP BY note_id),
 y7 AS (SELECT *, (growth_ratio - 1) * 100 AS total_pct FROM yg JOIN ye USING (note_id)),
 y8 AS (SELECT note_id, round_even(norm_slope, 4) AS norm_slope, round_even(r2, 4) AS r2, round_even(growth_ratio, 4) AS growth_ratio, round_even(total_pct, 2) AS total_pct, round_even(monotonic, 4) AS monotonic, round_even(greatest(0, 1 - sr / greatest(ar, 1e-3)), 4) AS smoothness,
- round_even(greatest(0, 1 - sqrt(greatest(0, var_h * (1 - CASE WHEN var_h * n <= 1e-6 THEN 1 ELSE r2 END))) / mean_h), 4) AS consistency, round_even(greatest(0, 1 - std_b / mean_h), 4) AS baseline_alignment, steps, sizes FROM y6 JOIN y7 USING (note_id)),
+ round_even(greatest(0, 1 - sqrt(left_var) / mean_h), 4) AS consistency, round_even(greatest(0, 1 - std_b / mean_h), 4) AS baseline_alignment, steps, sizes FROM y6 JOIN y7 USING (note_id)),
 yc AS (SELECT n.note_id, coalesce(b.n, 0) AS blobs, coalesce(a.n, 0) AS aligned, y8.* EXCLUDE (note_id) FROM (SELECT o_orderkey AS note_id FROM orders) n LEFT JOIN (SELECT note_id, count(*) AS n FROM y3 GROUP BY note_id) b USING (note_id) LEFT JOIN (SELECT note_id, count(*) AS n FROM y5 GROUP BY note_id) a USING (note_id) LEFT JOIN y8 USING (note_id)),
 yd AS (SELECT *, growth_ratio BETWEEN 1.08::DOUBLE AND 2.5::DOUBLE AND norm_slope > 0.005::DOUBLE AND r2 >= 0.45::DOUBLE AND monotonic >= 0.6::DOUBLE AS fits FROM yc),
 y9 AS (SELECT *, CASE WHEN blobs < 3 THEN 'few blobs' WHEN aligned < 3 THEN 'few aligned' WHEN growth_ratio IS NULL THEN 'no fit' WHEN growth_ratio < 1.02::DOUBLE AND norm_slope <= 0.005::DOUBLE THEN 'not growing' WHEN growth_ratio > 2.5::DOUBLE THEN 'implausible' WHEN fits THEN 'growing' ELSE 'unclear' END AS details FROM yd)

@@ -39,7 +39,7 @@ def t1(spark, d):
 
 
 def t2(spark, d):
-    return T.prefixes(_tokens(spark, d).withColumn("text", F.substring("text", 1, 3)))
+    return T.prefixes(_tokens(spark, d))
 
 
 def t3(spark, d):
@@ -55,7 +55,7 @@ def t5(spark, d):
 
 
 def t6(spark, d):
-    return T.two_letter_pairs(_tokens(spark, d).withColumn("text", F.when(F.col("seq") == 2, F.substring("text", 2, 2)).otherwise(F.col("text"))))
+    return T.two_letter_pairs(_tokens(spark, d))
 
 
 def t7(spark, d):
@@ -208,11 +208,11 @@ dc AS (SELECT n.note_id, 'denomination_classification' AS check_name, CASE WHEN
 ORACLE_SQL = {
     "s9_ingest_words": oracle("SELECT note_id, seq, upper(trim(text)) AS text, CAST(trunc(conf / 100::DOUBLE * 100) AS INT) AS conf, x, CAST((y + y + h) // 2 AS INT) AS y, greatest(h, 1) AS h FROM fx_tokens WHERE conf / 100::DOUBLE >= 0.20::DOUBLE", "fx_tokens"),
     "t1_confusion_maps": oracle(f"SELECT note_id, seq, {_dig('text')} AS as_digits, {_let('text')} AS as_letters FROM fx_tokens", "fx_tokens"),
-    "t2_prefixes": oracle(f"SELECT * FROM (SELECT note_id, seq, {_prefix('substr(text, 1, 3)')} AS prefix FROM fx_tokens) WHERE prefix IS NOT NULL", "fx_tokens"),
+    "t2_prefixes": oracle(f"SELECT * FROM (SELECT note_id, seq, {_prefix('text')} AS prefix FROM fx_tokens) WHERE prefix IS NOT NULL", "fx_tokens"),
     "t3_digit_groups": oracle(f"SELECT * FROM (SELECT note_id, seq, {_digits('text')} AS digits FROM fx_tokens) WHERE digits IS NOT NULL", "fx_tokens"),
     "t4_single_token": oracle(_single("replace(text, ' ', '')"), "fx_tokens"),
     "t5_paired_tokens": oracle(_PARTS + "SELECT note_id, serial, conf, 1 AS part FROM pairs UNION ALL SELECT note_id, serial, conf, 2 FROM raws", "fx_tokens"),
-    "t6_two_letter_pairs": oracle(f"tt AS (SELECT note_id, seq, conf, x, y, h, CASE WHEN seq = 2 THEN substr(text, 2, 2) ELSE text END AS text FROM fx_tokens), q AS (SELECT *, {_let('text')} AS l, {_digits('text')} AS dig FROM tt) SELECT p.note_id, '?' || p.l || ' ' || d.dig AS serial, (p.conf + d.conf) / 2 AS conf FROM q p JOIN q d ON p.note_id = d.note_id AND p.seq <> d.seq AND length(p.text) = 2 AND regexp_matches(p.l, '^[A-Za-z]{{2}}$') AND d.dig IS NOT NULL AND p.x < d.x AND abs(p.y - d.y) <= greatest(d.h, 12)", "fx_tokens"),
+    "t6_two_letter_pairs": oracle(f"q AS (SELECT *, {_let('text')} AS l, {_digits('text')} AS dig FROM fx_tokens) SELECT p.note_id, '?' || p.l || ' ' || d.dig AS serial, (p.conf + d.conf) / 2 AS conf FROM q p JOIN q d ON p.note_id = d.note_id AND p.seq <> d.seq AND length(p.text) = 2 AND regexp_matches(p.l, '^[A-Za-z]{{2}}$') AND d.dig IS NOT NULL AND p.x < d.x AND abs(p.y - d.y) <= greatest(d.h, 12)", "fx_tokens"),
     "t7_serials_in_text": f"WITH m AS (SELECT doc_id, regexp_extract_all(translate(text, '{_LOWER}', '{_LOWER.upper()}'), '[A-Z0-9OISB]{{3}}\\s?[0-9OISB]{{6,7}}') AS m FROM documents), x AS (SELECT doc_id, CAST(k - 1 AS INT) AS nth, regexp_extract(m[k], '^(...)\\s?(.*)$', 1) AS a, regexp_extract(m[k], '^(...)\\s?(.*)$', 2) AS b FROM m, unnest(generate_series(1, len(m))) g(k)) SELECT doc_id, nth, p || ' ' || d AS serial, 50 AS conf FROM (SELECT *, {_prefix('a')} AS p, {_digits('b')} AS d FROM x) WHERE p IS NOT NULL AND d IS NOT NULL",
     "t8_cross_variant": oracle(f"q AS (SELECT *, CASE WHEN y > 300 THEN 'bottom' ELSE 'top' END AS region, CASE WHEN regexp_matches(text, '^[A-Z0-9]{{3}}$') THEN {_prefix('text')} END AS pre, {_digits('text')} AS dig FROM fx_tokens) SELECT p.note_id, p.region, p.pre || ' ' || d.dig AS serial, (p.conf + d.conf) / 2 AS conf FROM q p JOIN q d ON p.note_id = d.note_id AND p.region = d.region AND p.pre IS NOT NULL AND d.dig IS NOT NULL AND p.x < d.x AND abs(p.y - d.y) <= greatest(p.h, d.h) * 1.5", "fx_tokens"),
     "t9_serial_vote": oracle(_PARTS + "SELECT * FROM best", "fx_tokens"),

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from guilloche.operators import train as M
 from guilloche.operators import verdict as V
-from guilloche.staging import shared_path
+from guilloche.staging import new_path
 from guilloche.streaming.screen import arriving, screen_stream
 
 from .fixtures import load, oracle
@@ -32,11 +30,12 @@ def m1(spark, d):
 
     px = load(spark, d, "fx_pixels")
     labels = px.select("note_id", F.when(F.col("note_id") % 4 == 3, "fake").otherwise("real").alias("label")).distinct()
-    return M.feature_vectors(px, labels).select("note_id", "label", F.size(vector_to_array("features")).alias("n"), F.round(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+    vectors = M.feature_vectors(px, labels).withColumn("a", vector_to_array("features"))
+    return vectors.select("note_id", "label", F.posexplode("a").alias("at", "v")).select("note_id", "label", "at", F.round("v", 6).alias("v"))
 
 
 def m2(spark, d):
-    return M.stratified_split(load(spark, d, "fx_scores"), "label", "note_id").groupBy("label").agg(F.count("*").alias("n"), F.count_if("held_out").alias("held_out"))
+    return M.stratified_split(load(spark, d, "fx_scores"), "label", "note_id").select("note_id", "label", "held_out")
 
 
 def m3(spark, d):
@@ -47,6 +46,13 @@ def m4(spark, d):
     return M.augment(load(spark, d, "fx_pixels"), copies=1)
 
 
+def m5(spark, d):
+    """What the fitted classifiers say of each vector: hits and mean score by label."""
+    rows = _vectors(spark, d)
+    one = M.score(M.fit_classifier(rows), rows)
+    return one.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.when((F.col("raw") >= 0.5) == (F.col("label") == 1), 1.0).otherwise(0.0)), 3).alias("accuracy"))
+
+
 def m6(spark, d):
     rows = _vectors(spark, d)
     return M.score(M.fit_classifier(rows), rows).select("note_id", "label", F.round("raw", 6).alias("raw"))
@@ -80,7 +86,7 @@ def m10(spark, d):
 
 def s8(spark, d):
     """Verdicts without a model for checks that arrive as files, read back from the sink."""
-    base = shared_path(spark, f"stream-{uuid.uuid4().hex}")
+    base = new_path(spark, "stream")
     load(spark, d, "fx_checks").repartition(4, "note_id").write.parquet(f"{base}/in")
     schema = spark.read.parquet(f"{base}/in").schema
     query = screen_stream(spark, arriving(spark, f"{base}/in", schema, files_per_batch=2), lambda rows: V.verdict_without_model(V.forensic_score(rows)).select("note_id", "verdict"), f"{base}/out", f"{base}/state")
@@ -91,7 +97,7 @@ def s8(spark, d):
 
 
 QUERIES = {
-    "m1_feature_vectors": m1, "m2_stratified_split": m2, "m3_validation_split": m3, "m4_augment": m4, "m6_scored": m6, "m6_scored_layers": m6_layers, "m7_roc": m7, "m8_auc": m8, "m9_accuracy_loss": m9, "m10_fit_diagnosis": m10, "s8_stream_verdicts": s8,
+    "m1_feature_vectors": m1, "m2_stratified_split": m2, "m3_validation_split": m3, "m4_augment": m4, "m5_classifier": m5, "m6_scored": m6, "m6_scored_layers": m6_layers, "m7_roc": m7, "m8_auc": m8, "m9_accuracy_loss": m9, "m10_fit_diagnosis": m10, "s8_stream_verdicts": s8,
 }
 
 _L = "l AS (SELECT note_id, CASE WHEN label = 'real' THEN 1 ELSE 0 END AS label, raw FROM fx_scores)"
@@ -99,8 +105,19 @@ _ROC = _L + """,
 c AS (SELECT raw AS threshold, sum(label) AS p, sum(1 - label) AS n FROM l GROUP BY raw),
 r AS (SELECT threshold, sum(p) OVER u / sum(p) OVER () AS tpr, sum(n) OVER u / sum(n) OVER () AS fpr FROM c WINDOW u AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING))"""
 
+_UNIT = "(('0x' || substr(m, {at}, 6))::BIGINT / 8388608.0::DOUBLE - 1)"
+_TURN = "CAST(floor(round({c} + ({a}) / zoom, 6) + 0.5) AS INT)"
+_AUGMENT = f"""p AS (SELECT DISTINCT note_id, w, h, md5(concat_ws(':', note_id, 1, 42)) AS m FROM fx_pixels),
+q AS (SELECT note_id, w, h, radians(20 * {_UNIT.format(at=1)}) AS angle, 1 + 0.2::DOUBLE * {_UNIT.format(at=7)} AS zoom, 0.2::DOUBLE * {_UNIT.format(at=13)} * w AS sx, 0.2::DOUBLE * {_UNIT.format(at=19)} * h AS sy, {_UNIT.format(at=25)} > 0 AS flip FROM p),
+g AS (SELECT q.*, CAST(x.i AS INT) AS x, CAST(y.i AS INT) AS y, (w - 1) / 2 AS cx, (h - 1) / 2 AS cy FROM q, range(140) x(i), range(64) y(i)),
+d AS (SELECT *, CASE WHEN flip THEN -(x - cx) ELSE x - cx END - sx AS dx, y - cy - sy AS dy FROM g),
+s AS (SELECT note_id, y, x, w, h, {_TURN.format(c='cx', a='dx * cos(angle) + dy * sin(angle)')} AS tx, {_TURN.format(c='cy', a='dy * cos(angle) - dx * sin(angle)')} AS ty FROM d)
+SELECT s.note_id, 1 AS copy, s.y, s.x, s.w, s.h, coalesce(b, 0) AS b, coalesce(g, 0) AS g, coalesce(r, 0) AS r FROM s LEFT JOIN fx_pixels f ON f.note_id = s.note_id AND f.y = ty AND f.x = tx"""
+
 ORACLE_SQL = {
-    "m2_stratified_split": oracle("SELECT label, count(*) AS n, CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS held_out FROM fx_scores GROUP BY label", "fx_scores"),
+    "m1_feature_vectors": oracle("g AS (SELECT note_id, y * 16 // h AS gy, x * 16 // w AS gx, avg(b) / 255 AS b, avg(g) / 255 AS g, avg(r) / 255 AS r FROM fx_pixels GROUP BY ALL) SELECT note_id, CASE WHEN note_id % 4 = 3 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS label, CAST((gy * 16 + gx) * 3 + k AS INT) AS at, round(CASE k WHEN 0 THEN b WHEN 1 THEN g ELSE r END, 6) AS v FROM g, (VALUES (0), (1), (2)) c(k)", "fx_pixels"),
+    "m4_augment": oracle(_AUGMENT, "fx_pixels"),
+    "m2_stratified_split": oracle("SELECT note_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', note_id, 42)), note_id) <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY label)) AS held_out FROM fx_scores", "fx_scores"),
     "m3_validation_split": oracle("SELECT note_id, label, path, row_number() OVER (PARTITION BY label ORDER BY path) <= floor(0.2::DOUBLE * count(*) OVER (PARTITION BY label)) AS validation FROM fx_notes", "fx_notes"),
     "m7_roc": oracle(_ROC + "SELECT threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM r", "fx_scores"),
     "m8_auc": oracle(_ROC + "SELECT round(sum(a), 6) AS auc FROM (SELECT (fpr - lag(fpr, 1, 0) OVER w) * (tpr + lag(tpr, 1, 0) OVER w) / 2 AS a FROM r WINDOW w AS (ORDER BY threshold DESC))", "fx_scores"),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Note sizes in millimetres and colour boxes (hue 0-179, saturation 0-255) by denomination.
 DIMENSIONS_MM = {"10": (123, 63), "20": (129, 63), "50": (135, 66), "100": (142, 66), "200": (146, 66), "500": (150, 66), "2000": (166, 66)}
 PALETTE = {"10": (5, 22, 30, 200), "20": (35, 65, 60, 255), "50": (85, 105, 40, 255), "100": (115, 145, 30, 200), "200": (15, 40, 90, 255), "500": (15, 55, 0, 80), "2000": (155, 179, 50, 255)}
+# Denominations, what a misread first digit stands for, and characters that readers confuse.
 KNOWN_DENOMINATIONS = ("10", "20", "50", "100", "200", "500", "2000")
 LEADING_FIX = {"9": ("5", "2", "1"), "8": ("5",), "4": ("1",), "6": ("5",)}
 DIGIT_FROM, DIGIT_TO = "OIJSB", "01158"

@@ -21,5 +21,7 @@ def screen_stream(spark: SparkSession, source: DataFrame, screen: Callable[[Data
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def arriving(spark: SparkSession, path: str, schema, *, format: str = "parquet", files_per_batch: int = 100) -> DataFrame:
-    return spark.readStream.format(format).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(path)
+def arriving(spark: SparkSession, path: str, schema, *, format: str = "parquet", files_per_batch: int = 100, recursive: bool = False) -> DataFrame:
+    """Rows of the files that arrive below ``path``; with ``recursive`` in its folders as well."""
+    source = spark.readStream.format(format).schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return source.option("recursiveFileLookup", recursive).load(path)
