@@ -1,5 +1,6 @@
 """Operators over whole collections against brute force, with the awkward rows."""
 
+import math
 import random
 import re
 
@@ -193,6 +194,77 @@ def test_quality_model_holds_out(spark, data):
     assert quality_model.score(odd, labels.where("false")).count() == 4
 
 
+def plain_sites(rows):
+    """(host_posterior, path_posterior, quality_score) of rows (host, path, evidence, label) by plain loops."""
+    known = [e if y is None else y for _, _, e, y in rows]
+    overall = sum(known) / len(known)
+
+    def weight(groups, prior):
+        n = sum(map(len, groups.values()))
+        if len(groups) < 2 or n <= len(groups):
+            return None
+        mean = {g: sum(v) / len(v) for g, v in groups.items()}
+        inner = sum((x - mean[g]) ** 2 for g, v in groups.items() for x in v) / (n - len(groups))
+        between = sum(len(v) * (mean[g] - prior(g)) ** 2 for g, v in groups.items())
+        spread = (between - (len(groups) - 1) * inner) / (n - sum(len(v) ** 2 for v in groups.values()) / n)
+        return inner / spread if spread > 0 else None
+
+    hosts, paths = {}, {}
+    for (h, p, _, _), y in zip(rows, known):
+        hosts.setdefault(h, []).append(y)
+        paths.setdefault((h, p), []).append(y)
+    wh = weight(hosts, lambda g: overall)
+    wp = weight(paths, lambda g: sum(hosts[g[0]]) / len(hosts[g[0]]))
+    logit = lambda q: math.log(min(max(q, 0.01), 0.99) / (1 - min(max(q, 0.01), 0.99)))
+    out = []
+    for (h, p, e, _), y in zip(rows, known):
+        pull = lambda v, prior, w: prior if w is None else (sum(v) - y + w * prior) / (len(v) - 1 + w)  # noqa: B023, E731
+        a = pull(hosts[h], overall, wh)
+        b = pull(paths[h, p], a, wp)
+        out.append((a, b, 1 / (1 + math.exp(-(logit(e) + logit(b) - logit(overall))))))
+    return out
+
+
+def test_sites_shrink_and_flip_as_the_plain_version_says(spark):
+    r = random.Random(4)
+    rows = []
+    for host, n, good in [("big-bad", 400, 0.02), ("big-good", 400, 0.97), ("mixed", 300, 0.5), (None, 40, 0.9)] + [(f"small{k}", 1, 0.5) for k in range(30)]:
+        for k in range(n):
+            y = float(r.random() < good)
+            unclear = r.random() < 0.5
+            e = r.uniform(0.4, 0.6) if unclear else min(0.99, max(0.01, r.gauss(0.9 if y else 0.1, 0.05)))
+            rows.append((host, r.choice(["a", "b", None]), e, y if k % 2 else None))
+    schema = "doc_id long, _host string, _path string, evidence double, _known double"
+    got = quality_model.with_sites(spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], schema), threshold=0.5).orderBy("doc_id").collect()
+    want = plain_sites(rows)
+    for g, w in zip(got, want):
+        assert all(abs(a - b) < 1e-9 for a, b in zip((g.host_posterior, g.path_posterior, g.quality_score), w))
+        assert g.kept == (w[2] >= 0.5) or abs(w[2] - 0.5) < 1e-9
+    overall = sum(e if y is None else y for _, _, e, y in rows) / len(rows)
+    sparse = [g for g, x in zip(got, rows) if str(x[0]).startswith("small")]
+    assert all(abs(g.path_posterior - overall) < 1e-9 for g in sparse)  # nothing else is known of their sites
+    unclear = lambda host: [g for g, x in zip(got, rows) if x[0] == host and 0.4 < x[2] < 0.6]
+    assert not any(g.kept for g in unclear("big-bad")) and all(g.kept for g in unclear("big-good"))
+
+
+def test_sites_of_chance_say_nothing(spark):
+    r = random.Random(7)
+    rows = [(i, f"h{i % 5}", f"p{i % 3}", 0.2 + 0.6 * (i // 15 % 2), None) for i in range(600)]
+    r.shuffle(rows)
+    got = quality_model.with_sites(spark.createDataFrame(rows, "doc_id long, _host string, _path string, evidence double, _known double"), threshold=0.5).collect()
+    assert all(abs(g.path_posterior - 0.5) < 1e-9 and abs(g.quality_score - g.evidence) < 1e-9 for g in got)
+
+
+def test_evidence_reads_the_words(spark):
+    """Good and bad documents that only their words tell apart."""
+    r = random.Random(2)
+    good, bad = (["".join(r.choices("abcdefgh" if k else "mnopqrst", k=5)) for _ in range(200)] for k in (0, 1))
+    rows = [(i, " ".join(r.choices(good if i % 2 else bad, k=30))) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    got = quality_model.score(make(spark, rows), labels).collect()
+    assert all(g.kept == bool(g.doc_id % 2) for g in got if g.doc_id >= 200)
+
+
 def test_pipeline_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
