@@ -1,13 +1,19 @@
 """URL filter with redirect equivalence.
 
 Rules name a host and a path prefix. Urls that redirect to each other, name the same canonical
-link or differ only in form are aliases: connected components over those edges. A blocked
-alias blocks the urls of its component that no rule fits; an explicitly allowed alias in the
-component takes precedence over that.
+link or differ only in form are aliases: connected components over those edges, in which a
+plain form is a node beside the urls that have it. A blocked alias blocks the urls of its
+component that no rule fits; an explicitly allowed alias in the component takes precedence
+over that.
 """
 
 from __future__ import annotations
 
+import html as markup
+import re
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,15 +44,48 @@ def canonical_form(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host, path, F.when(F.length(kept) > 0, F.concat(F.lit("?"), kept)).otherwise("")))
 
 
+_TAG = re.compile(r"""<(link|meta|base)\b((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+_REFRESH = re.compile(r"""^[\d.\s]*[;,]\s*(?:url\s*=)?\s*["']?([^"']+)""", re.I)
+
+
+def links_of(url: str, page: str) -> list[str]:
+    """Absolute targets of a page's canonical links and refreshes; relative ones join its base, or its own url."""
+    base, found = url, []
+    for tag, attrs in _TAG.findall(page):
+        a = {}
+        for k, v in _ATTR.findall(attrs):
+            a.setdefault(k.lower(), markup.unescape(v[1:-1] if v[:1] in "\"'" else v).strip())
+        kind = tag.lower()
+        if kind == "base" and a.get("href") and base == url:
+            base = _join(url, a["href"])
+        elif kind == "link" and "canonical" in a.get("rel", "").lower().split():
+            found.append(a.get("href", ""))
+        elif kind == "meta" and a.get("http-equiv", "").lower() == "refresh" and (m := _REFRESH.match(a.get("content", ""))):
+            found.append(m[1].strip())
+    return [t for t in dict.fromkeys(_join(base, x) for x in found if x) if "://" in t]
+
+
+def _join(base: str, target: str) -> str:
+    try:
+        return urljoin(base, target)
+    except ValueError:  # no url at all
+        return ""
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) from each page's url to its canonical link and its refresh target; relative targets join its own site."""
-    html = F.col("html").cast("string")
-    link = F.regexp_extract(html, r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical["']?[^>]*>""", 0)
-    canonical = F.regexp_extract(link, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh["']?[^>]*>""", 0), r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    found = pages.where(F.col("url").isNotNull() & html.isNotNull()).select(F.col("url").cast("string").alias("src"), F.explode(F.array(canonical, refresh)).alias("dst")).where("dst != ''")
-    site = F.regexp_extract("src", "^.*?://[^/?#]*", 0)
-    return found.withColumn("dst", F.when(F.instr("dst", "://") > 0, F.col("dst")).when(F.startswith("dst", F.lit("//")), F.concat(F.lit("http:"), "dst")).when(F.startswith("dst", F.lit("/")), F.concat(site, "dst"))).where("dst is not null")
+    """(src, dst) from each page's url to its canonical links and refresh targets.
+
+    Pages that name neither are left out by a search of their text. Null urls and pages have no edges.
+    """
+    some = pages.select(F.col("url").cast("string").alias("src"), F.col("html").cast("string").alias("html")).where("src is not null").where(F.col("html").rlike(r"(?i)<(link|meta)\b[^>]*(canonical|refresh)"))
+
+    def read(batches):
+        for batch in batches:
+            pairs = [(u, t) for u, p in zip(*(batch.column(k).to_pylist() for k in (0, 1))) for t in links_of(u, p)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], ["src", "dst"])
+
+    return some.mapInArrow(read, "src string, dst string")
 
 
 def apply_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -68,17 +107,21 @@ def judge(pages: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``edges`` (src, dst) are redirects and canonical links between urls. The verdict is the
     rule's; without a rule it is block if an alias is blocked by a rule and none is allowed by
-    one, else allow. A null url, or one without ``://``, has an empty host and path, no
+    one, else allow. ``alias_group`` is the smallest url or form of the aliases. A null url, or one without ``://``, has an empty host and path, no
     aliases and, as no rule has an empty host, the verdict allow. Repeated pages are judged
     alike; edges with a null end, repeated ones and self-links change nothing. Without rules
     all is allowed.
     """
     named = pages.select("page_id", F.col("url").cast("string").alias("url"))
     links = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).where("src is not null and dst is not null")
+    links = stage(links.where(F.instr("src", "://") > 0).where(F.instr("dst", "://") > 0), "links")
     every = named.select("url").unionByName(links.select(F.col("src").alias("url"))).unionByName(links.select(F.col("dst").alias("url"))).where("url is not null").distinct()
     ruled = stage(apply_rules(every.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules).withColumn("form", canonical_form(F.col("url"))), "ruled-urls")
-    joins = connected_components(links.select(canonical_form(F.col("src")).alias("a"), canonical_form(F.col("dst")).alias("b")), "a", "b")
-    grouped = ruled.join(joins, F.col("form") == F.col("node"), "left").withColumn("alias_group", F.coalesce("component", "form")).drop("node", "component")
+    forms = ruled.where("form is not null and form != url").select(F.col("url").alias("a"), F.col("form").alias("b"))
+    joins = connected_components(forms.unionByName(links.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "a", "b")
+    known = ruled.join(joins, F.col("url") == F.col("node"), "left")
+    group = F.when(F.col("form").isNotNull(), F.coalesce("component", "url"))
+    grouped = known.withColumn("alias_group", group).drop("node", "component")
     said = grouped.where("alias_group is not null and action is not null").groupBy("alias_group").agg(F.max(F.when(F.col("action") == "block", 1).otherwise(0)).alias("_block"), F.max(F.when(F.col("action") == "allow", 1).otherwise(0)).alias("_allow"))
     verdict = F.coalesce("action", F.when((F.col("_block") == 1) & (F.col("_allow") == 0), "block").otherwise("allow"))
     judged = grouped.join(said, "alias_group", "left").select("url", "host", "path", "rule", verdict.alias("verdict"), "alias_group")
@@ -116,7 +159,7 @@ ruled AS (SELECT hp.*, rule, action FROM hp LEFT JOIN fit ON fit.url = hp.url AN
 link AS (SELECT {_form('src')} AS a, {_form('dst')} AS b FROM e WHERE dst IS NOT NULL),
 links AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 walk AS (SELECT DISTINCT form AS a, form AS b FROM ruled WHERE form IS NOT NULL UNION SELECT walk.a, links.b FROM walk JOIN links ON links.a = walk.b),
-comp AS (SELECT a AS form, min(b) AS alias_group FROM walk GROUP BY a),
+comp AS (SELECT walk.a AS form, min(least(walk.b, f.least_url)) AS alias_group FROM walk JOIN (SELECT form, min(url) AS least_url FROM ruled GROUP BY form) f ON f.form = walk.b GROUP BY walk.a),
 g AS (SELECT ruled.*, alias_group FROM ruled LEFT JOIN comp USING (form)),
 said AS (SELECT alias_group, bool_or(action = 'block') AS blocked, bool_or(action = 'allow') AS allowed FROM g WHERE action IS NOT NULL AND alias_group IS NOT NULL GROUP BY alias_group)
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(action, CASE WHEN blocked AND NOT allowed THEN 'block' ELSE 'allow' END) AS verdict, g.alias_group

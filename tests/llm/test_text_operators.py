@@ -327,3 +327,39 @@ def test_url_rules_and_aliases(spark):
     got = {r.page_id: r for r in url_filter.judge(pages, edges, rules).collect()}
     assert [got[i].verdict for i in range(10)] == ["block", "allow", "allow", "block", "block", "block", "allow", "allow", "allow", "allow"]
     assert (got[1].host, got[1].path, got[1].rule) == ("s.bad.com", "/ok/2", "bad.com/ok/") and got[8].host == got[7].path == ""
+
+
+def test_links_of_pages(spark):
+    at = "http://a.com/x/y/page.html?q=1"
+    cases = {
+        "<link rel=canonical href='http://b.com/'>": ["http://b.com/"],
+        '<LINK href="../z" REL="alternate canonical">': ["http://a.com/x/z"],
+        "<link rel=canonical href=next.html>": ["http://a.com/x/y/next.html"],
+        "<link rel=canonical href='?id=3&amp;k=4'>": ["http://a.com/x/y/page.html?id=3&k=4"],
+        "<base href='/deep/er/'><link rel='canonical' href='p'>": ["http://a.com/deep/er/p"],
+        "<meta http-equiv=refresh content='0; url=//c.org/q'>": ["http://c.org/q"],
+        """<meta http-equiv="Refresh" content="5;URL='/r'">""": ["http://a.com/r"],
+        "<meta http-equiv=refresh content=30>": [],
+        "<link rel=stylesheet href=canonical.css><link rel=canonical><link rel=canonical href='mailto:x'><link rel=canonical href='http://[bad'>": [],
+    }
+    for page, want in cases.items():
+        assert url_filter.links_of(at, page) == want, page
+    rows = [(i, at, page) for i, page in enumerate(cases)] + [(20, None, "<link rel=canonical href=/x>"), (21, at, None)]
+    got = sorted((r.src, r.dst) for r in url_filter.page_edges(spark.createDataFrame(rows, "page_id int, url string, html string")).collect())
+    assert got == sorted((at, t) for want in cases.values() for t in want)
+
+
+def test_links_carry_verdicts(spark):
+    """A page's canonical link joins it to a blocked url, a form to both, an allowed alias frees another group."""
+    rules = spark.createDataFrame([("block", "bad.com/"), ("allow", "good.org/")], "action string, rule string")
+    rows = [
+        (1, "http://one.net/a", "<link rel=canonical href='http://bad.com/p'>"),
+        (2, "https://www.one.net/a/", ""),
+        (3, "http://two.net/", "<meta http-equiv=refresh content='0;url=http://bad.com/q'>"),
+        (4, "http://good.org/z", "<link rel=canonical href='http://two.net/'>"),
+        (5, "http://three.net/", None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {r.page_id: (r.verdict, r.alias_group) for r in url_filter.judge(pages, url_filter.page_edges(pages), rules).collect()}
+    assert {k: v for k, (v, _) in got.items()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+    assert got[1][1] == got[2][1] and got[3][1] == got[4][1] != got[5][1]
