@@ -54,7 +54,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, text_c
     item id has windows that hit but is not among the items. Rows that repeat a doc_id are one
     document each. No items: nothing is hit. Extra columns do not matter.
     """
-    wins = stage(benchmark_windows(items, window).withColumn("_len", F.size("_win")), "windows")
+    # Windows are numbered: what is broadcast holds words and numbers, not the items, which may be all of them.
+    wins = stage(benchmark_windows(items, window).withColumns({"_len": F.size("_win"), "_wid": F.monotonically_increasing_id()}), "windows")
     sizes = [r[0] for r in wins.select(F.least(F.col("_len"), F.lit(SHINGLE)).alias("n")).distinct().orderBy("n").collect()]  # at most SHINGLE rows
     # Rows of equal id and text share a key, and what is found in either of them.
     texts = docs.select(F.col(id_col).alias("doc_id"), F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(text_col).cast("string")).alias("_row"), words_of(F.col(text_col)).alias("_w"))
@@ -63,23 +64,24 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, text_c
     if not sizes:
         return _digest(totals.withColumns(none))
     inner = F.transform(F.sequence(F.lit(0), F.col("_len") - F.least(F.col("_len"), F.lit(SHINGLE))), lambda i: F.struct(i.alias("_off"), _of_window(i).alias("_s")))
-    grams = wins.select("_win", "_len", "_items", F.explode(inner).alias("_g")).select("_win", "_len", "_items", "_g._off", "_g._s")
+    grams = wins.select("_win", "_len", "_wid", F.explode(inner).alias("_g")).select("_win", "_len", "_wid", "_g._off", "_g._s")
     # How often the benchmark's shingles occur in the corpus: the order of rarity.
     seen = _occurrences(texts.select("_w"), sizes).select("_s").join(small(grams.select("_s").distinct()), "_s", "left_semi")
     rarity = stage(seen.groupBy("_s").agg(F.count("*").alias("_n")), "rarity")
-    rank = Window.partitionBy("_win").orderBy(F.col("_n"), F.col("_off"))
+    rank = Window.partitionBy("_wid").orderBy(F.col("_n"), F.col("_off"))
     # A window with a shingle that never occurs cannot occur.
     ranked = grams.join(small(rarity), "_s", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).withColumn("_k", F.row_number().over(rank))
-    prefix = stage(ranked.where("_k = 1 and _n > 0").select("_s", "_off", "_len", "_win", "_items"), "prefixes")
+    prefix = stage(ranked.where("_k = 1 and _n > 0").select("_s", "_off", "_len", "_win", "_wid"), "prefixes")
     found = _occurrences(texts, sizes).join(small(prefix), "_s").withColumn("_at", F.col("_at") - F.col("_off"))
     found = found.where((F.col("_at") >= 0) & (F.col("_at") + F.col("_len") <= F.size("_w")))
-    found = found.where(F.slice(F.col("_w"), F.col("_at") + 1, F.col("_len")) == F.col("_win")).select("_row", "_at", (F.col("_at") + F.col("_len")).alias("_end"), "_items")
+    found = found.where(F.slice(F.col("_w"), F.col("_at") + 1, F.col("_len")) == F.col("_win")).select("_row", "_at", (F.col("_at") + F.col("_len")).alias("_end"), "_wid")
     found = stage(found, "occurrences")
     reach = Window.partitionBy("_row").orderBy("_at", "_end").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("_end") - F.greatest(F.col("_at"), F.coalesce(F.max("_end").over(reach), F.lit(0))))
     spans = found.groupBy("_row", "_at", "_end").agg(F.lit(0)).select("_row", "_at", "_end").withColumn("_fresh", fresh)
     hit = spans.groupBy("_row").agg(F.sum("_fresh").cast("long").alias("n_hit"))
-    which = found.select("_row", F.explode("_items").alias("_item")).distinct().groupBy("_row").agg(F.collect_list("_item").alias("_found"))
+    named = found.select("_row", "_wid").distinct().join(wins.select("_wid", F.explode("_items").alias("_item")), "_wid")
+    which = named.select("_row", "_item").distinct().groupBy("_row").agg(F.collect_list("_item").alias("_found"))
     joined = totals.join(hit, "_row", "left").join(which, "_row", "left")
     return _digest(joined.withColumns({k: F.coalesce(F.col(k), v) for k, v in none.items()}))
 
