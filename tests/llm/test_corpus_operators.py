@@ -3,12 +3,17 @@
 import math
 import random
 import re
+import zlib
+
+import numpy as np
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from guilloche.llm import decontaminate, line_dedup, near_dup, quality_model
 from guilloche.llm.graph import connected_components
+from guilloche.llm.tokenize import encoder, vocabulary
+from test_text_operators import plain_judge
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rep string"
 
@@ -161,6 +166,27 @@ def test_blocks_of_short_lines_go_whoever_held_their_lines_first(spark):
     assert got == {**dict(rows), 4: "", 6: tail, 7: "x"}
 
 
+def plain_lines(rows, min_words=10):
+    """Per document, in order, its lines with words that no earlier document holds in a run of ``min_words`` words; None for a null text."""
+    held, out = set(), {}
+    for i, text in rows:
+        if text is None:
+            out[i] = None
+            continue
+        own = [" ".join(x.split()) for x in text.split("\n")]
+        size = [len(x.split()) for x in own]
+        total = [0]
+        for n in size:
+            total.append(total[-1] + n)
+        # Runs that are as short as they can be stand for all longer ones.
+        runs = [(a, b) for a in range(len(own)) for b in [next((b for b in range(a + 1, len(own) + 1) if total[b] - total[a] >= min_words), 0)] if b]
+        runs += [(a, b) for b in range(1, len(own) + 1) for a in [next((a for a in range(b - 1, -1, -1) if total[b] - total[a] >= min_words), -1)] if a >= 0]
+        gone = {k for a, b in runs if tuple(own[a:b]) in held for k in range(a, b) if size[k]}
+        out[i] = [x for k, x in enumerate(text.split("\n")) if size[k] and k not in gone]
+        held.update(tuple(own[a:b]) for a, b in runs)
+    return out
+
+
 def test_line_dedup_equals_brute_force(spark):
     """Random documents over few lines: the lines with words that go are those in runs that an earlier document holds."""
     r = random.Random(8)
@@ -168,14 +194,8 @@ def test_line_dedup_equals_brute_force(spark):
     rows = [(k, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 12)))) for k in range(150)]
     rows += [(150 + k, "\n".join(lines[i] for i in part)) for k, part in enumerate([(1, 2), (2, 3), (1, 2, 3), (1, 2, 3), (3, 2, 1)])]
     got = {x.doc_id: x.text for x in line_dedup.deduplicate(make(spark, rows), min_words=10).collect()}
-    held: set = set()
-    for i, text in rows:
-        own = text.split("\n")
-        size = [len(x.split()) for x in own]
-        runs = [(a, b) for a in range(len(own)) for b in range(a + 1, len(own) + 1) if sum(size[a:b]) >= 10]
-        gone = {k for a, b in runs if tuple(own[a:b]) in held for k in range(a, b) if size[k]}
-        assert [x for x in got[i].split("\n") if x] == [x for k, x in enumerate(own) if x and k not in gone], i
-        held.update(tuple(own[a:b]) for a, b in runs)
+    want = plain_lines(rows)
+    assert {i: [x for x in t.split("\n") if x] for i, t in got.items()} == want
 
 
 def test_line_dedup_with_clashing_names(spark):
@@ -281,6 +301,64 @@ def test_pipeline_stages(spark, data):
     assert packed.select("doc_id").distinct().count() == before.count()
 
 
+def test_every_stage_equals_its_plain_version(spark, data):
+    """Each stage on its own input: the documents table, longest texts included, with rows without id or text."""
+    labels = [tuple(r) for r in spark.read.parquet(f"{data}/labels.parquet").select("doc_id", "quality").collect()]
+    items = [r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    odd = make(spark, [(10**6, None), (10**6 + 1, ""), (10**6 + 2, items[0]), (10**6 + 3, " ".join(f"z{k}" for k in range(40)))]).drop("rep")
+    docs = corpus_pipeline.stage(spark.read.parquet(f"{data}/documents.parquet").unionByName(odd), "documents")
+    steps = dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+
+    before = docs.collect()
+    after = corpus_pipeline.stage(steps["quality_rules"](spark, docs, data), "quality")
+    kept = {x[0] for x in plain_judge([(r.doc_id, r.text, r.lang) for r in before], labels) if x[-1]}
+    assert rows(after) == sorted((r.doc_id, r.text) for r in before if r.doc_id in kept)
+
+    before, docs = rows(after), after
+    after = corpus_pipeline.stage(steps["line_dedup"](spark, docs, data), "lines")
+    want = plain_lines(before)
+    assert {i: [x for x in t.split("\n") if x.split()] for i, t in rows(after)} == {i: x for i, x in want.items() if x}
+    assert all(r.n_chars == len(r.text) for r in after.collect() if r.text != dict(before)[r.doc_id])
+
+    before, docs = rows(after), after
+    after = corpus_pipeline.stage(steps["near_dup"](spark, docs, data), "near")
+    assert [i for i, _ in rows(after)] == [i for i, (_, root) in sorted(brute(before, 5, 80).items()) if i == root]
+
+    before, docs = rows(after), after
+    after = corpus_pipeline.stage(steps["decontamination"](spark, docs, data), "clean")
+    words = lambda t: [x.lower() for x in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
+    windows = {tuple(w[i : i + 10]) for t in items for w in [words(t)] if w for i in range(max(1, len(w) - 9))}
+    sizes = {len(w) for w in windows}
+    dirty = lambda w: any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+    assert rows(after) == [(i, t) for i, t in before if not dirty(words(t))] and len(rows(after)) < len(before)
+
+    packed = steps["packing"](spark, after, data).collect()
+    lib = encoder(vocabulary("byte_bpe_50k.json")).lib
+    ids = {i: [*lib.encode(t, add_special_tokens=False).ids, 1] for i, t in rows(after)}
+    sequences, places = {}, {}
+    for p in packed:
+        part = ids[p.doc_id][p.start : p.start + p.length]
+        assert p.doc_tokens == len(ids[p.doc_id]) and len(part) == p.length and zlib.crc32(np.array(part, "<u4").tobytes()) == p.ids_crc32
+        sequences.setdefault(p.sequence_id, []).append((p.offset, p.length))
+        places.setdefault(p.doc_id, []).append((p.start, p.length))
+    for spans, total in [*((x, None) for x in sequences.values()), *((x, len(ids[i])) for i, x in places.items())]:
+        end = 0
+        for at, n in sorted(spans):
+            assert at == end
+            end += n
+        assert end <= 2048 if total is None else end == total
+    # As few sequences as an exhaustive first fit of the same pieces needs, and one more at most.
+    free = []
+    for n in sorted((p.length for p in packed), reverse=True):
+        k = next((k for k, room in enumerate(free) if room >= n), None)
+        if k is None:
+            free.append(2048 - n)
+        else:
+            free[k] -= n
+    assert places.keys() == ids.keys() and len(sequences) <= len(free) + 1
+
+
 def test_stages_with_null_and_repeated_ids(spark, data):
     text = lambda k, n=60: " ".join(f"{'abcdefghij'[(i * i + k) % 10]}{k}x{i}" for i in range(n))
     block = "\n".join(text(90 + k, 12) for k in range(2))
