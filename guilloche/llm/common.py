@@ -2,48 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from guilloche.staging import new_path, shared_dir, stage
+
+__all__ = ["empty", "new_path", "shared_dir", "small", "stage", "table"]
+
 #: Rows up to which a dimension table counts as small enough to broadcast.
 BROADCAST_ROWS = 200_000
 #: What its rows may take together, written as JSON.
 BROADCAST_BYTES = 64 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names it on a cluster. Where it is unset, a local session gets
-    a fresh temporary folder and any other one a folder inside the warehouse.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_guilloche_dir", None)
-    if not known:
-        if spark.sparkContext.master.startswith("local["):
-            known = "file://" + tempfile.mkdtemp(prefix="spark-")
-        else:
-            known = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_guilloche"
-        spark._guilloche_dir = known
-    return known.rstrip("/") if "://" in known or known.startswith("file:") else "file://" + known.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
