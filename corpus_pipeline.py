@@ -29,7 +29,11 @@ def _only(rows: DataFrame, numbers: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or a risk-controlled threshold reject go; each row is judged by its own text."""
+    """Documents that the base rules or a risk-controlled threshold reject go; each row is judged by its own text.
+
+    A null text goes, an empty one as well. Rows without doc_id, rows that repeat one and equal
+    rows are each judged. A null language is a stratum of its own. An empty table gives none.
+    """
     rows = _numbered(docs)
     return _only(rows, quality_rules.judge(rows, table(spark, sf_dir, "labels"), keep=("_row",)).where("kept"))
 
@@ -37,7 +41,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that an earlier document has go; a document of which no word is left goes as well.
 
-    Documents without doc_id come after all others. Rows of equal id and text lose the same lines.
+    Documents are in order of doc_id, those without one after all others, those of equal id in
+    order of their text's hash. Rows of equal id and text lose the same lines. Null and empty
+    texts stay. ``n_chars`` follows a changed text. An empty table gives none.
     """
     cut = line_dedup.deduplicate(docs.select(*COLUMNS, F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_order")), min_words=10, id_col="_order")
     changed = F.col("n_removed") > 0
@@ -48,7 +54,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id, one without id only if none has one.
 
-    Of rows that repeat id and text one stays as well, also where the text has no words.
+    Of rows that repeat id and text one stays as well, also where the text has no words; rows
+    of one id with different texts are different documents. Of equal ids in a group the text
+    with the smallest hash stays. An empty table gives none.
     """
     rows = _numbered(docs)
     groups = near_dup.components(rows, shingle=5, percent=80, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id", "n_shingles")
@@ -61,13 +69,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go; each row is judged by its own text."""
+    """Documents that hold a window of a benchmark item go; each row is judged by its own text.
+
+    Null and empty texts hold none and stay, as do all rows without benchmark items. Rows
+    without doc_id, rows that repeat one and equal rows are each judged. An empty table gives none.
+    """
     rows = _numbered(docs)
     return _only(rows, decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), id_col="_row").where("not contaminated").select(F.col("doc_id").alias("_row")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their place in the training sequences."""
+    """Pieces of the documents with their place in the training sequences.
+
+    Null and empty texts are the end id alone. Rows that repeat a doc_id are each packed; a
+    null doc_id stays null. An empty table gives none.
+    """
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), size=2048, end_id=1)
 
 
