@@ -16,16 +16,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small, stage
-from .hashing import blocks, lower, mix, windows, words
+from .hashing import blocks, lower, windows, words
 from .quality_rules import _measure
 
 #: Labelled rows on which the model is fitted at most; chosen by a hash of the id.
-MAX_TRAINING_ROWS = 20_000
+MAX_TRAINING_ROWS = 8_000
 #: Hash slots of words and word pairs, and of character trigrams; text statistics follow them.
 WORDS, CHARS = 1 << 13, 1 << 13
 STATISTICS = ("symbols", "repeats", "dup_lines", "word_length", "short", "symbols_per_line")
 #: Scale of the statistics beside the slots, whose squares add up to about one for each kind.
 STATISTICS_SCALE = 4.0
+#: Bytes of a text whose trigrams are hashed at once.
+_PIECE = 1 << 18
 _CLIP = 0.01
 
 
@@ -34,22 +36,30 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def text_slots(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each whole text its word slots, its trigram slots and its bounded statistics; a text without words has no slots and ``short`` 1."""
-    low = [lower(t) for t in texts]
-    h, at = words(low)
-    two = windows(h, 2)
+def trigram_slots(raw: bytes):
+    """Slots of the byte trigrams of a text, piece by piece, so that a very long text needs no more memory than a piece."""
+    for at in range(0, len(raw) - 2, _PIECE):
+        x = np.frombuffer(raw, np.uint8, min(_PIECE + 2, len(raw) - at), at).astype(np.uint32)
+        yield ((x[:-2] | x[1:-1] << np.uint32(8) | x[2:] << np.uint32(16)) * np.uint32(2654435761)) >> np.uint32(32 - CHARS.bit_length() + 1)
+
+
+def text_slots(texts: list[str | None]) -> list[tuple[np.ndarray, bytes, np.ndarray]]:
+    """For each whole text its word slots, its bytes for ``trigram_slots`` and its bounded statistics.
+
+    A text without words has no slots and ``short`` 1.
+    """
     stats = _measure(texts).astype(float)
     n, chars, symbols, lines, dup, repeat = stats.T
     n, lines = np.maximum(n, 1), np.maximum(lines, 1)
     dense = np.stack([np.minimum(symbols / n, 2), repeat / n, dup / lines, np.minimum(chars / n, 20) / 10, 1 / (1 + stats[:, 0] / 20), np.minimum(symbols / lines, 20) / 20], 1) * STATISTICS_SCALE
+    low = [lower(t) for t in texts]
+    h, at = words(low)
+    two = (windows(h, 2) % np.uint64(WORDS)).astype(np.int32)
+    one = (h % np.uint64(WORDS)).astype(np.int32)
     out = []
     for i, t in enumerate(low):
         a, b = at[i], at[i + 1]
-        word = np.concatenate([h[a:b], two[a : max(a, b - 1)]]) % np.uint64(WORDS)
-        raw = np.frombuffer(t or b"", np.uint8).astype(np.uint64)
-        three = mix(raw[:-2] | raw[1:-1] << np.uint64(8) | raw[2:] << np.uint64(16)) % np.uint64(CHARS) if b > a and len(raw) > 2 else np.empty(0, np.uint64)
-        out.append((word.astype(np.int64), three.astype(np.int64), dense[i]))
+        out.append((np.concatenate([one[a:b], two[a : max(a, b - 1)]]), t if b > a else b"", dense[i]))
     return out
 
 
@@ -62,15 +72,18 @@ def training_vectors(rows: DataFrame) -> DataFrame:
             texts, labels, k = batch.column(1).to_pylist(), batch.column(0), 0
             for part in blocks(texts):
                 at, values = [], []
-                for word, three, dense in text_slots(part):
-                    ends = [np.unique(x, return_counts=True) for x in (word, three)]
+                for word, raw, dense in text_slots(part):
+                    three = sum((np.bincount(x, minlength=CHARS) for x in trigram_slots(raw)), np.zeros(CHARS, np.int64))
+                    ends = [np.unique(word, return_counts=True), (np.flatnonzero(three), three[three > 0])]
                     at.append(np.concatenate([ends[0][0], ends[1][0] + WORDS, np.arange(len(dense)) + WORDS + CHARS]))
                     values.append(np.concatenate([*(c / np.sqrt(max(1, c.sum())) for _, c in ends), dense]))
                 yield pa.RecordBatch.from_arrays([labels.slice(k, len(part)), pa.array(at, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))], ["label", "at", "values"])
                 k += len(part)
 
     sparse = F.udf(lambda at, values: Vectors.sparse(WORDS + CHARS + len(STATISTICS), at, values), VectorUDT())
-    return rows.select("label", "text").mapInArrow(vectors, "label double, at array<long>, values array<double>").select("label", sparse("at", "values").alias("features"))
+    # Written in between, so that no task runs two Python workers at once.
+    slots = stage(rows.select("label", "text").mapInArrow(vectors, "label double, at array<long>, values array<double>"), "training-slots")
+    return slots.select("label", sparse("at", "values").alias("features"))
 
 
 def fit(docs: DataFrame, truth: DataFrame, *, max_rows: int = MAX_TRAINING_ROWS) -> tuple[float, np.ndarray]:
@@ -88,7 +101,7 @@ def fit(docs: DataFrame, truth: DataFrame, *, max_rows: int = MAX_TRAINING_ROWS)
     shares = dict(known.groupBy("label").count().collect())  # two rows
     if len(shares) < 2:
         return (0.0 if not shares else 3.0 if 1.0 in shares else -3.0), none
-    model = LogisticRegression(regParam=1e-3, maxIter=100, standardization=False).fit(stage(training_vectors(sample).coalesce(8), "training"))
+    model = LogisticRegression(regParam=1e-3, maxIter=100, standardization=False).fit(training_vectors(sample))
     return float(model.intercept), np.array(model.coefficients.toArray())
 
 
@@ -103,8 +116,9 @@ def evidence(rows: DataFrame, model: tuple[float, np.ndarray], *, keep: tuple[st
         for batch in batches:
             texts, out = batch.column(len(keep)).to_pylist(), []
             for part in blocks(texts):
-                for word, three, dense in text_slots(part):
-                    z = intercept + dense @ third + first[word].sum() / np.sqrt(max(1, len(word))) + second[three].sum() / np.sqrt(max(1, len(three)))
+                for word, raw, dense in text_slots(part):
+                    three = sum(float(second[x].sum()) for x in trigram_slots(raw))
+                    z = intercept + dense @ third + first[word].sum() / np.sqrt(max(1, len(word))) + three / np.sqrt(max(1, len(raw) - 2))
                     out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out, pa.float64())], [*keep, "evidence"])
 
@@ -164,7 +178,7 @@ def score(docs: DataFrame, labels: DataFrame, *, host_col: str = "source", path_
     the evidence is constant. A null host or path is a site of its own. Null and empty texts are
     scored on zeros. Repeated rows are scored alike and each counts for its site; a null
     doc_id is scored but has no label. Empty tables give no rows; extra columns do not matter.
-    A task holds one text and about 60 bytes for each of its bytes.
+    A task holds one text and about 45 bytes for each of its bytes.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("_host"), F.col(path_col).cast("string").alias("_path"), F.col("text").cast("string").alias("text"))
     said = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("_a"), F.max("quality").alias("_b"))
