@@ -20,7 +20,7 @@ from .hashing import blocks, lower, windows, words
 from .quality_rules import _measure
 
 #: Labelled rows on which the model is fitted at most; chosen by a hash of the id.
-MAX_TRAINING_ROWS = 8_000
+MAX_TRAINING_ROWS = 4_000
 #: Hash slots of words and word pairs, and of character trigrams; text statistics follow them.
 WORDS, CHARS = 1 << 13, 1 << 13
 STATISTICS = ("symbols", "repeats", "dup_lines", "word_length", "short", "symbols_per_line")
@@ -185,7 +185,8 @@ def score(docs: DataFrame, labels: DataFrame, *, host_col: str = "source", path_
     truth = stage(said.where("_a = _b and _a in (0, 1)").select("doc_id", F.col("_a").cast("double").alias("label")), "truth")
     model = fit(rows.select("doc_id", "text"), truth, max_rows=max_rows)
     scored = evidence(rows, model, keep=("doc_id", "_host", "_path"))
-    scored = stage(scored.join(small(truth.withColumnRenamed("label", "_known")), "doc_id", "left"), "evidence")
+    # Labels grow with the collection: they are merged, not broadcast.
+    scored = stage(scored.join(truth.withColumnRenamed("label", "_known").hint("merge"), "doc_id", "left"), "evidence")
     return with_sites(scored, threshold=threshold)
 
 
