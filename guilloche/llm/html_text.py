@@ -45,12 +45,12 @@ _TABLE = frozenset("caption table tbody td tfoot th thead tr".split())
 #: Parts of class and id names and what they weigh: notices, adverts, menus and the like; names that only hint at them.
 _STRONG, _WEAK = 6, 1
 _AGAINST = dict.fromkeys(
-    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs captcha comment comments consent cookie cookies disclaimer disqus footer gdpr login menu modal nav navbar navigation newsletter"
-    " notification overlay pager pagination paywall popup promo promotion recommended related sidebar sidenav signup sponsor sponsored subscribe subscription teaser teasers toolbar topbar".split(),
+    "ad ads adv advert adverts advertisement advertising alert alerts banner banners breadcrumb breadcrumbs captcha comment comments consent cookie cookies disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices"
+    " notification notifications overlay pager pagination paywall popup promo promotion recommended related sidebar sidenav signup sponsor sponsored subscribe subscription teaser teasers toolbar topbar".split(),
     _STRONG,
-) | dict.fromkeys("alert banner dialog masthead notice notices privacy replies reply respond search share sharing skip social tags widget widgets".split(), _WEAK)
+) | dict.fromkeys("dialog privacy replies reply respond search share sharing skip social tags widget widgets".split(), _WEAK)
 #: Weak names that are as clear as strong ones where the name says nothing else.
-_ALONE = frozenset("alert banner dialog masthead notice notices replies respond search share sharing skip social tags".split())
+_ALONE = frozenset("dialog replies respond search share sharing skip social tags".split())
 #: Parts that say where or what kind of box it is, and nothing of its content.
 _NEUTRAL = frozenset("area bar block body bottom box button buttons col column container content footer group header holder icon inner item items left link links list main outer page panel post primary right row section site slot space text title top unit wrap wrapper zone".split())
 #: Parts that turn a name into one that only mentions what follows.
@@ -78,13 +78,16 @@ TEXT, BOILERPLATE = 2, -1
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 
 
-def name_weight(name: str) -> int:
+def name_weight(name: str, in_article: bool = True) -> int:
     """What one class or id name says against its element: 0, ``_WEAK`` or ``_STRONG``.
 
     A name counts in full if its last part does, or all its parts but neutral ones; a part
-    elsewhere only hints. ``with-sidebar`` and the like merely mention something.
+    elsewhere only hints. ``with-sidebar`` and the like merely mention something. A header
+    outside the article counts if its name does not speak of the article.
     """
     parts = [p.lower() for p in _PART.findall(name)]
+    if not in_article and parts[-1:] == ["header"] and _FOR.isdisjoint(parts):
+        return _STRONG
     found = [_AGAINST[p] for p in parts if p in _AGAINST]
     if not found or not _MENTIONS.isdisjoint(parts):
         return 0
@@ -103,7 +106,7 @@ def evidence(tag: str, attrs: str, in_article: bool) -> tuple[int, int, bool]:
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
             if name in ("class", "id"):
                 for one in value.split():
-                    against = max(against, name_weight(one))
+                    against = max(against, name_weight(one, in_article))
                     names_for = max(names_for, int(not _FOR.isdisjoint(p.lower() for p in _PART.findall(one))))
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 against = _STRONG

@@ -255,6 +255,8 @@ PLUS = "And so the dog was in the house with the cat and that is the end of it."
         (f"<div class='share-of-market'><p>{LONG}</p></div><div class='share'><p>Tell friends</p></div>", LONG),
         (f"<div class='layout with-sidebar'><p>{LONG}</p></div><div class='left-sidebar'>{PLUS}</div><div id=post-comments>{PLUS}</div>", LONG),
         (f"<div role=navigation>{PLUS}</div><div style='display:none'>{PLUS}</div><p>{LONG}", LONG),
+        (f"<div class='site-header'><p>{PLUS}</p></div><div id=header>{PLUS}</div><div class=post><div class=post-header><h1>Head</h1></div><p>{LONG}</p></div>", f"Head {LONG}"),
+        (f"<div class='legal-notice'>{PLUS}</div><div class='top-banner'>{PLUS}</div><div id=alerts>{PLUS}</div><p>{LONG}</p><article><div class=header><p>{LONG}</p></div></article>", f"{LONG} {LONG}"),
         # Unclosed and misplaced tags.
         (f"<noscript>Turn it on<p>{LONG}</p>", f"Turn it on {LONG}"),
         (f"<title>T<p>{LONG}</p>", f"T {LONG}"),
