@@ -7,6 +7,7 @@ sum, so that no Python loop touches single words.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once; bounds a task's memory.
 BLOCK = 1 << 20
@@ -53,6 +54,17 @@ def blocks(texts: list, size: int = BLOCK):
         yield run
 
 
+def text_runs(batches, at: int, size: int = BLOCK):
+    """Cut Arrow batches into runs of rows of about ``size`` bytes of text in column ``at``; a longer text is a run of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts, and the index of each text's first word (one more at the end)."""
     buf = np.frombuffer(b"\n".join([t or b"" for t in texts]) + b"\n", np.uint8)
