@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, divergence, html_text, line_dedup, near_dup, packing, quality_model, quality_rules, token_files, url_filter, warc
+from . import decontaminate, divergence, html_text, line_dedup, near_dup, packing, quality_model, quality_rules, secrets, token_files, url_filter, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_minhash": near_dup.op10_minhash,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_secret_scan": secrets.op13_secret_scan,
 }
 
 ORACLE_SQL = {
