@@ -40,7 +40,7 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LETTERS).split()
 
 
-def partial_counts(docs: DataFrame, first: int = FIRST) -> DataFrame:
+def partial_counts(docs: DataFrame, first: int = FIRST, *, held_terms: int = HELD_TERMS, held_bytes: int = HELD_BYTES) -> DataFrame:
     """Counts of parts of the documents: level, lang, term, source, n, docs.
 
     A row with a source is a complete term of that level, ``n`` its occurrences; one without is
@@ -84,7 +84,7 @@ def partial_counts(docs: DataFrame, first: int = FIRST) -> DataFrame:
                     prefixes[lang].update({w[:k] for w in longer})
                     k *= 2
                     longer = [w for w in longer if len(w) > k]
-                if held > HELD_TERMS or size > HELD_BYTES:
+                if held > held_terms or size > held_bytes:
                     yield from rows(counts, holders, prefixes)
                     counts.clear(), holders.clear(), prefixes.clear()
                     size = held = 0

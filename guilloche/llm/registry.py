@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, divergence, html_text, line_dedup, near_dup, packing, quality_model, quality_rules, secrets, token_files, url_filter, warc
+from . import align, decontaminate, divergence, html_text, line_dedup, near_dup, packing, quality_model, quality_rules, secrets, token_files, url_filter, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_minhash": near_dup.op10_minhash,
+    "op11_token_alignment": align.op11_token_alignment,
     "op12_source_divergence": divergence.op12_source_divergence,
     "op13_secret_scan": secrets.op13_secret_scan,
 }
