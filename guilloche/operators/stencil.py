@@ -1,7 +1,8 @@
-"""Stencils and morphology as window frames, and components of masks.
+"""Stencils and morphology on tiles with a halo, and components of masks.
 
-A row or a column of an image is the window partition; only the labels of a mask's runs need the
-runs of one image in a task.
+What looks at neighbouring pixels gets whole tiles, dealt out in one exchange; masks leave them
+as runs down the columns, and only the labels of a mask's runs need the runs of one image in
+a task.
 """
 
 from __future__ import annotations
@@ -10,9 +11,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import pixels as P
+from . import tiles as T
+
 
 def along_row():
     return Window.partitionBy("note_id", "y").orderBy("x")
@@ -29,96 +34,127 @@ def gaussian_kernel(size: int) -> list[float]:
     return [x / sum(k) for x in k]
 
 
-def _weighted(kernel: list[float]):
-    """A function of array columns: each element's neighbours, mirrored at both ends, weighted by the kernel."""
-
-    @F.pandas_udf("array<double>")
-    def taps(lines: pd.Series) -> pd.Series:
-        places: dict[int, np.ndarray] = {}
-        out = []
-        for line in lines:
-            n = len(line)
-            if n not in places:
-                i = np.abs(np.arange(n)[:, None] + np.arange(len(kernel)) - len(kernel) // 2) % max(2 * (n - 1), 1)
-                places[n] = np.where(i < n, i, 2 * (n - 1) - i)
-            out.append(np.asarray(line, float)[places[n]] @ np.array(kernel))
-        return pd.Series(out)
-
-    return taps
-
-
-def _blur_lines(values: DataFrame, line: str, at: str, names: tuple[str, ...], kernel: list[float], keep: tuple[str, ...]) -> DataFrame:
-    taps = _weighted(kernel)
-    rows = values.groupBy("note_id", line, *keep).agg(F.array_sort(F.collect_list(F.struct(at, *names))).alias("p"))
-    blurred = rows.select("note_id", line, *keep, *[taps(F.col(f"p.{v}")).alias(v) for v in names])
-    return blurred.select("note_id", line, *keep, F.posexplode(F.arrays_zip(*names)).alias(at, "q")).select("note_id", line, *keep, at, *[F.col(f"q.{v}").alias(v) for v in names])
+def _blurred(pixels: DataFrame, names: tuple[str, ...], size: int) -> DataFrame:
+    kernel, half = np.array(gaussian_kernel(size)), size // 2
 
+    def taps(t: T.Tile) -> dict[str, np.ndarray]:
+        out = {}
+        for n in names:
+            along = sum(k * t.values[n][:, i : i + t.cols] for i, k in enumerate(kernel))
+            down = sum(k * along[i : i + t.rows] for i, k in enumerate(kernel))
+            out[n] = np.floor(np.round(down, 6) + 0.5)
+        return out
 
-def _blurred(values: DataFrame, names: tuple[str, ...], size: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    kernel = gaussian_kernel(size)
-    along = _blur_lines(values, "y", "x", names, kernel, keep)
-    down = _blur_lines(along, "x", "y", names, kernel, keep)
-    return down.select("note_id", "y", "x", *keep, *[F.floor(F.round(v, 6) + 0.5).cast("int").alias(v) for v in names])
+    return T.per_pixel(pixels, names, (half, half), taps, names)
 
 
 def blur(values: DataFrame, value: str, *, size: int = 21) -> DataFrame:
     """Gaussian blur (note_id, y, x, value), mirrored at the borders without repeating them; whole numbers.
 
-    Two separable passes over arrays of one row and one column of the image.
+    Two separable passes over each tile. ``values`` have the image size h and w.
     """
-    return _blurred(values.select("note_id", "y", "x", value), (value,), size)
+    return _blurred(values, (value,), size).select("note_id", "y", "x", value)
 
 
 def blur_channels(pixels: DataFrame, *, size: int = 21) -> DataFrame:
     """The same blur of all channels of a pixel table at once."""
-    return _blurred(pixels, ("b", "g", "r"), size, ("w", "h"))
+    return _blurred(pixels, ("b", "g", "r"), size)
 
 
-def _around(c: str, w) -> tuple[Column, Column]:
-    """The values before and after, mirrored at the border."""
-    before, after = F.lag(c).over(w), F.lead(c).over(w)
-    return F.coalesce(before, after, F.lit(0)), F.coalesce(after, before, F.lit(0))
+def _gradient(v: np.ndarray, axis: int) -> np.ndarray:
+    """Difference along an axis, smoothed 1-2-1 across it; one row and column less on each side."""
+    v = v if axis else v.T
+    d = v[:, 2:] - v[:, :-2]
+    g = d[:-2] + 2 * d[1:-1] + d[2:]
+    return g if axis else g.T
 
 
 def sobel_x(values: DataFrame, value: str) -> DataFrame:
-    """Horizontal gradient: difference along the row, smoothed 1-2-1 down the column."""
-    a, b = _around(value, along_row())
-    d = values.withColumn("_d", b - a)
-    p, q = _around("_d", down_column())
-    return d.withColumn("gx", p + 2 * F.col("_d") + q).drop("_d")
+    """Horizontal gradient ``gx``: difference along the row, smoothed 1-2-1 down the column."""
+    return T.per_pixel(values, (value,), (1, 1), lambda t: {"gx": _gradient(t.values[value], 1)}, ("gx",))
 
 
 def sobel_y(values: DataFrame, value: str) -> DataFrame:
-    a, b = _around(value, down_column())
-    d = values.withColumn("_d", b - a)
-    p, q = _around("_d", along_row())
-    return d.withColumn("gy", p + 2 * F.col("_d") + q).drop("_d")
+    return T.per_pixel(values, (value,), (1, 1), lambda t: {"gy": _gradient(t.values[value], 0)}, ("gy",))
+
+
+def _strength(v: np.ndarray) -> np.ndarray:
+    return np.minimum(np.abs(_gradient(v, 1)), 255)
 
 
 def edge_strength(values: DataFrame, value: str) -> DataFrame:
     """``sobel``: the absolute horizontal gradient up to 255."""
-    return sobel_x(values, value).withColumn("sobel", F.least(F.abs("gx"), F.lit(255))).drop("gx")
+    return T.per_pixel(values, (value,), (1, 1), lambda t: {"sobel": _strength(t.values[value])}, ("sobel",))
+
+
+def strength_runs(values: DataFrame, value: str) -> DataFrame:
+    """Runs down the columns where the gradient exceeds the image's own Otsu threshold: note_id, x, y0, y1, h.
+
+    Pixels are dealt to tiles once, and the tiles' gradients once to the thresholds.
+    """
+    tiles = T.cut(values, (value,), (1, 1))
+
+    def strong(t: T.Tile) -> dict:
+        flat = _strength(t.values[value]).astype(np.int32).ravel()
+        one = {"y0": [t.y0], "x0": [t.x0], "rows": [t.rows], "h": [t.h]}
+        return one | {"sobel": pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))}
+
+    grads = T.on_tiles(tiles, strong, "y0 int, x0 int, rows int, h int, sobel array<int>", (1, 1))
+    cut = P.otsu(grads.select("note_id", F.explode("sobel").alias("sobel")), "sobel")
+    kind = dict(values.dtypes)["note_id"]
+
+    def runs(batches):
+        for b in batches:
+            y0, x0, rows, h, cut = (b.column(k).to_numpy() for k in range(1, 6))
+            for i in range(b.num_rows):
+                mask = (b.column(6)[i].values.to_numpy() > cut[i]).reshape(rows[i], -1)
+                x, a, z = T.column_runs(mask, T.Tile(int(y0[i]), int(x0[i]), *mask.shape, int(h[i]), 0, 0, 0, {}))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(x), i))), *[pa.array(np.asarray(v, np.int32)) for v in (x, a, z, np.full(len(x), h[i]))]], ["note_id", "x", "y0", "y1", "h"])
+
+    whole = grads.join(cut, "note_id").select("note_id", "y0", "x0", "rows", "h", "threshold", "sobel")
+    return whole.mapInArrow(runs, f"note_id {kind}, x int, y0 int, y1 int, h int")
+
+
+def _sized(mask: DataFrame) -> DataFrame:
+    """A mask whose width does not matter need not have it: tiles then are as wide as any."""
+    return mask if "w" in mask.columns else mask.withColumn("w", ((F.floor(F.col("x") / T.SIDE) + 1) * T.SIDE).cast("int"))
 
 
-def _frame(k: int):
-    return down_column().rowsBetween(-(k // 2), k - 1 - k // 2)
+def filter_down(mask: DataFrame, c: str, *steps: tuple[str, int]) -> DataFrame:
+    """Greatest and least of vertical frames, one step (``max`` or ``min``, rows) after the other, over tiles that reach as far as all of them.
+
+    Pixels that a mask does not have are not set.
+    """
+    reach = (sum(k for _, k in steps), 0)
+    return T.per_pixel(_sized(mask), (c,), reach, lambda t: {c: T.filtered_down(t.values[c], t.inside, steps)[reach[0] : reach[0] + t.rows]}, (c,))
+
+
+def closing(k: int) -> tuple[tuple[str, int], ...]:
+    """Steps of a closing over k rows: gaps in a column are bridged."""
+    return ("max", k), ("min", k)
+
+
+def opening(k: int) -> tuple[tuple[str, int], ...]:
+    """Steps of an opening over k rows: only long runs stay."""
+    return ("min", k), ("max", k)
 
 
 def close_down(mask: DataFrame, c: str, k: int) -> DataFrame:
-    """Vertical closing over k rows: gaps in a column are bridged."""
-    return mask.withColumn(c, F.max(c).over(_frame(k))).withColumn(c, F.min(c).over(_frame(k)))
+    return filter_down(mask, c, *closing(k))
 
 
 def open_down(mask: DataFrame, c: str, k: int) -> DataFrame:
-    """Vertical opening over k rows: only long runs stay."""
-    return mask.withColumn(c, F.min(c).over(_frame(k))).withColumn(c, F.max(c).over(_frame(k)))
+    return filter_down(mask, c, *opening(k))
 
 
-def column_runs(mask: DataFrame, c: str, height: str = "h") -> DataFrame:
+def column_runs(mask: DataFrame, c: str) -> DataFrame:
     """Runs of set pixels down each column: note_id, x, y0, y1 and the image height h."""
-    island = F.col("y") - F.row_number().over(down_column())
-    runs = mask.where(F.col(c) > 0).withColumn("_i", island).groupBy("note_id", "x", "_i")
-    return runs.agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.first(height).alias("h")).drop("_i")
+
+    def runs(t: T.Tile) -> dict[str, np.ndarray]:
+        x, y0, y1 = T.column_runs(t.values[c] > 0, t)
+        return {"x": x, "y0": y0, "y1": y1, "h": np.full(len(x), t.h)}
+
+    return _dilated(T.on_tiles(T.cut(_sized(mask), (c,), (0, 0)), runs, "x int, y0 int, y1 int, h int", (0, 0)), F.lit(1))
 
 
 def _dilated(runs: DataFrame, k: Column) -> DataFrame:
@@ -172,14 +208,18 @@ def run_labels(x: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> np.ndarray:
 
 
 def label_runs(runs: DataFrame, strong: str | None = None) -> DataFrame:
-    """Runs with label_x and label_y, the first run of their component; with ``strong`` only components in which that column is set somewhere.
+    """Runs with label_x and label_y, the first run of their component, and the image size h and w; with ``strong`` only components in which that column is set somewhere.
 
-    A task holds the runs of an image, which are fewer than its pixels.
+    Runs of a column that meet are one. A task holds the runs of an image, which are fewer than
+    its pixels.
     """
-    columns = ["note_id", "x", "y0", "y1"]
+    columns = ["note_id", "x", "y0", "y1", *[c for c in ("h", "w") if c in runs.columns]]
 
     def label(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["x", "y0"], ignore_index=True)
+        new = (rows["x"] != rows["x"].shift()) | (rows["y0"] != rows["y1"].shift() + 1)
+        most = {c: ("max" if c in ("y1", strong) else "first") for c in rows.columns}
+        rows = rows.groupby(new.cumsum(), sort=False).agg(most).reset_index(drop=True)
         of = run_labels(*(rows[c].to_numpy(np.int64) for c in ("x", "y0", "y1")))
         out = rows[columns].assign(label_x=rows["x"].to_numpy()[of], label_y=rows["y0"].to_numpy()[of])
         if strong:
@@ -188,12 +228,13 @@ def label_runs(runs: DataFrame, strong: str | None = None) -> DataFrame:
 
     kind = dict(runs.dtypes)["note_id"]
     some = runs.select(*columns, *([strong] if strong else []))
-    return some.groupBy("note_id").applyInPandas(label, f"note_id {kind}, x int, y0 int, y1 int, label_x int, label_y int")
+    sizes = "".join(f", {c} int" for c in columns[4:])
+    return some.groupBy("note_id").applyInPandas(label, f"note_id {kind}, x int, y0 int, y1 int{sizes}, label_x int, label_y int")
 
 
 def run_components(runs: DataFrame) -> DataFrame:
     """Eight-connected components of runs: note_id, label_x, label_y, x0, y0, w, h, area."""
-    g = label_runs(runs).groupBy("note_id", "label_x", "label_y")
+    g = label_runs(runs.drop("h", "w")).groupBy("note_id", "label_x", "label_y")
     length = F.col("y1") - F.col("y0") + 1
     sizes = {"x0": F.min("x"), "top": F.min("y0"), "w": F.max("x") - F.min("x") + 1, "h": F.max("y1") - F.min("y0") + 1, "area": F.sum(length)}
     return g.agg(*[v.alias(k) for k, v in sizes.items()]).withColumnRenamed("top", "y0")
@@ -204,34 +245,45 @@ def components(mask: DataFrame, c: str) -> DataFrame:
     return run_components(column_runs(mask, c))
 
 
-def edges(gray: DataFrame, *, low: int = 80, high: int = 200) -> DataFrame:
-    """The edge pixels (note_id, y, x, w, h, edge = 1): thin edges of strong gradient, and weak ones connected to them.
+def _thin(t: T.Tile, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weak and strong edges of a tile: the gradient by absolute sum, where it is the largest across one of four directions."""
+    v = t.values["gray"]
+    gx, gy = _gradient(v, 1), _gradient(v, 0)
+    m = np.where(t.inside[1:-1, 1:-1], np.abs(gx) + np.abs(gy), 0)
+    near = lambda dy, dx: m[1 + dy : 1 + dy + t.rows, 1 + dx : 1 + dx + t.cols]
+    here, gx, gy = near(0, 0), gx[1:-1, 1:-1], gy[1:-1, 1:-1]
+    ax, ay = np.abs(gx), np.abs(gy)
+    flat = (here > near(0, -1)) & (here >= near(0, 1))
+    steep = (here > near(-1, 0)) & (here >= near(1, 0))
+    slant = np.where(gx * gy >= 0, (here > near(-1, -1)) & (here > near(1, 1)), (here > near(-1, 1)) & (here > near(1, -1)))
+    peak = np.where(ay < 0.4142 * ax, flat, np.where(ay > 2.4142 * ax, steep, slant))
+    return peak & (here > low), here > high
 
-    Gradient by absolute sum, kept where it is the largest across one of four directions. A
-    weak edge stays if its component, of any length, has a strong pixel.
+
+def edge_runs(gray: DataFrame, *, low: int = 80, high: int = 200) -> DataFrame:
+    """Runs of edge pixels down the columns (note_id, x, y0, y1, h, w and labels): thin edges of strong gradient, and weak ones connected to them.
+
+    A weak edge stays if its component, of any length, has a strong pixel. Pixels are dealt to
+    tiles once and runs to images once.
     """
-    g = sobel_y(sobel_x(gray, "gray"), "gray").withColumn("m", F.abs("gx") + F.abs("gy"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    g = g.withColumns({"_l": zero(F.lag("m").over(along_row())), "_r": zero(F.lead("m").over(along_row()))})
-    near = {"_u": F.lag("m"), "_d": F.lead("m"), "_ul": F.lag("_l"), "_ur": F.lag("_r"), "_dl": F.lead("_l"), "_dr": F.lead("_r")}
-    g = g.withColumns({k: zero(v.over(down_column())) for k, v in near.items()})
-    ax, ay, m = F.abs("gx"), F.abs("gy"), F.col("m")
-    flat = (m > F.col("_l")) & (m >= F.col("_r"))
-    steep = (m > F.col("_u")) & (m >= F.col("_d"))
-    same = F.col("gx") * F.col("gy") >= 0
-    slant = F.when(same, (m > F.col("_ul")) & (m > F.col("_dr"))).otherwise((m > F.col("_ur")) & (m > F.col("_dl")))
-    peak = F.when(ay < 0.4142 * ax, flat).when(ay > 2.4142 * ax, steep).otherwise(slant)
-    weak = g.where(peak & (m > low)).select("note_id", "x", "y", "w", "h", (m > high).cast("int").alias("_strong"))
-    island = F.col("y") - F.row_number().over(down_column())
-    runs = weak.withColumn("_i", island).groupBy("note_id", "x", "_i").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.max("_strong").alias("strong"))
-    kept = label_runs(runs, "strong").select("note_id", F.explode(F.sequence("y0", "y1")).alias("y"), "x")
-    sizes = gray.groupBy("note_id").agg(F.first("w").alias("w"), F.first("h").alias("h"))
-    return kept.join(sizes, "note_id").withColumn("edge", F.lit(1))
-
-
-def edge_ratio(edge_pixels: DataFrame, notes: DataFrame) -> DataFrame:
-    """Share of edge pixels of each note (note_id, w, h); 0 without any."""
-    n = edge_pixels.groupBy("note_id").agg(F.count("*").alias("_n"))
+
+    def runs(t: T.Tile) -> dict[str, np.ndarray]:
+        weak, strong = _thin(t, low, high)
+        x, y0, y1, s = T.column_runs(weak, t, strong.astype(int))
+        return {"x": x, "y0": y0, "y1": y1, "h": np.full(len(x), t.h), "w": np.full(len(x), t.w), "strong": s}
+
+    found = T.on_tiles(T.cut(gray, ("gray",), (2, 2)), runs, "x int, y0 int, y1 int, h int, w int, strong int", (2, 2))
+    return label_runs(found, "strong")
+
+
+def edges(gray: DataFrame, *, low: int = 80, high: int = 200) -> DataFrame:
+    """The pixels of ``edge_runs``: note_id, y, x, w, h, edge = 1."""
+    return edge_runs(gray, low=low, high=high).select("note_id", F.explode(F.sequence("y0", "y1")).alias("y"), "x", "w", "h", F.lit(1).alias("edge"))
+
+
+def edge_ratio(runs: DataFrame, notes: DataFrame) -> DataFrame:
+    """Share of the pixels of edge runs in each note (note_id, w, h); 0 without any."""
+    n = runs.groupBy("note_id").agg(F.sum(F.col("y1") - F.col("y0") + 1).alias("_n"))
     return notes.join(n, "note_id", "left").select("note_id", (F.coalesce("_n", F.lit(0)) / (F.col("w") * F.col("h"))).alias("edge_ratio"))
 
 

@@ -45,7 +45,7 @@ def _sobel(spark, d):
 
 def _mask(spark, d):
     s = _sobel(spark, d)
-    return s.join(P.otsu(s, "sobel"), "note_id").withColumn("m", (F.col("sobel") > F.col("threshold")).cast("int")).select("note_id", "y", "x", "h", "m")
+    return s.join(P.otsu(s, "sobel"), "note_id").withColumn("m", (F.col("sobel") > F.col("threshold")).cast("int")).select("note_id", "y", "x", "h", "w", "m")
 
 
 def _edges(spark, d):
@@ -130,7 +130,7 @@ def a9(s, d):
 
 
 def a10(s, d):
-    return _rounded(S.edge_ratio(_edges(s, d), _px(s, d).select("note_id", "w", "h").distinct()), "edge_ratio")
+    return _rounded(S.edge_ratio(S.edge_runs(P.to_gray(_px(s, d))), _px(s, d).select("note_id", "w", "h").distinct()), "edge_ratio")
 
 
 def a11(s, d):
@@ -158,7 +158,7 @@ def w3(s, d):
 
 
 def w4(s, d):
-    return S.open_down(S.close_down(_mask(s, d), "m", 15), "m", 20).select("note_id", "y", "x", "m")
+    return S.filter_down(_mask(s, d), "m", *S.closing(15), *S.opening(20)).select("note_id", "y", "x", "m")
 
 
 def w5(s, d):
