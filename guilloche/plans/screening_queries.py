@@ -14,14 +14,15 @@ from guilloche.operators import pixels as P
 from guilloche.operators import verdict as V
 from guilloche.schemas import CHECKS, DIMENSIONS_MM, LEADING_FIX, PALETTE, dimensions, leading_fix, palette, values_sql
 from guilloche.sources import images as I
-from guilloche.staging import new_path
+from guilloche.staging import new_path, stage
+from guilloche.streaming.parts import LISTS, PART, rocksdb_state, screen_parts
 from guilloche.streaming.screen import arriving, screen_stream
 
 from . import pixel_queries as X
 from . import shape_queries as Y
 from . import token_queries as T
 from .fixtures import load, oracle
-from .screening import Inputs, all_checks, report, screen
+from .screening import Inputs, all_checks, report, screen, screen_gathered
 
 
 def _inputs(spark, d) -> Inputs:
@@ -165,9 +166,48 @@ def s8_images(spark, d):
     return spark.read.parquet(out).select("note_id", "check_name", "status")
 
 
+def note_parts(given: Inputs, scores: DataFrame) -> DataFrame:
+    """Every part of every note that has an image, as ``streaming.parts`` takes them; ``made`` and ``due`` deal them out."""
+    notes = given.pixels.select("note_id").distinct()
+    byte = lambda c: F.lpad(F.hex(c), 2, "0")
+    px = given.pixels.groupBy("note_id", "w", "h").agg(F.array_sort(F.collect_list(F.struct("y", "x", "b", "g", "r"))).alias("p"))
+    data = F.unhex(F.array_join(F.transform("p", lambda q: F.concat(byte(q["b"]), byte(q["g"]), byte(q["r"]))), ""))
+    none = lambda kind: F.lit(None).cast(kind)
+    out = px.select("note_id", F.lit("image").alias("kind"), "w", "h", data.alias("data"), none("string").alias("body"))
+    bodies = {k: F.to_json(F.collect_list(F.struct(*[c for c in table.columns if c != "note_id"]))) for k, table in zip(LISTS, (given.tokens, given.blobs, given.contours, given.faces))}
+    tables = dict(zip(LISTS, (given.tokens, given.blobs, given.contours, given.faces)))
+    lists = [notes.join(tables[k].groupBy("note_id").agg(b.alias("body")), "note_id", "left").select("note_id", F.lit(k).alias("kind"), F.coalesce("body", F.lit("[]")).alias("body")) for k, b in bodies.items()]
+    for part in [*lists, notes.join(scores, "note_id").select("note_id", F.lit("score").alias("kind"), F.col("raw").cast("string").alias("body"))]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.withColumn("due", F.pmod(F.xxhash64("note_id", "kind"), F.lit(3)).cast("int"))
+
+
+def write_parts(parts: DataFrame, path: str) -> None:
+    """A folder of arrivals for each value of ``due``, oldest first, made ``due`` minutes after the first."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("due"))
+    rows = parts.select("note_id", "kind", at.alias("at"), "w", "h", "data", "body", "due")
+    for due in range(3):  # one after the other: the source takes files by their age
+        rows.where(F.col("due") == due).drop("due").coalesce(1).write.parquet(f"{path}/due={due}")
+
+
+def s8_parts(spark, d):
+    """Parts of notes that arrive in three batches in shuffled order, some of them twice: each note gets its record once, when its last part is there."""
+    path, out, state = new_path(spark, "parts"), new_path(spark, "stream"), new_path(spark, "stream-state")
+    parts = note_parts(_unlocated(spark, d), load(spark, d, "fx_scores"))
+    again = parts.where("note_id % 3 = 0").withColumn("due", F.lit(2))
+    write_parts(stage(parts.unionByName(again), "note-parts"), path)
+    source = spark.readStream.schema(PART).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+    with rocksdb_state(spark):
+        query = screen_parts(source, screen_gathered, out, state)
+        query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    return spark.read.parquet(out).drop("batch")
+
+
 QUERIES = {
     "c6_serial_row": T.t13, "c7_denomination_row": T.d6, "c8_typography_row": Y.y9, "c11_assembled_checks": c11, "v7_screened_notes": v7,
-    "s1_scan_images": s1, "s2_uploads": s2, "s3_manifest": s3, "s4_channels": s4, "s5_pixel_rows": s5, "s6_report_sink": s6, "s7_report_scan": s7, "s8_stream_images": s8_images, "s10_dimensions": s10,
+    "s1_scan_images": s1, "s2_uploads": s2, "s3_manifest": s3, "s4_channels": s4, "s5_pixel_rows": s5, "s6_report_sink": s6, "s7_report_scan": s7, "s8_stream_images": s8_images, "s8_stream_parts": s8_parts, "s10_dimensions": s10,
 }
 
 _DENOM = "CASE note_id % 7 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(DIMENSIONS_MM)) + " END"
@@ -217,6 +257,7 @@ ORACLE_SQL = {
         "fx_notes",
     ),
 }
+ORACLE_SQL["s8_stream_parts"] = ORACLE_SQL["v7_screened_notes"]
 _JUDGED = """
 f AS (SELECT note_id, count(*) FILTER (check_name <> 'modular_ai_pipeline' AND status = 'PASS') AS p, count(*) FILTER (check_name <> 'modular_ai_pipeline' AND status IN ('PASS', 'FAIL')) AS t, count(*) AS n_checks,
   bool_or(check_name = 'structural_sanity' AND status = 'FAIL') AS sf, bool_or(check_name = 'hologram_detection' AND status = 'FAIL') AS pf, bool_or(check_name = 'proportion_analysis' AND status = 'FAIL') AS rf,
