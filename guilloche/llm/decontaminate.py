@@ -52,13 +52,16 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, text_c
     word within any occurrence of a window is hit. Null and empty texts have no words and no
     hits, items without words no windows; items with equal windows are all counted; a null
     item id has windows that hit but is not among the items. Rows that repeat a doc_id are one
-    document each. No items: nothing is hit. Extra columns do not matter.
+    document each. No items: nothing is hit. Extra columns do not matter. A text of any length
+    is read as a whole; what is shuffled of it are positions and hashes and, if a window may
+    occur in it, its words once.
     """
     # Windows are numbered: what is broadcast holds words and numbers, not the items, which may be all of them.
     wins = stage(benchmark_windows(items, window).withColumns({"_len": F.size("_win"), "_wid": F.monotonically_increasing_id()}), "windows")
     sizes = [r[0] for r in wins.select(F.least(F.col("_len"), F.lit(SHINGLE)).alias("n")).distinct().orderBy("n").collect()]  # at most SHINGLE rows
     # Rows of equal id and text share a key, and what is found in either of them.
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(text_col).cast("string")).alias("_row"), words_of(F.col(text_col)).alias("_w"))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(text_col).cast("string")).alias("_row"), F.col(text_col).alias("text"))
+    texts = keyed.select("doc_id", "_row", words_of(F.col("text")).alias("_w"))
     totals = texts.select("doc_id", "_row", F.size("_w").cast("long").alias("n_words"))
     none = {"n_hit": F.lit(0).cast("long"), "_found": F.array().cast("array<string>")}
     if not sizes:
@@ -71,10 +74,14 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, text_c
     rank = Window.partitionBy("_wid").orderBy(F.col("_n"), F.col("_off"))
     # A window with a shingle that never occurs cannot occur.
     ranked = grams.join(small(rarity), "_s", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).withColumn("_k", F.row_number().over(rank))
-    prefix = stage(ranked.where("_k = 1 and _n > 0").select("_s", "_off", "_len", "_win", "_wid"), "prefixes")
-    found = _occurrences(texts, sizes).join(small(prefix), "_s").withColumn("_at", F.col("_at") - F.col("_off"))
-    found = found.where((F.col("_at") >= 0) & (F.col("_at") + F.col("_len") <= F.size("_w")))
-    found = found.where(F.slice(F.col("_w"), F.col("_at") + 1, F.col("_len")) == F.col("_win")).select("_row", "_at", (F.col("_at") + F.col("_len")).alias("_end"), "_wid")
+    prefix = stage(ranked.where("_k = 1 and _n > 0").select("_s", "_off", "_len", "_wid"), "prefixes")
+    # Positions and hashes alone meet the prefixes; the words of the places that are left come from their documents, once each.
+    places = _occurrences(texts, sizes).select("_row", "_at", "_s", F.size("_w").alias("_nw")).join(small(prefix), "_s").withColumn("_at", F.col("_at") - F.col("_off"))
+    places = stage(places.where((F.col("_at") >= 0) & (F.col("_at") + F.col("_len") <= F.col("_nw"))).select("_row", "_at", "_len", "_wid"), "places")
+    of_row = places.groupBy("_row").agg(F.collect_list(F.struct("_at", "_len", "_wid")).alias("_p"))
+    holders = keyed.join(small(of_row), "_row").select("_row", words_of(F.col("text")).alias("_w"), "_p").select("_row", "_w", F.explode("_p").alias("_p"))
+    read = holders.select("_row", F.col("_p._at").alias("_at"), (F.col("_p._at") + F.col("_p._len")).alias("_end"), "_p._wid", F.slice(F.col("_w"), F.col("_p._at") + 1, F.col("_p._len")).alias("_got"))
+    found = read.join(small(wins.select("_wid", "_win")), "_wid").where(F.col("_got") == F.col("_win")).select("_row", "_at", "_end", "_wid")
     found = stage(found, "occurrences")
     reach = Window.partitionBy("_row").orderBy("_at", "_end").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("_end") - F.greatest(F.col("_at"), F.coalesce(F.max("_end").over(reach), F.lit(0))))

@@ -6,11 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from guilloche.llm import decontaminate, line_dedup, near_dup, quality_model
+from guilloche.llm import common, decontaminate, line_dedup, near_dup, quality_model
 from guilloche.llm.graph import connected_components
 from guilloche.llm.tokenize import encoder, vocabulary
 from test_text_operators import plain_judge
@@ -101,14 +102,31 @@ def test_connected_components(spark):
     assert got == {i: find(i) for i in root}
 
 
-def test_contamination_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast_rows", [common.BROADCAST_ROWS, 0])
+def test_contamination_equals_brute_force(spark, monkeypatch, broadcast_rows):
     r = random.Random(2)
     v = [f"t{k}" for k in range(30)]
     items = [(k, " ".join(r.choices(v, k=n))) for k, n in enumerate([25, 14, 10, 9, 3, 2, 1, 0])] + [(8, None), (9, "t1 t2, t3")]
     texts = [" ".join(r.choices(v, k=60)) for _ in range(20)]
+    texts += [" ".join(r.choices(v, k=9_000))]  # very long
     texts += [f"{' '.join(r.choices(v, k=5))} {items[k][1].upper().replace(' ', '; ')} tail" for k in range(7)] + [None, "", "...", texts[0]]
     rows = list(enumerate(texts)) + [(3, texts[3]), (None, items[0][1])]
+    monkeypatch.setattr(decontaminate, "small", lambda df: common.small(df, broadcast_rows))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before if broadcast_rows else -1)
+    plans = {}
+
+    def stage(df, label):
+        plans[label] = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        return common.stage(df, label)
+
+    monkeypatch.setattr(decontaminate, "stage", stage)
     got = decontaminate.contamination(make(spark, rows), spark.createDataFrame([(*x, "c") for x in items], "item_id long, text string, doc_id string")).collect()
+    # Broadcast or not, no row for a position carries the words of its document through an exchange.
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", plans["rarity"] + plans["places"])
+    assert moved and not any(re.search(r"\b_w#|\btext#|\b_win#", m) for m in moved)
+    assert broadcast_rows or any("_at#" in m and "_s#" in m for m in moved)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     words = lambda t: [x.lower() for x in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
     windows = {(k, tuple(w[i : i + 10])) for k, t in items for w in [words(t)] if w for i in range(max(1, len(w) - 9))}
     want = []

@@ -276,6 +276,47 @@ def test_page_shapes(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("name", "teaser banner subscribe-content alert promotion social".split())
+def test_prose_stays_whatever_its_paragraph_is_named(name):
+    assert html_text.main_text(f"<article><p>{LONG}</p><p class={name}>{PLUS}</p><p>{LONG}</p></article>") == f"{LONG} {PLUS} {LONG}"
+
+
+def test_sources_of_an_article_stay():
+    assert html_text.main_text(f"<article><p>{LONG}</p><ul><li><a href=/1>First source of the study</a></li><li><a href=/2>Second one</a></li></ul></article>") == f"{LONG} First source of the study Second one"
+
+
+@pytest.mark.parametrize("name", "commentlist comment-thread disqus_thread discussion reactions user-reviews reader-opinions commentcontent x1".split())
+@pytest.mark.parametrize("item", ["<li class=x><b>Ann Smith</b> <span>3 May 2024</span><p>{}</p><a href=#r>Reply</a></li>", "<div class='x y'><p>Ann, <time>today</time></p><p>{}</p><button>Answer</button></div>"])
+def test_comments_are_known_by_their_structure(name, item):
+    thread = "".join(item.format(t) for t in (PLUS, "Nice one.", PLUS))
+    assert html_text.main_text(f"<article><p>{LONG}</p><p>{LONG}</p><div class={name}><div>{thread}</div></div></article>") == f"{LONG} {LONG}"
+
+
+@pytest.mark.parametrize("name", "notice--warning cookieconsent cookie-law-info-bar adsbygoogle sponsoredcontent related-posts newsletter-form login-form legal copyright most-read x1".split())
+def test_named_boxes_beside_the_article_go(name):
+    for main in ("<article>{}</article>", "<div class=post>{}</div>"):
+        text = main.format(f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>")
+        assert html_text.main_text(f"<div id=root><div class={name}><p>{PLUS}</p></div>{text}<div class={name}>{PLUS}</div></div>") == f"Head {LONG} {LONG}"
+
+
+def test_one_box_with_all_of_the_prose_outvotes_its_name():
+    assert html_text.main_text(f"<div class=modal><p>{LONG}</p><p>{PLUS}</p><p>{LONG}</p></div>") == f"{LONG} {PLUS} {LONG}"
+    assert html_text.main_text(f"<div class=ad>{LONG}</div>" * 4) == ""
+
+
+def test_densities_decide_most_blocks(spark, data):
+    """On the given pages: without densities a third of the labels would be others, and short blocks inherit theirs."""
+    total = changed = open_ = 0
+    for r in spark.read.parquet(f"{data}/pages.parquet").collect():
+        found, comments, around = html_text.blocks_of(r.html or "")
+        dense = [html_text.density(b, True) for b in found]
+        labels = html_text.labels_of(found, comments, around, dense)
+        total += len(found)
+        changed += sum(x != y for x, y in zip(labels, html_text.labels_of(found, comments, around, [None] * len(found))))
+        open_ += labels.count(None)
+    assert changed > 0.25 * total and open_ > 0.1 * total
+
+
 def test_random_pages_equal_their_plan():
     """Well-formed pages from a plan of blocks: the text is what the plan puts into main blocks, whatever surrounds it."""
     r = random.Random(12)
