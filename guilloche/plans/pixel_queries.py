@@ -290,11 +290,13 @@ def _reflect(i: str, n: int) -> str:
 
 
 _GRAY = "CAST(floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5) AS INT)"
+_HUE_OF = "CAST(floor(CASE WHEN hue < 0 THEN hue + 180 ELSE hue END + 0.5) AS INT) % 180"
+_SAT_OF = "CAST(CASE WHEN v = 0 THEN 0 ELSE floor(255::DOUBLE * d / v + 0.5) END AS INT)"
 _PX = f"""
 gr AS (SELECT *, {_GRAY} AS gray FROM fx_pixels),
-hd AS (SELECT note_id, y, x, b, g, r, greatest(b, g, r) AS v, greatest(b, g, r) - least(b, g, r) AS d FROM fx_pixels),
+hd AS (SELECT note_id, y, x, w, h AS ih, b, g, r, greatest(b, g, r) AS v, greatest(b, g, r) - least(b, g, r) AS d FROM fx_pixels),
 hh AS (SELECT *, CASE WHEN d = 0 THEN 0::DOUBLE WHEN v = r THEN 30::DOUBLE * (g - b) / d WHEN v = g THEN 60::DOUBLE + 30::DOUBLE * (b - r) / d ELSE 120::DOUBLE + 30::DOUBLE * (r - g) / d END AS hue FROM hd),
-hsv AS (SELECT note_id, y, x, CAST(floor(CASE WHEN hue < 0 THEN hue + 180 ELSE hue END + 0.5) AS INT) % 180 AS h, CAST(CASE WHEN v = 0 THEN 0 ELSE floor(255::DOUBLE * d / v + 0.5) END AS INT) AS s, v FROM hh),
+hsv AS (SELECT note_id, y, x, {_HUE_OF} AS h, {_SAT_OF} AS s, v FROM hh),
 hist AS (SELECT note_id, h, s, v, count(*) AS n FROM hsv GROUP BY ALL),
 a1 AS (SELECT note_id, count(*) FILTER (s >= 120 AND v >= 120) / count(*) AS uv_ratio FROM hsv GROUP BY note_id),
 a3 AS (SELECT note_id, h, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY note_id) AS p FROM hsv WHERE s > 60 GROUP BY note_id, h),
@@ -373,7 +375,7 @@ def _map(b: str, g: str, r: str) -> str:
 _MB = ", ".join(f"CAST(floor(avg({c}) OVER (PARTITION BY note_id, y ORDER BY x ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) + 0.5) AS INT) AS {c}" for c in "bgr")
 _C1 = """s1 AS (SELECT g.note_id, stddev_pop(gray) AS std, avg(edge) AS er FROM gr g JOIN ed USING (note_id, y, x) GROUP BY g.note_id),
 q1 AS (SELECT note_id, count(*) FILTER (m < 25) AS dq FROM (SELECT note_id, y < 32 AS a, x < 70 AS b, avg(gray) AS m FROM gr GROUP BY ALL) GROUP BY note_id)"""
-_HUE = """hs AS (SELECT fx_pixels.note_id, fx_pixels.y, fx_pixels.x, w, fx_pixels.h AS ih, (hsv.h + 60) % 180 AS h, s / 255 AS s, v FROM hsv JOIN fx_pixels USING (note_id, y, x)),
+_HUE = f"""hs AS (SELECT note_id, y, x, w, ih, ({_HUE_OF} + 60) % 180 AS h, {_SAT_OF} / 255 AS s, v FROM hh),
 hp AS (SELECT *, floor(h / 30) AS k, h / 30 - floor(h / 30) AS f FROM hs),
 hq AS (SELECT *, CAST(floor(round(v * (1 - s), 6) + 0.5) AS INT) AS p, CAST(floor(round(v * (1 - s * f), 6) + 0.5) AS INT) AS q, CAST(floor(round(v * (1 - s * (1 - f)), 6) + 0.5) AS INT) AS t FROM hp)"""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,14 +13,17 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     ``spark.checkpoint.dir`` names it on a cluster. Where it is unset, a local session gets
-    a fresh temporary folder and any other one a folder inside the warehouse.
+    a fresh temporary folder and any other one a folder inside the warehouse, unless that lies on
+    one machine.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_guilloche_dir", None)
     if not known:
-        if spark.sparkContext.master.startswith("local["):
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             known = "file://" + tempfile.mkdtemp(prefix="spark-")
         else:
             known = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_guilloche"
+            if "://" not in known or known.startswith("file:"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark._guilloche_dir = known
     return known.rstrip("/") if "://" in known or known.startswith("file:") else "file://" + known.rstrip("/")
 

@@ -8,6 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from guilloche import staging
 from guilloche.operators import checks, controls, geometry, pixels, stencil
 from guilloche.operators.ranges import running
 from guilloche.plans import screening
@@ -91,6 +92,19 @@ def test_canonical_sizes_pass_and_a_stretched_note_fails(spark):
     assert got == {**{k: "PASS" for k in range(len(DIMENSIONS_MM))}, 99: "FAIL", 98: "INFO"}
 
 
+def test_staged_tables_never_go_to_one_machine_of_a_cluster():
+    class Session:
+        def __init__(self, master, conf):
+            self.sparkContext = type("Context", (), {"master": master})
+            self.conf = type("Conf", (), {"get": staticmethod(lambda k, *d: conf[k] if k in conf else d[0])})
+
+    with pytest.raises(ValueError):
+        staging.shared_dir(Session("spark://a:7077", {"spark.sql.warehouse.dir": "file:/home/a/warehouse"}))
+    assert staging.shared_dir(Session("spark://a:7077", {"spark.sql.warehouse.dir": "hdfs://n/w/"})) == "hdfs://n/w/_guilloche"
+    assert staging.shared_dir(Session("yarn", {"spark.checkpoint.dir": "/mnt/shared/"})) == "file:///mnt/shared"
+    assert staging.shared_dir(Session("local[4]", {})).startswith("file:///")
+
+
 def test_runs_close_and_open_as_frames_do(spark):
     r = random.Random(3)
     rows = [(n, y, x, 40, int(r.random() < 0.55)) for n in (1, 2) for x in range(12) for y in range(40)]
