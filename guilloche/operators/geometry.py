@@ -73,6 +73,44 @@ def rectify(pixels: DataFrame, quads: DataFrame, *, min_w: int = 200, min_h: int
     return warped.unionByName(same)
 
 
+def _projective(q: DataFrame) -> DataFrame:
+    """Add the map from the unit square to a quad ``x0, y0 ... x3, y3`` (in order around it), in closed form: coefficients ax to cx, ay to cy, and g, h of the common denominator."""
+    d = {f"d{k}{c}": F.col(f"{c}{k}") - F.col(f"{c}2") for k, c in (("1", "x"), ("1", "y"))} | {f"d3{c}": F.col(f"{c}3") - F.col(f"{c}2") for c in "xy"}
+    d |= {f"s{c}": F.col(f"{c}0") - F.col(f"{c}1") + F.col(f"{c}2") - F.col(f"{c}3") for c in "xy"}  # 0 of a parallelogram
+    q = q.withColumns(d).withColumn("_n", F.col("d1x") * F.col("d3y") - F.col("d3x") * F.col("d1y")).where("_n != 0")
+    q = q.withColumns({"pg": (F.col("sx") * F.col("d3y") - F.col("d3x") * F.col("sy")) / F.col("_n"), "ph": (F.col("d1x") * F.col("sy") - F.col("sx") * F.col("d1y")) / F.col("_n")})
+    return q.withColumns({k: v for c in "xy" for k, v in ((f"a{c}", F.col(f"{c}1") - F.col(f"{c}0") + F.col("pg") * F.col(f"{c}1")), (f"b{c}", F.col(f"{c}3") - F.col(f"{c}0") + F.col("ph") * F.col(f"{c}3")), (f"c{c}", F.col(f"{c}0")))})
+
+
+def rectify_perspective(pixels: DataFrame, quads: DataFrame, *, min_w: int = 200, min_h: int = 80) -> DataFrame:
+    """``rectify`` for any convex quad: a projective map, and the four source pixels around each place weighted by their distance.
+
+    Neighbours outside the frame do not count, and a target pixel without any is left out, as
+    it is for a quad whose corners lie on a line. Targets and pixels meet in one join by place.
+    """
+    q = quads.withColumns({"tw": F.greatest("avg_w", "avg_h").cast("int"), "th": F.least("avg_w", "avg_h").cast("int")}).where((F.col("tw") >= min_w) & (F.col("th") >= min_h))
+    tall = F.col("avg_h") > F.col("avg_w")
+    around = (("bl", "tl"), ("tl", "tr"), ("tr", "br"), ("br", "bl"))
+    q = q.select("note_id", "tw", "th", *[F.when(tall, F.col(f"{a}_{c}")).otherwise(F.col(f"{b}_{c}")).cast("double").alias(f"{c}{k}") for k, (a, b) in enumerate(around) for c in "xy"])
+    same = pixels.join(q.select("note_id"), "note_id", "left_anti").select("note_id", "y", "x", "w", "h", "b", "g", "r")
+    m = _projective(q).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("th") - 1))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("tw") - 1)))
+    part = lambda at, size: F.col(at) / F.greatest(F.col(size) - 1, F.lit(1)).cast("double")
+    m = m.withColumns({"u": part("i", "tw"), "v": part("j", "th")}).withColumn("_z", F.col("pg") * F.col("u") + F.col("ph") * F.col("v") + 1)
+    m = m.where("_z > 0").withColumns({f"s{c}": F.round((F.col(f"a{c}") * F.col("u") + F.col(f"b{c}") * F.col("v") + F.col(f"c{c}")) / F.col("_z"), 6) for c in "xy"})
+    corners = F.array(*[F.struct((F.floor("sx") + a).cast("int").alias("x"), (F.floor("sy") + b).cast("int").alias("y"), (_near("sx", a) * _near("sy", b)).alias("k")) for a in (0, 1) for b in (0, 1)])
+    m = m.select("note_id", F.col("i").alias("tx"), F.col("j").alias("ty"), F.col("tw").alias("nw"), F.col("th").alias("nh"), F.explode(corners).alias("n")).where("n.k > 0")
+    met = m.select("note_id", "tx", "ty", "nw", "nh", "n.x", "n.y", "n.k").join(pixels.select("note_id", "x", "y", "b", "g", "r"), ["note_id", "x", "y"])
+    warped = met.groupBy("note_id", F.col("ty").alias("y"), F.col("tx").alias("x"), F.col("nw").alias("w"), F.col("nh").alias("h"))
+    mean = lambda c: F.floor(F.round(F.sum(F.col(c) * F.col("k")) / F.sum("k"), 6) + 0.5).cast("int").alias(c)
+    return warped.agg(mean("b"), mean("g"), mean("r")).unionByName(same)
+
+
+def _near(c: str, step: int):
+    """Weight of the whole number at or after a place, by how near it is."""
+    after = F.col(c) - F.floor(c)
+    return after if step else 1 - after
+
+
 def aspects(frames: DataFrame, quads: DataFrame) -> DataFrame:
     """Aspect of each note: of its quad, else of its frame if the borders are uniform and both sides 50 or more.
 

@@ -212,6 +212,14 @@ def c11_wide(s, d):
     return C.wide(load(s, d, "fx_checks"))
 
 
+def g5_perspective(s, d):
+    """Quads that are no parallelograms, another one for each note."""
+    n = F.pmod("note_id", F.lit(7))
+    corners = {"tl_x": 10 + n, "tl_y": 5, "tr_x": 129, "tr_y": 4 + n, "br_x": 131 - n, "br_y": 60, "bl_x": 12, "bl_y": 58 - n}
+    q = _images(s, d).select("note_id", *[(v if not isinstance(v, int) else F.lit(v)).cast("double").alias(k) for k, v in corners.items()], F.lit(119.0).alias("avg_w"), F.lit(53.0).alias("avg_h"))
+    return G.rectify_perspective(_px(s, d), q, min_w=100, min_h=40)
+
+
 def g5(s, d):
     q = _images(s, d).select("note_id", *[F.lit(float(v)).alias(k) for k, v in _QUAD.items()], F.lit(119.0).alias("avg_w"), F.lit(53.0).alias("avg_h"))
     return G.rectify(_px(s, d), q, min_w=100, min_h=40)
@@ -274,7 +282,7 @@ QUERIES = {
     "a9_watermark_variance": a9, "a10_edge_ratio": a10, "a11_otsu": a11, "a12_coloured_share": a12, "a13_patch_score": a13,
     "w1_gaussian_blur": w1, "w2_sobel": w2, "w3_vertical_close": w3, "w4_vertical_open": w4, "w5_components": w5, "w6_edges": w6, "w7_motion_blur": w7, "w8_vertical_lines": w8,
     "c1_structural_sanity": c1, "c2_uv_features": c2, "c3_watermark": c3, "c4_security_thread": c4, "c5_palette_integrity": c5, "c9_read_proportions": c9, "c10_portrait": c10, "c11_wide_checks": c11_wide,
-    "g5_rectify": g5, "g6_borders_uniform": g6, "e15_raw_signals": e15,
+    "g5_rectify": g5, "g5_perspective": g5_perspective, "g6_borders_uniform": g6, "e15_raw_signals": e15,
     "n1_blank": n1, "n2_noise": n2, "n3_heavy_blur": n3, "n4_low_resolution": n4, "n5_half_crop": n5, "n6_invert": n6, "n7_desaturate": n7, "n8_hue_shift": n8, "n9_stretch": n9, "n10_motion_blur": n10,
 }
 
@@ -379,6 +387,15 @@ _HUE = f"""hs AS (SELECT note_id, y, x, w, ih, ({_HUE_OF} + 60) % 180 AS h, {_SA
 hp AS (SELECT *, floor(h / 30) AS k, h / 30 - floor(h / 30) AS f FROM hs),
 hq AS (SELECT *, CAST(floor(round(v * (1 - s), 6) + 0.5) AS INT) AS p, CAST(floor(round(v * (1 - s * f), 6) + 0.5) AS INT) AS q, CAST(floor(round(v * (1 - s * (1 - f)), 6) + 0.5) AS INT) AS t FROM hp)"""
 
+_PERSPECTIVE = f"""SELECT t.note_id, CAST(j AS INT) AS y, CAST(i AS INT) AS x, 119 AS w, 53 AS h, {", ".join(f"CAST(floor(round(sum(k * {c}) / sum(k), 6) + 0.5) AS INT) AS {c}" for c in "bgr")} FROM (
+ SELECT note_id, i, j, floor(sx) + a AS px, floor(sy) + c AS py, (CASE a WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE c WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) AS k FROM (
+  SELECT note_id, i, j, round(((x1 - x0 + g * x1) * u + (x3 - x0 + h * x3) * v + x0) / (g * u + h * v + 1), 6) AS sx, round(((y1 - y0 + g * y1) * u + (y3 - y0 + h * y3) * v + y0) / (g * u + h * v + 1), 6) AS sy FROM (
+   SELECT *, ((x0 - x1 + x2 - x3) * (y3 - y2) - (x3 - x2) * (y0 - y1 + y2 - y3)) / n AS g, ((x1 - x2) * (y0 - y1 + y2 - y3) - (x0 - x1 + x2 - x3) * (y1 - y2)) / n AS h FROM (
+    SELECT *, (x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2) AS n FROM (
+     SELECT note_id, CAST(10 + note_id % 7 AS DOUBLE) AS x0, 5::DOUBLE AS y0, 129::DOUBLE AS x1, CAST(4 + note_id % 7 AS DOUBLE) AS y1, CAST(131 - note_id % 7 AS DOUBLE) AS x2, 60::DOUBLE AS y2, 12::DOUBLE AS x3, CAST(58 - note_id % 7 AS DOUBLE) AS y3 FROM {_IMAGES}) q0) q1) q2,
+   (SELECT range AS i, range / 118::DOUBLE AS u FROM range(119)) ci, (SELECT range AS j, range / 52::DOUBLE AS v FROM range(53)) cj) q3, (SELECT unnest([0, 1]) AS a) na, (SELECT unnest([0, 1]) AS c) nc) t
+JOIN fx_pixels p ON p.note_id = t.note_id AND p.x = px AND p.y = py WHERE k > 0 GROUP BY t.note_id, i, j"""
+
 ORACLE_SQL = {
     "p1_gray": _q("SELECT note_id, y, x, gray FROM gr"),
     "p2_hsv": _q("SELECT * FROM hsv"),
@@ -417,6 +434,7 @@ ORACLE_SQL = {
     "c5_palette_integrity": _q("SELECT note_id, 'hologram_detection' AS check_name, CASE WHEN coalesce(coloured, 0) >= 200 AND mean_sat >= 20 AND entropy >= 3.4 THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN coalesce(coloured, 0) < 200 THEN 'desaturated' WHEN mean_sat >= 20 AND entropy >= 3.4 THEN 'palette ok' ELSE 'palette off' END AS details, CAST(round(entropy, 4) AS VARCHAR) AS value FROM (SELECT note_id, avg(s) AS mean_sat FROM hsv GROUP BY note_id) LEFT JOIN a4 USING (note_id)"),
     "c10_portrait": oracle("SELECT n.note_id, 'gandhi_face_analysis' AS check_name, CASE WHEN coalesce(k, 0) > 0 THEN 'PASS' ELSE 'FAIL' END AS status, coalesce(k, 0) || ' face(s)' AS details, CAST(coalesce(k, 0) AS VARCHAR) AS value FROM fx_notes n LEFT JOIN (SELECT note_id, count(*) FILTER (w >= 40 AND h >= 40) AS k FROM fx_faces GROUP BY note_id) f USING (note_id)", "fx_faces"),
     "c11_wide_checks": oracle("SELECT note_id, " + ", ".join(f"max(status) FILTER (check_name = '{c}') AS {c}" for c in (*CHECKS, "modular_ai_pipeline")) + " FROM fx_checks GROUP BY note_id", "fx_checks"),
+    "g5_perspective": _q(_PERSPECTIVE),
     "g5_rectify": _q("SELECT t.note_id, CAST(j AS INT) AS y, CAST(i AS INT) AS x, 119 AS w, 52 AS h, b, g, r FROM (SELECT note_id, i, j, CAST(floor(10 + i * (119::DOUBLE / 118) + j * (2::DOUBLE / 51) + 0.5) AS INT) AS sx, CAST(floor(5 + i * (0::DOUBLE / 118) + j * (53::DOUBLE / 51) + 0.5) AS INT) AS sy FROM " + _IMAGES + ", range(119) a(i), range(52) c(j)) t JOIN fx_pixels p ON p.note_id = t.note_id AND p.x = sx AND p.y = sy"),
     "g6_borders_uniform": _q("SELECT note_id, border_std < 25 AND interior_std > 15 AS uniform FROM a8"),
     "e15_raw_signals": _q("SELECT note_id, round(variance, 4) AS variance, round(uv_ratio, 6) AS uv_ratio, round(patch_score, 4) AS patch_score, coalesce(k, 0) AS lines FROM a9 JOIN a1 USING (note_id) JOIN a13 USING (note_id) LEFT JOIN (SELECT note_id, count(*) AS k FROM w8 GROUP BY note_id) USING (note_id)", _LINES),
