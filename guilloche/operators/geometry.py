@@ -1,6 +1,7 @@
 """Note outline and proportions.
 
-Contours have note_id, contour_id, n_vertices, the image size and four corners x0..y3.
+Contours have note_id, contour_id, n_vertices, the image size, four corners x0..y3 and maybe
+the area of their border; ``outline.outlines`` finds them in pixels.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from guilloche.schemas import dimensions
 
 
 def with_area(contours: DataFrame) -> DataFrame:
-    """Add ``area``: the shoelace area of the four corners."""
+    """Add ``area``, unless the contours bring that of their whole border: the shoelace area of the four corners."""
+    if "area" in contours.columns:
+        return contours
     x, y = [F.col(f"x{k}") for k in range(4)], [F.col(f"y{k}") for k in range(4)]
     twice = sum((x[k] * y[(k + 1) % 4] - x[(k + 1) % 4] * y[k] for k in range(1, 4)), x[0] * y[1] - x[1] * y[0])
     return contours.withColumn("area", F.abs(twice) / 2)

@@ -185,15 +185,15 @@ def open_runs(runs: DataFrame, k: Column) -> DataFrame:
     return _dilated(_eroded(runs, k), k)
 
 
-def run_labels(x: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> np.ndarray:
-    """For runs in order of (x, y0) the index of the first run of each one's eight-connected component.
+def run_labels(x: np.ndarray, y0: np.ndarray, y1: np.ndarray, *, reach: int = 1) -> np.ndarray:
+    """For runs in order of (x, y0) the index of the first run of each one's eight-connected component; four-connected with a ``reach`` of 0.
 
     Neighbours are found by binary search, labels by hooking and pointer jumping: a few
     vectorised rounds, whatever the shape.
     """
     wide = int(y1.max()) + 3 if len(x) else 1
-    low = np.searchsorted(x * wide + y1, (x + 1) * wide + y0 - 1, "left")
-    high = np.searchsorted(x * wide + y0, (x + 1) * wide + y1 + 1, "right")
+    low = np.searchsorted(x * wide + y1, (x + 1) * wide + y0 - reach, "left")
+    high = np.searchsorted(x * wide + y0, (x + 1) * wide + y1 + reach, "right")
     many = np.maximum(high - low, 0)
     a = np.repeat(np.arange(len(x)), many)
     b = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)

@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Name -> SQL, in the order in which they build on each other. {nums7}, {nums8}, {nums8960}: integers from 0.
+#: Name -> SQL, in the order in which they build on each other. {nums7}, {nums8} and the like: as many integers from 0.
 VIEWS = {
     "fx_notes": """
 SELECT note_id, denom, grade, side, label, concat(label,'/',note_id,'.png') AS path,
@@ -57,6 +57,20 @@ SELECT note_id, y, x, 140 AS w, 64 AS h,
  CASE v WHEN 2 THEN CASE WHEN x BETWEEN 69 AND 71 THEN 20 ELSE 210 + (x * y) % 11 END WHEN 3 THEN (x * 3 + y * 5 + p * 17) % 256 WHEN 4 THEN CASE WHEN y >= 32 THEN 0 ELSE (x * 2 + y * 11 + p * 41) % 256 END WHEN 5 THEN 128 ELSE (x * 2 + y * 11 + p * 41) % 256 END AS r
 FROM (SELECT s_suppkey AS note_id, CAST(s_suppkey AS INT) AS p, CAST(s_suppkey % 6 AS INT) AS v, CAST(floor(i / 140) AS INT) AS y, CAST(i % 140 AS INT) AS x
  FROM supplier CROSS JOIN {nums8960} n) t
+""",
+    "fx_drawn": """
+SELECT note_id, denom, there, cos(turn) AS c, sin(turn) AS s, CAST(56 AS DOUBLE) AS half_w, 56 * high / (wide * stretch) AS half_h, 150 + CAST(note_id % 50 AS INT) AS shade
+FROM (SELECT s_suppkey AS note_id, s_suppkey % 4 <> 3 AS there, radians(CAST((s_suppkey * 7) % 41 - 20 AS DOUBLE)) AS turn,
+  CASE s_suppkey % 7 WHEN 0 THEN '10' WHEN 1 THEN '20' WHEN 2 THEN '50' WHEN 3 THEN '100' WHEN 4 THEN '200' WHEN 5 THEN '500' ELSE '2000' END AS denom,
+  CAST(CASE s_suppkey % 7 WHEN 0 THEN 123 WHEN 1 THEN 129 WHEN 2 THEN 135 WHEN 3 THEN 142 WHEN 4 THEN 146 WHEN 5 THEN 150 ELSE 166 END AS DOUBLE) AS wide,
+  CAST(CASE WHEN s_suppkey % 7 < 2 THEN 63 ELSE 66 END AS DOUBLE) AS high,
+  CAST(CASE WHEN s_suppkey % 7 <> 6 AND s_suppkey % 3 = 1 THEN 1.3 ELSE 1 END AS DOUBLE) AS stretch FROM supplier) t
+""",
+    "fx_frames": """
+SELECT note_id, y, x, 160 AS w, 120 AS h,
+ CASE WHEN note THEN shade ELSE 30 + (x * 3 + y * 5) % 6 END AS b, CASE WHEN note THEN 190 ELSE 34 + (x + y) % 5 END AS g, CASE WHEN note THEN 210 ELSE 36 + (x * 2 + y) % 4 END AS r
+FROM (SELECT note_id, y, x, shade, there AND abs((x - 80) * c + (y - 60) * s) <= half_w AND abs((y - 60) * c - (x - 80) * s) <= half_h AS note
+ FROM (SELECT d.*, CAST(floor(i / 160) AS INT) AS y, CAST(i % 160 AS INT) AS x FROM fx_drawn d CROSS JOIN {nums19200} n) p) q
 """,
     "fx_scores": """
 SELECT note_id, label, CAST(CASE WHEN label = 'real' THEN 250 + (note_id * 7919) % 750 ELSE (note_id * 7919) % 700 END AS DOUBLE) / CAST(1000 AS DOUBLE) AS raw FROM fx_notes
@@ -88,7 +102,7 @@ def _needs(name: str) -> list[str]:
 
 
 def _fill(sql: str, numbers: str) -> str:
-    return sql.replace("{nums8960}", numbers.format(8960)).replace("{nums8}", numbers.format(8)).replace("{nums7}", numbers.format(7)).strip()
+    return re.sub(r"\{nums(\d+)\}", lambda m: numbers.format(m[1]), sql).strip()
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

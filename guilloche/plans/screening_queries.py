@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,13 @@ def _inputs(spark, d) -> Inputs:
     return Inputs(*[load(spark, d, f"fx_{t}") for t in ("pixels", "tokens", "blobs", "contours", "faces")])
 
 
+def _unread(spark, d) -> Inputs:
+    """Notes whose outlines are looked for in their own pixels; the fixture's contours belong to larger frames."""
+    return replace(_inputs(spark, d), contours=None)
+
+
 def c11(spark, d):
-    return all_checks(_unlocated(spark, d))
+    return all_checks(_unread(spark, d))
 
 
 def _unlocated(spark, d) -> Inputs:
@@ -41,7 +47,7 @@ def _unlocated(spark, d) -> Inputs:
 
 
 def v7(spark, d):
-    return screen(_unlocated(spark, d), load(spark, d, "fx_scores"))
+    return screen(_unread(spark, d), load(spark, d, "fx_scores"))
 
 
 def png(w: int, h: int, values: list[int]) -> bytes:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from guilloche.operators import geometry as G
+from guilloche.operators import outline as O
+from guilloche.operators import pixels as P
 from guilloche.operators import typography as Y
 from guilloche.schemas import DIMENSIONS_MM, values_sql
+from guilloche.staging import stage
 
 from .fixtures import load, oracle
 
@@ -98,9 +101,45 @@ def g9(spark, d):
     return G.deviation_band(_proportions(spark, d)).select("note_id", "deviation_pct", "band")
 
 
+def _frame_quads(spark, d):
+    """Quads of the drawn frames, from their pixels."""
+    return stage(G.first_quad(O.outlines(load(spark, d, "fx_frames"), straighten=True)), "quads")
+
+
+def g1_outlines(spark, d):
+    """Whether each drawn frame has one outline of four corners, and whether all corners lie within two pixels of the drawn ones."""
+    drawn, found = load(spark, d, "fx_drawn"), O.outlines(load(spark, d, "fx_frames"), straighten=True)
+    j = drawn.join(found, "note_id", "left")
+    off = []
+    for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1)):
+        u, v = a * F.col("half_w"), b * F.col("half_h")
+        x, y = 80 + u * F.col("c") - v * F.col("s"), 60 + u * F.col("s") + v * F.col("c")
+        off.append(F.least(*[F.hypot(F.col(f"x{k}") - x, F.col(f"y{k}") - y) for k in range(4)]))
+    return j.groupBy("note_id").agg(F.count("contour_id").alias("outlines"), F.max("n_vertices").alias("corners"), F.max(F.greatest(*off) <= 2).alias("near"))
+
+
+def g5_located(spark, d):
+    """Size of each drawn note's crop, within two pixels, and the mean colour of its middle half; frames without a note as they are."""
+    crop = G.rectify_perspective(load(spark, d, "fx_frames"), _frame_quads(spark, d), min_w=80, min_h=30)
+    middle = (F.abs(2 * F.col("x") - F.col("w")) * 2 <= F.col("w")) & (F.abs(2 * F.col("y") - F.col("h")) * 2 <= F.col("h"))
+    means = crop.groupBy("note_id").agg(F.first("w").alias("w"), F.first("h").alias("h"), *[F.round(F.avg(F.when(middle, F.col(c))), 6).alias(c) for c in "bgr"])
+    drawn = load(spark, d, "fx_drawn")
+    near = lambda c: F.abs(F.col(c) - F.when(F.col("there"), 2 * F.col(f"half_{c}")).otherwise(160 if c == "w" else 120)) <= 2
+    flat = [F.when(F.col("there"), F.col(c)).alias(c) for c in "bgr"]
+    return drawn.join(means, "note_id").select("note_id", near("w").alias("w_near"), near("h").alias("h_near"), *flat)
+
+
+def g8_located(spark, d):
+    """Proportion check of the drawn notes from their pixels: located, measured, and held against their denomination."""
+    frames = load(spark, d, "fx_frames")
+    sizes = frames.groupBy("note_id").agg(F.first("w").alias("img_w"), F.first("h").alias("img_h")).join(P.borders_uniform(frames), "note_id", "left")
+    return G.proportions(load(spark, d, "fx_drawn"), G.aspects(sizes, _frame_quads(spark, d))).select("note_id", "check_name", "status", "expected_aspect", "measurement")
+
+
 QUERIES = {
     "y1_blob_filter": y1, "y2_usual_heights": y2, "y3_merge_overlaps": y3, "y4_trailing_run": y4, "y5_aligned_digits": y5, "y6_height_fit": y6, "y7_step_growth": y7, "y8_stability_scores": y8, "y9_typography_check": y9,
     "g1_contour_gate": g1, "g2_ordered_corners": g2, "g3_quad_aspect": g3, "g4_first_quad": g4, "g7_measured_aspect": g7, "g8_proportions": g8, "g9_deviation_band": g9,
+    "g1_outlines": g1_outlines, "g5_located_crop": g5_located, "g8_located_proportions": g8_located,
 }
 
 _Y = """
@@ -159,6 +198,10 @@ def _g(select: str) -> str:
 
 
 ORACLE_SQL = {
+    "g1_outlines": oracle("SELECT note_id, CASE WHEN there THEN 1 ELSE 0 END AS outlines, CASE WHEN there THEN 4 END AS corners, CASE WHEN there THEN true END AS near FROM fx_drawn", "fx_drawn"),
+    "g5_located_crop": oracle("SELECT note_id, true AS w_near, true AS h_near, CASE WHEN there THEN round(shade::DOUBLE, 6) END AS b, CASE WHEN there THEN 190.0::DOUBLE END AS g, CASE WHEN there THEN 210.0::DOUBLE END AS r FROM fx_drawn", "fx_drawn"),
+    # A blank frame without a note is neither a quad nor a scan that a note fills.
+    "g8_located_proportions": oracle(f"d(denom, wide, high) AS ({values_sql((k, *v) for k, v in DIMENSIONS_MM.items())}), a AS (SELECT note_id, there, wide::DOUBLE / high AS e, half_w / half_h AS a FROM fx_drawn JOIN d USING (denom)) SELECT note_id, 'proportion_analysis' AS check_name, CASE WHEN NOT there THEN 'INFO' WHEN abs(a - e) / e * 100 <= 15 THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN there THEN round(e, 3) END AS expected_aspect, CASE WHEN there THEN 'quad' END AS measurement FROM a", "fx_drawn"),
     "y1_blob_filter": _y("SELECT note_id, x, y, w, h, round(area, 6) AS area, baseline, round(fill, 6) AS fill FROM y1"),
     "y2_usual_heights": _y("SELECT note_id, x, y, w, h, baseline FROM y2"),
     "y3_merge_overlaps": _y("SELECT note_id, pos, x, y, w, h, round(area, 6) AS area, baseline, round(fill, 6) AS fill FROM y3"),
