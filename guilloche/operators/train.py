@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from guilloche.functions.portable import digits, scatter
+from guilloche.staging import stage
 
 from .pixels import block_means
 from .ranges import running
@@ -76,6 +81,94 @@ def score(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("raw", vector_to_array("probability")[1])
 
 
+@dataclass
+class Rounds:
+    """What a training left: a row for each round, the weights of the best one (the last of them for the constant) and its number."""
+
+    history: list[dict]
+    weights: np.ndarray
+    best: int
+
+
+def _array(features: str):
+    """A vector as an array; null stays null."""
+    from pyspark.ml.functions import vector_to_array
+
+    return F.when(F.col(features).isNotNull(), vector_to_array(features))
+
+
+def _pass(data: DataFrame, ahead: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One pass over (features, label, validation): the gradient's sum over training rows at ``ahead``, and rows, loss and hits of training and validation rows at ``now``.
+
+    Each task adds up its rows; the sums, as many as there are weights, are added by place.
+    """
+
+    def sums(batches):
+        total = np.zeros(len(now) + 6)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.column_stack([b.column(0).flatten().to_numpy().reshape(b.num_rows, -1), np.ones(b.num_rows)])
+            y, held = b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
+            slope = 1 / (1 + np.exp(-(x @ ahead))) - y
+            total[: len(now)] += slope[~held] @ x[~held]
+            z = x @ now
+            loss, hit = np.logaddexp(0, z) - y * z, (z >= 0) == (y == 1)
+            for k, some in ((0, ~held), (3, held)):
+                total[len(now) + k : len(now) + k + 3] += some.sum(), loss[some].sum(), hit[some].sum()
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["a"])
+
+    out = np.zeros(len(now) + 6)
+    for r in data.mapInArrow(sums, "a array<double>").select(F.posexplode("a")).groupBy("pos").agg(F.sum("col").alias("s")).collect():
+        out[r["pos"]] = r["s"]
+    return out[: len(now)], out[len(now) :].reshape(2, 3)
+
+
+def fit_rounds(rows: DataFrame, *, rounds: int = 10, passes: int = 5, ridge: float = 0.01, patience: int = 3) -> Rounds:
+    """A sigmoid over ``features``, fitted to rows that are not ``validation`` by accelerated gradient steps, ``passes`` to a round.
+
+    Each round goes on from the one before. After it log-loss and accuracy of both sides are
+    noted; the weights of the least validation loss stay, and training ends when ``patience``
+    rounds brought none less. The ridge spares the constant. The step follows from the mean
+    square of the training rows. Rows with a null in features, label or validation are left
+    out; without training rows there are no rounds. Only sums of as many numbers as there are
+    features come to the driver.
+    """
+    data = rows.select(_array("features").alias("x"), F.col("label").cast("double").alias("y"), F.col("validation").alias("held")).dropna()
+    data = stage(data, "training")
+    size = data.where("NOT held").agg(F.count("*").alias("n"), F.avg(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)).alias("q"), F.max(F.size("x")).alias("d")).first()
+    if not size["n"]:
+        return Rounds([], np.zeros(0), 0)
+    step = 1 / ((size["q"] + 1) / 4 + ridge)
+    now = before = np.zeros(size["d"] + 1)
+    kept = np.append(np.full(size["d"], ridge), 0.0)
+    history, best = [], Rounds([], now, 0)
+    least = np.inf
+    for k in range(rounds * passes + 1):
+        ahead = now + max(k - 1, 0) / (k + 2) * (now - before)
+        slope, ((n, loss, hits), (m, held_loss, held_hits)) = _pass(data, ahead, now)
+        if k and k % passes == 0:
+            share = lambda a, b: float(a / b) if b else None
+            history.append({"round": k // passes, "train_loss": share(loss, n), "val_loss": share(held_loss, m), "train_acc": share(hits, n), "val_acc": share(held_hits, m)})
+            judged = history[-1]["val_loss"] if m else history[-1]["train_loss"]
+            if judged < least:
+                least, best = judged, Rounds(history, now, k // passes)
+            if k // passes - best.best >= patience:
+                break
+        before, now = now, ahead - step * (slope / n + kept * ahead)
+    return Rounds(history, best.weights, best.best)
+
+
+def score_rounds(fitted: Rounds, rows: DataFrame) -> DataFrame:
+    """Add ``raw``: the chance of class 1 by the best weights; null where features are. Of no training: one half."""
+    if not len(fitted.weights):
+        return rows.withColumn("raw", F.lit(0.5))
+    *weights, constant = fitted.weights.tolist()
+    products = F.zip_with(_array("features"), F.array(*map(F.lit, weights)), lambda a, b: a * b)
+    z = F.aggregate(products, F.lit(constant), lambda s, v: s + v)
+    return rows.withColumn("raw", 1 / (1 + F.exp(-z)))
+
+
 def roc(scores: DataFrame, *, label: str = "label", raw: str = "raw") -> DataFrame:
     """One point for each distinct score, highest first: rates of true and false positives, and what the score itself adds to them.
 
