@@ -8,6 +8,7 @@ from guilloche.operators import checks as C
 from guilloche.operators import controls as N
 from guilloche.operators import denomination as D
 from guilloche.operators import geometry as G
+from guilloche.operators import outline as O
 from guilloche.operators import pixels as P
 from guilloche.operators import stencil as S
 from guilloche.schemas import CHECKS, DIMENSIONS_MM, values_sql
@@ -149,6 +150,11 @@ def w1(s, d):
     return S.blur(_gray_panel(s, d), "gray")
 
 
+def y0(s, d):
+    """What is dark for its surroundings in the watermark panel, as digits are looked for in a strip."""
+    return O.local_threshold(_gray_panel(s, d)).select("note_id", "y", "x", "dark")
+
+
 def w2(s, d):
     return _sobel(s, d).select("note_id", "y", "x", "sobel")
 
@@ -280,6 +286,7 @@ QUERIES = {
     "p1_gray": p1, "p2_hsv": p2, "p3_regions": p3, "p4_in_range": p4, "p5_landscape": p5, "p6_border_bands": p6, "p7_quadrants": p7, "p8_block_means": p8,
     "a0_hsv_histogram": a0, "a1_saturated_ratio": a1, "a2_mean_saturation": a2, "a3_hue_histogram": a3, "a4_hue_entropy": a4, "a5_masked_medians": a5, "a6_brightness_std": a6, "a7_dark_quadrants": a7, "a8_border_interior_std": a8,
     "a9_watermark_variance": a9, "a10_edge_ratio": a10, "a11_otsu": a11, "a12_coloured_share": a12, "a13_patch_score": a13,
+    "y0_local_threshold": y0,
     "w1_gaussian_blur": w1, "w2_sobel": w2, "w3_vertical_close": w3, "w4_vertical_open": w4, "w5_components": w5, "w6_edges": w6, "w7_motion_blur": w7, "w8_vertical_lines": w8,
     "c1_structural_sanity": c1, "c2_uv_features": c2, "c3_watermark": c3, "c4_security_thread": c4, "c5_palette_integrity": c5, "c9_read_proportions": c9, "c10_portrait": c10, "c11_wide_checks": c11_wide,
     "g5_rectify": g5, "g5_perspective": g5_perspective, "g6_borders_uniform": g6, "e15_raw_signals": e15,
@@ -396,6 +403,11 @@ _PERSPECTIVE = f"""SELECT t.note_id, CAST(j AS INT) AS y, CAST(i AS INT) AS x, 1
    (SELECT range AS i, range / 118::DOUBLE AS u FROM range(119)) ci, (SELECT range AS j, range / 52::DOUBLE AS v FROM range(53)) cj) q3, (SELECT unnest([0, 1]) AS a) na, (SELECT unnest([0, 1]) AS c) nc) t
 JOIN fx_pixels p ON p.note_id = t.note_id AND p.x = px AND p.y = py WHERE k > 0 GROUP BY t.note_id, i, j"""
 
+#: The blur of the watermark panel over 25 pixels.
+_LOCAL = f"""k25(d, c) AS ({values_sql((i - 12, repr(w) + '::DOUBLE') for i, w in enumerate(S.gaussian_kernel(25))).replace("'", '')}),
+l1 AS (SELECT p.note_id, p.y, t.x, sum(k25.c * p.gray) AS f FROM (SELECT DISTINCT x FROM wp) t, k25 JOIN wp p ON true WHERE p.x = {_reflect('t.x + k25.d', 35)} GROUP BY p.note_id, p.y, t.x),
+l2 AS (SELECT p.note_id, t.y, p.x, CAST(floor(round(sum(k25.c * p.f), 6) + 0.5) AS INT) AS gray FROM (SELECT DISTINCT y FROM wp) t, k25 JOIN l1 p ON true WHERE p.y = {_reflect('t.y + k25.d', 45)} GROUP BY p.note_id, t.y, p.x)"""
+
 ORACLE_SQL = {
     "p1_gray": _q("SELECT note_id, y, x, gray FROM gr"),
     "p2_hsv": _q("SELECT * FROM hsv"),
@@ -420,6 +432,7 @@ ORACLE_SQL = {
     "a12_coloured_share": _q("SELECT note_id, round(count(*) FILTER (s > 25) / count(*), 6) AS coloured_share FROM hsv GROUP BY note_id"),
     "a13_patch_score": _q("SELECT note_id, round(patch_score, 4) AS patch_score FROM a13"),
     "w1_gaussian_blur": _q("SELECT * FROM b2"),
+    "y0_local_threshold": _q("SELECT wp.note_id, wp.y, wp.x, CASE WHEN wp.gray - l2.gray <= -12 THEN 1 ELSE 0 END AS dark FROM wp JOIN l2 USING (note_id, y, x)", _LOCAL),
     "w2_sobel": _q("SELECT * FROM t2", _THREAD),
     "w3_vertical_close": _q("SELECT * FROM m2", _THREAD),
     "w4_vertical_open": _q("SELECT * FROM m4", _THREAD),
