@@ -36,3 +36,13 @@ def test_crop_of_an_image_of_several_tiles_and_missing_pixels(spark):
     want = {(j, i): (i - 3) % 200 for j in range(136) for i in range(3, 300) if (i - 3, j + 2) != (100, 50)}
     for crop in (geometry.rectify, geometry.rectify_perspective):
         assert {(r.y, r.x): r.b for r in crop(px, quads).collect()} == want
+
+
+def test_stretch_joins_nothing(spark):
+    px = pixel_table(spark, w=20, h=2, notes=2)
+    for factor in (1.3, 0.6, 2.0):
+        made = controls.stretch(px, factor=factor)
+        assert plan(made).count("Join") == plan(px).count("Join")
+        got = sorted((r.note_id, r.y, r.x, r.w, r.b) for r in made.collect())
+        nw = int(20 * factor)
+        assert got == [(n, y, t, nw, (int(t / factor) * 3 + n) % 256) for n in range(2) for y in range(2) for t in range(nw)]
