@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from guilloche.operators import controls, geometry
+from guilloche.operators import pixels as P
+from guilloche.plans.fixtures import load
 
 
 def plan(df) -> str:
@@ -46,3 +48,18 @@ def test_stretch_joins_nothing(spark):
         got = sorted((r.note_id, r.y, r.x, r.w, r.b) for r in made.collect())
         nw = int(20 * factor)
         assert got == [(n, y, t, nw, (int(t / factor) * 3 + n) % 256) for n in range(2) for y in range(2) for t in range(nw)]
+
+
+def test_conditions_on_colours_do_not_work_them_out_again(spark, data):
+    for made in (P.in_range(P.to_hsv(load(spark, data, "fx_pixels"))).where("mask"), P.hue_histogram(P.hsv_histogram(load(spark, data, "fx_pixels")))):
+        assert "Join Cross, rightHint" in plan(made)  # no condition in it
+    some = P.to_hsv(pixel_table(spark)).where("s > 60")
+    assert some.columns == ["note_id", "y", "x", "w", "img_h", "b", "g", "r", "h", "s", "v"]
+
+
+def test_views_by_the_thousand_are_dealt_out_by_note(spark, data, tmp_path):
+    spark.range(300).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    for view, rows in (("fx_pixels", 8960), ("fx_frames", 19200)):
+        px = load(spark, str(tmp_path), view)
+        assert px.rdd.getNumPartitions() >= 300 * rows / 2**19
+        assert px.groupBy("note_id", "y").count()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
