@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from guilloche.operators import controls, geometry
 from guilloche.operators import pixels as P
+from guilloche.plans import screening_queries
 from guilloche.plans.fixtures import load
+from guilloche.sources import images
 
 
 def plan(df) -> str:
@@ -63,3 +65,23 @@ def test_views_by_the_thousand_are_dealt_out_by_note(spark, data, tmp_path):
         px = load(spark, str(tmp_path), view)
         assert px.rdd.getNumPartitions() >= 300 * rows / 2**19
         assert px.groupBy("note_id", "y").count()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_images_are_packed_and_unpacked_by_bytes(spark):
+    px = pixel_table(spark, w=5, h=3, notes=2).where("NOT (note_id = 1 AND x = 2)")
+    rows = {r.note_id: bytes(r.data) for r in images.packed(px, order="bgr").collect()}
+    assert rows == {n: bytes(v for y in range(3) for x in range(5) for v in ((0, 0, 0) if n == x - 1 == 1 else (x * 3 + n, y, x))) for n in range(2)}
+    image = lambda data, c: ("", 2, 2, c, 16, bytearray(data))
+    given = [(1, image(range(16), 4)), (2, image(range(4), 1)), (3, image(range(7), 3)), (4, None)]
+    table = spark.createDataFrame(given, "note_id int, image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>")
+    made = images.to_pixels(table)
+    assert "conv(" not in plan(made)  # text for each byte
+    got = {(r.note_id, r.y, r.x): (r.b, r.g, r.r) for r in made.collect()}
+    assert [got[1, 1, 1], got[2, 1, 0], got[3, 1, 0], got[3, 1, 1]] == [(12, 13, 14), (2, 2, 2), (6, None, None), (None, None, None)]
+    assert len(got) == 12 and images.to_pixels(table, stride=2).count() == 3
+
+
+def test_arrivals_are_not_written_by_one_task(spark, tmp_path):
+    parts = spark.range(40).repartition(4).selectExpr("id AS note_id", "'score' AS kind", "0 AS w", "0 AS h", "CAST(NULL AS BINARY) AS data", "'1' AS body", "0 AS due")
+    screening_queries.write_parts(parts, str(tmp_path), 0)
+    assert len(list(tmp_path.glob("due=0/*.parquet"))) > 1
