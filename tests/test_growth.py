@@ -85,3 +85,7 @@ def test_arrivals_are_not_written_by_one_task(spark, tmp_path):
     parts = spark.range(40).repartition(4).selectExpr("id AS note_id", "'score' AS kind", "0 AS w", "0 AS h", "CAST(NULL AS BINARY) AS data", "'1' AS body", "0 AS due")
     screening_queries.write_parts(parts, str(tmp_path), 0)
     assert len(list(tmp_path.glob("due=0/*.parquet"))) > 1
+
+
+def test_hue_shift_works_each_level_out_once(spark):
+    assert plan(controls.hue_shift(pixel_table(spark))).count("round(") <= 3
