@@ -1,10 +1,12 @@
 """Steps whose rows are many beside their input: nothing is broadcast or held in one task."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from guilloche.operators import controls, geometry
+from guilloche.operators import checks, controls, geometry, stencil
 from guilloche.operators import pixels as P
-from guilloche.plans import screening_queries
+from guilloche.plans import pixel_queries, screening, screening_queries
 from guilloche.plans.fixtures import load
 from guilloche.sources import images
 
@@ -89,3 +91,18 @@ def test_arrivals_are_not_written_by_one_task(spark, tmp_path):
 
 def test_hue_shift_works_each_level_out_once(spark):
     assert plan(controls.hue_shift(pixel_table(spark))).count("round(") <= 3
+
+
+def test_runs_are_labelled_without_a_data_frame_an_image(spark):
+    made = stencil.edge_runs(P.to_gray(pixel_table(spark, w=40, h=30)))
+    assert "FlatMapGroupsInPandas" not in plan(made)
+    runs = spark.createDataFrame([(None, 3, 0, 1, 9, 1), (None, 3, 2, 4, 9, 0), (None, 4, 5, 6, 9, 0), (None, 6, 0, 0, 9, 0), (7, 0, 0, 0, 9, 1)], "note_id int, x int, y0 int, y1 int, h int, strong int")
+    want = {(None, 3, 0, 4, 9, 3, 0), (None, 4, 5, 6, 9, 3, 0), (7, 0, 0, 0, 9, 0, 0)}
+    assert {tuple(r) for r in stencil.label_runs(runs, "strong").collect()} == want
+    assert {tuple(r) for r in stencil.label_runs(runs).collect()} == want | {(None, 6, 0, 0, 9, 6, 0)}
+
+
+def test_blur_is_a_product_with_the_kernel_as_a_band():
+    v = np.random.default_rng(3).integers(0, 256, (9, 60)).astype(float)
+    kernel = stencil.gaussian_kernel(51)
+    assert np.allclose(v @ stencil._band(51, 10), sum(k * v[:, i : i + 10] for i, k in enumerate(kernel)), atol=1e-9, rtol=0)
