@@ -106,3 +106,13 @@ def test_blur_is_a_product_with_the_kernel_as_a_band():
     v = np.random.default_rng(3).integers(0, 256, (9, 60)).astype(float)
     kernel = stencil.gaussian_kernel(51)
     assert np.allclose(v @ stencil._band(51, 10), sum(k * v[:, i : i + 10] for i, k in enumerate(kernel)), atol=1e-9, rtol=0)
+
+
+def test_lines_are_made_of_runs_not_of_pixels(spark, data):
+    r = np.random.default_rng(5)
+    rows = [(n, x, int(y), int(y + r.integers(0, 9)), 120) for n in range(2) for x in range(4) for y in np.cumsum(r.integers(12, 24, 5))]
+    runs = spark.createDataFrame(rows, "note_id int, x int, y0 int, y1 int, h int")
+    mask = runs.select("note_id", "x", F.explode(F.sequence("y0", "y1")).alias("y"), "h", F.lit(1).alias("edge"))
+    want = sorted(tuple(v) for v in stencil.vertical_lines(mask, "edge", "h").collect())
+    assert want and sorted(tuple(v) for v in stencil.line_runs(runs).collect()) == want
+    assert "sequence(y0" not in plan(pixel_queries.QUERIES["e15_raw_signals"](spark, data))
