@@ -116,3 +116,9 @@ def test_lines_are_made_of_runs_not_of_pixels(spark, data):
     want = sorted(tuple(v) for v in stencil.vertical_lines(mask, "edge", "h").collect())
     assert want and sorted(tuple(v) for v in stencil.line_runs(runs).collect()) == want
     assert "sequence(y0" not in plan(pixel_queries.QUERIES["e15_raw_signals"](spark, data))
+
+
+def test_shares_of_pixels_make_no_histogram(spark, data):
+    px = pixel_table(spark)
+    assert sorted(checks.uv_features(P.hsv_pixels(px)).collect()) == sorted(checks.uv_features(P.hsv_histogram(px)).collect())
+    assert plan(pixel_queries.QUERIES["c2_uv_features"](spark, data)).count("Aggregate") == 1
