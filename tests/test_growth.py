@@ -122,3 +122,17 @@ def test_shares_of_pixels_make_no_histogram(spark, data):
     px = pixel_table(spark)
     assert sorted(checks.uv_features(P.hsv_pixels(px)).collect()) == sorted(checks.uv_features(P.hsv_histogram(px)).collect())
     assert plan(pixel_queries.QUERIES["c2_uv_features"](spark, data)).count("Aggregate") == 1
+
+
+def test_screening_reads_only_what_belongs_to_its_notes(spark, data, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def check(notes, tokens):
+        assert tokens.join(notes, "note_id", "left_anti").isEmpty() and not tokens.isEmpty()
+        raise Seen
+
+    monkeypatch.setattr(screening.T, "serial_check", check)
+    monkeypatch.setattr(screening.G, "rectify_perspective", None)  # no outline, no crop
+    with pytest.raises(Seen):
+        screening.all_checks(screening_queries._unread(spark, data))
