@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from guilloche.functions.portable import digits, scatter
 from guilloche.staging import stage
 
+from . import tiles as T
+from .geometry import blocks
 from .pixels import block_means
 from .ranges import running
 
@@ -48,20 +50,43 @@ def augment(pixels: DataFrame, *, copies: int = 2, seed: int = 42) -> DataFrame:
     """``copies`` of each image, turned up to 20 degrees, zoomed and shifted up to a fifth, maybe flipped.
 
     Parameters come from a seeded hash of note and copy; each target pixel takes the nearest
-    source pixel, and is black where there is none.
+    source pixel, and is black where there is none. It is made in the tile that holds its
+    source, or lies next to it, so that nothing is joined; a tile without pixels makes black ones.
     """
-    u = lambda k: digits(F.col("_s"), 6 * k, 6) / F.lit(8388608.0) - 1
-    plan = pixels.select("note_id", "w", "h").distinct().withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn("_s", scatter("note_id", "copy", seed=seed))
-    plan = plan.withColumns({"angle": F.radians(20 * u(0)), "zoom": 1 + 0.2 * u(1), "sx": 0.2 * u(2) * F.col("w"), "sy": 0.2 * u(3) * F.col("h"), "flip": u(4) > 0})
-    grid = plan.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
-    cx, cy = (F.col("w") - 1) / 2, (F.col("h") - 1) / 2
-    dx, dy = F.when(F.col("flip"), -(F.col("x") - cx)).otherwise(F.col("x") - cx) - F.col("sx"), F.col("y") - cy - F.col("sy")
-    near = lambda a: F.floor(F.round(a, 6) + 0.5).cast("int")
-    sx = near(cx + (dx * F.cos("angle") + dy * F.sin("angle")) / F.col("zoom"))
-    sy = near(cy + (dy * F.cos("angle") - dx * F.sin("angle")) / F.col("zoom"))
-    src = grid.select("note_id", "copy", "y", "x", "w", "h", sx.alias("_x"), sy.alias("_y"))
-    found = pixels.select("note_id", F.col("y").alias("_y"), F.col("x").alias("_x"), "b", "g", "r")
-    return src.join(found, ["note_id", "_y", "_x"], "left").select("note_id", "copy", "y", "x", "w", "h", *[F.coalesce(c, F.lit(0)).alias(c) for c in "bgr"])
+    u = lambda s, k: digits(s, 6 * k, 6) / F.lit(8388608.0) - 1
+
+    def drawn(copy):
+        s = scatter("note_id", copy, seed=seed)
+        angle = F.radians(20 * u(s, 0))
+        return F.struct(copy.alias("copy"), F.cos(angle).alias("cos"), F.sin(angle).alias("sin"), (1 + 0.2 * u(s, 1)).alias("zoom"), (0.2 * u(s, 2) * F.col("w")).alias("sx"), (0.2 * u(s, 3) * F.col("h")).alias("sy"), (u(s, 4) > 0).alias("flip"))
+
+    def turned(t: T.Tile, turns: list[dict]) -> dict[str, np.ndarray]:
+        cx, cy = (t.w - 1) / 2, (t.h - 1) / 2
+        near = lambda a: np.floor(np.round(a, 6) + 0.5).astype(int)
+        found = [[np.empty(0, int)] * 6]
+        for m in turns:
+
+            def place(i, j):
+                dx, dy = (-(i - cx) if m["flip"] else i - cx) - m["sx"], j - cy - m["sy"]
+                return near(cx + (dx * m["cos"] + dy * m["sin"]) / m["zoom"]), near(cy + (dy * m["cos"] - dx * m["sin"]) / m["zoom"])
+
+            def beside(i, j):
+                x, y = place(i, j)
+                return np.clip(x, 0, t.w - 1), np.clip(y, 0, t.h - 1), np.full(x.shape, True)
+
+            for i, j in blocks(t.w, t.h, beside, t):
+                x, y = place(i, j)
+                there = (x >= 0) & (x < t.w) & (y >= 0) & (y < t.h)
+                x, y = np.clip(x, 0, t.w - 1) - t.x0, np.clip(y, 0, t.h - 1) - t.y0
+                own = (x >= 0) & (x < t.cols) & (y >= 0) & (y < t.rows)
+                i, j, x, y, there = (v[own] for v in (i, j, x, y, there))
+                found.append([np.full(len(i), m["copy"]), j, i, *(np.where(there, t.values[c][y, x], 0) for c in "bgr")])
+        copy, j, i, b, g, r = (np.concatenate(v) for v in zip(*found))
+        return {"copy": copy, "y": j, "x": i, "w": np.full(len(i), t.w), "h": np.full(len(i), t.h), "b": b, "g": g, "r": r}
+
+    tiles = T.cut(pixels, ("b", "g", "r"), (0, 0))
+    tiles = tiles.unionByName(T.empty(pixels, tiles)).withColumn("turns", F.transform(F.sequence(F.lit(1), F.lit(copies)), drawn))
+    return T.on_tiles(tiles, turned, "copy int, y int, x int, w int, h int, b int, g int, r int", (0, 0), more=("turns",))
 
 
 def fit_classifier(rows: DataFrame, *, hidden: int | None = None, max_iter: int = 50):

@@ -55,3 +55,22 @@ def test_without_rows_and_without_held_out_rows(spark, rows):
     assert none.history == [] and {r.raw for r in train.score_rounds(none, df).select("raw").collect()} == {0.5}
     alone = train.fit_rounds(df.withColumn("validation", F.lit(False)), rounds=2, passes=2)
     assert [h["val_loss"] for h in alone.history] == [None, None] and alone.best == 2
+
+
+def test_turned_copies_are_made_in_tiles_without_a_join(spark):
+    """Two images of several tiles, one of which lacks pixels and a whole tile, against the sources that SQL finds."""
+    px = spark.range(2).selectExpr("id AS note_id").crossJoin(spark.range(300 * 140).selectExpr("CAST(id div 300 AS INT) AS y", "CAST(id % 300 AS INT) AS x"))
+    px = px.selectExpr("*", "300 AS w", "140 AS h", "CAST((x * 3 + y * 5 + note_id) % 256 AS INT) AS b", "IF(x % 7 = 0, NULL, x) AS g", "y AS r").where("note_id = 0 OR x < 256 AND NOT (x = 100 AND y < 90)")
+    made = train.augment(px, copies=2)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString().replace("Join Cross", "")
+    px.createOrReplaceTempView("px_of_copies")
+    unit = lambda at: f"(CAST(conv(substr(m, {at}, 6), 16, 10) AS BIGINT) / 8388608D - 1)"
+    turn = lambda c, a: f"CAST(floor(round({c} + ({a}) / zoom, 6) + 0.5D) AS INT)"
+    want = spark.sql(f"""WITH p AS (SELECT *, md5(concat_ws(':', note_id, copy, 42)) AS m FROM (SELECT DISTINCT note_id, w, h FROM px_of_copies), (SELECT explode(array(1, 2)) AS copy)),
+      q AS (SELECT *, radians(20 * {unit(1)}) AS angle, 1 + 0.2D * {unit(7)} AS zoom, 0.2D * {unit(13)} * w AS sx, 0.2D * {unit(19)} * h AS sy, {unit(25)} > 0 AS flip FROM p),
+      g AS (SELECT *, CAST(id % 300 AS INT) AS x, CAST(id div 300 AS INT) AS y, (w - 1) / 2D AS cx, (h - 1) / 2D AS cy FROM q, range(42000)),
+      d AS (SELECT *, IF(flip, -(x - cx), x - cx) - sx AS dx, y - cy - sy AS dy FROM g),
+      s AS (SELECT *, {turn("cx", "dx * cos(angle) + dy * sin(angle)")} AS tx, {turn("cy", "dy * cos(angle) - dx * sin(angle)")} AS ty FROM d)
+      SELECT s.note_id, copy, s.y, s.x, s.w, s.h, coalesce(b, 0) AS b, coalesce(g, 0) AS g, coalesce(r, 0) AS r FROM s LEFT JOIN px_of_copies f ON f.note_id = s.note_id AND f.y = ty AND f.x = tx""")
+    assert made.columns == want.columns and made.count() == 2 * 2 * 42000
+    assert made.exceptAll(want).isEmpty() and want.exceptAll(made).isEmpty()
