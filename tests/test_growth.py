@@ -1,5 +1,7 @@
 """Steps whose rows are many beside their input: nothing is broadcast or held in one task."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from guilloche.operators import pixels as P
 from guilloche.plans import pixel_queries, screening, screening_queries
 from guilloche.plans.fixtures import load
 from guilloche.sources import images
+from guilloche.streaming.parts import GATHERED
 
 
 def plan(df) -> str:
@@ -136,3 +139,33 @@ def test_screening_reads_only_what_belongs_to_its_notes(spark, data, monkeypatch
     monkeypatch.setattr(screening.G, "rectify_perspective", None)  # no outline, no crop
     with pytest.raises(Seen):
         screening.all_checks(screening_queries._unread(spark, data))
+
+
+def test_gathered_images_stay_dealt_out_by_note(spark):
+    data = {1: bytes(range(45)), 2: bytes(range(200, 237)), 3: None, 4: bytes(60), 5: b""}
+    notes = spark.createDataFrame([(n, False, 5, 3, None if d is None else bytearray(d), *["[]"] * 4, "1") for n, d in data.items()], GATHERED)
+    dealt = screening.dealt(notes)
+    px = screening.gathered_inputs(dealt).pixels
+    assert "Exchange" not in px.groupBy("note_id", "y").count()._jdf.queryExecution().executedPlan().toString()
+    image = F.struct(F.lit("").alias("origin"), F.col("h").alias("height"), F.col("w").alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), "data")
+    want = images.to_pixels(notes.select("note_id", image.alias("image")))
+    assert px.dtypes == want.dtypes and px.count() == 60
+    assert px.exceptAll(want).isEmpty() and want.exceptAll(px).isEmpty()
+    assert {r.note_id: r.seen for r in dealt.collect()} == {n: n != 3 for n in data}
+
+
+def test_rows_of_other_notes_go_before_a_view_numbers_them(spark, data):
+    given = screening_queries._inputs(spark, data)
+    made = plan(given.blobs)
+    assert 0 < made.index("Window") < made.index("LeftSemi")
+    assert given.blobs.exceptAll(load(spark, data, "fx_blobs").join(given.known, "note_id", "left_semi").select(*given.blobs.columns)).isEmpty()
+
+
+def test_arrivals_are_made_for_their_time_alone(spark, data):
+    given, scores = screening_queries._unlocated(spark, data), load(spark, data, "fx_scores")
+    given = replace(given, **{k: getattr(given, k).where("note_id < 5") for k in ("pixels", "known")})
+    of = lambda parts: sorted(((r.note_id, r.kind, r.w, r.data, r.body, r.due) for r in parts.withColumn("body", F.when(F.col("kind") == "score", F.col("body")).otherwise(F.length("body").cast("string"))).collect()), key=lambda r: r[:2])
+    whole = of(screening_queries.note_parts(given, scores))
+    assert len(whole) == 30
+    for due in range(3):
+        assert of(screening_queries.note_parts(given, scores, due=due)) == [r for r in whole if r[-1] == due]
